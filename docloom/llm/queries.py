@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import token_counts
+from . import language_id, packing, token_counts
 
 QUERIES = {
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op4_language_id": language_id.op4_language_id,
     "op5_token_counts": token_counts.op5_token_counts,
 }
 
