@@ -148,3 +148,34 @@ def components(edges: DataFrame) -> DataFrame:
         onward = m.select(F.col("id").alias("component"), F.col("to").alias("far"))
         out = out.join(onward, "component", "left").select("id", F.coalesce("far", "component").alias("component"))
     return out
+
+
+# -- lookups in bounded lists -------------------------------------------------
+
+
+def find_range(bounds: list, value: Column) -> Column:
+    """How many of the ascending bounds are <= value, by a search in two levels.
+
+    The bounds are literals, so only lists of a bounded length belong here.
+    """
+    if not bounds:
+        return F.lit(0)
+    step = max(1, math.isqrt(len(bounds)))
+    coarse = F.array(*[F.lit(b) for b in bounds[step - 1 :: step]]) if len(bounds) >= step else F.array()
+    fine = F.array(*[F.array(*[F.lit(b) for b in bounds[i : i + step]] or [F.lit(bounds[-1])]) for i in range(0, len(bounds) + 1, step)])
+    at = F.size(F.filter(coarse, lambda b: b <= value))
+    if len(bounds) % step == 0:  # the last fine list is empty and stands for "beyond all"
+        rest = F.when(at * step >= len(bounds), F.lit(0)).otherwise(F.size(F.filter(F.element_at(fine, at + 1), lambda b: b <= value)))
+    else:
+        rest = F.size(F.filter(F.element_at(fine, at + 1), lambda b: b <= value))
+    return at * step + rest
+
+
+def pick(values: list, index: Column) -> Column:
+    """values[index] of a bounded list of literals."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), index + 1)
+
+
+def uniform(*cols: Column | str) -> Column:
+    """A number in [0, 1) that the columns decide."""
+    return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(1 << 53))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import language_id, packing, token_counts
+from . import language_id, mixing, packing, sharding, token_counts
 
 QUERIES = {
+    "op6_source_mixing": mixing.op6_source_mixing,
+    "op7_sharding": sharding.op7_sharding,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_language_id": language_id.op4_language_id,
     "op5_token_counts": token_counts.op5_token_counts,
