@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import language_id, mixing, packing, sharding, token_counts
+from . import language_id, mixing, packing, sharding, token_counts, topk_search
 
 QUERIES = {
+    "op2_topk_search": topk_search.op2_topk_search,
     "op6_source_mixing": mixing.op6_source_mixing,
     "op7_sharding": sharding.op7_sharding,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
@@ -12,4 +13,6 @@ QUERIES = {
     "op5_token_counts": token_counts.op5_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_topk_search": topk_search.ORACLE_SQL,
+}
