@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import language_id, mixing, packing, sharding, token_counts, topk_search
+from . import embedding_dedup, language_id, minhash_dedup, mixing, packing, sharding, token_counts, topk_search
 
 QUERIES = {
+    "op8_minhash_dedup": minhash_dedup.op8_minhash_dedup,
+    "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
     "op2_topk_search": topk_search.op2_topk_search,
     "op6_source_mixing": mixing.op6_source_mixing,
     "op7_sharding": sharding.op7_sharding,
@@ -14,5 +16,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_embedding_dedup": embedding_dedup.ORACLE_SQL,
     "op2_topk_search": topk_search.ORACLE_SQL,
 }
