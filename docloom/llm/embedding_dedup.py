@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from .common import components, map_arrow, staged, table
 
 COSINE = 0.93
-#: Filters that two vectors at the threshold have in common, on average.
-COMMON = 28
+#: Independent product codes, and filters of one that two vectors at the threshold share on average.
+#: The words nearest to a vector vary much from vector to vector, so several
+#: small codes miss fewer pairs than a large one with as many filters.
+CODES, COMMON = 8, 4
 #: Vectors of one label that a filter should hold, about.
 PER_FILTER = 48
 #: Vectors of a filter that one cell compares; larger filters are cut into blocks.
@@ -32,6 +34,7 @@ class Caps:
 
     words: int
     reach: float
+    codes: int = CODES
 
 
 def choose_caps(n: int, cosine: float = COSINE, common: float = COMMON, dim: int = LEAST_DIM) -> Caps:
@@ -53,10 +56,10 @@ def choose_caps(n: int, cosine: float = COSINE, common: float = COMMON, dim: int
     return Caps(words, t / math.sqrt(dim) * math.sqrt(2))
 
 
-@lru_cache(maxsize=8)
-def codes(dim: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A random rotation and the two codes; every worker makes the same ones from the seed."""
-    rng = np.random.default_rng([SEED, dim, words])
+@lru_cache(maxsize=64)
+def code(dim: int, words: int, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A random rotation and the words of both halves; every worker makes the same ones from the seed."""
+    rng = np.random.default_rng([SEED, dim, words, number])
     q, r = np.linalg.qr(rng.standard_normal((dim, dim)))
     out = [q * np.sign(np.diag(r))]
     for half in (dim // 2, dim - dim // 2):
@@ -66,35 +69,34 @@ def codes(dim: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def list_decode(x: np.ndarray, caps: Caps) -> tuple[np.ndarray, np.ndarray]:
-    """(row, filter) for every filter that takes a row of unit vectors; rows ascend.
+    """(row, filter) for every filter that takes a row of unit vectors, rows and then filters ascending.
 
     Both halves rank their code words; word by word of the first half, the
     second half is followed down its ranking only as far as the sum reaches.
     """
     dim = max(LEAST_DIM, x.shape[1])
-    turn, one, two = codes(dim, caps.words)
-    y = np.zeros((len(x), dim))
-    y[:, : x.shape[1]] = x
-    y = y @ turn
-    a, b = y[:, : dim // 2] @ one.T, y[:, dim // 2 :] @ two.T
-    order_a, order_b = np.argsort(-a, axis=1), np.argsort(-b, axis=1)
-    a, b = np.take_along_axis(a, order_a, 1), np.take_along_axis(b, order_b, 1)
-    rows, filters = [], []
-    live = np.arange(len(x))
-    for k in range(caps.words):
-        live = live[a[live, k] + b[live, 0] >= caps.reach]
-        if not len(live):
-            break
-        depth = (b[live] >= (caps.reach - a[live, k])[:, None]).sum(1)
-        who = np.repeat(live, depth)
-        at = np.arange(len(who)) - np.repeat(np.cumsum(depth) - depth, depth)
-        rows.append(who)
-        filters.append(order_a[who, k] * caps.words + order_b[who, at])
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    rows, filters = np.concatenate(rows), np.concatenate(filters)
-    order = np.lexsort((filters, rows))
-    return rows[order], filters[order]
+    padded = np.zeros((len(x), dim))
+    padded[:, : x.shape[1]] = x
+    rows, filters = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for number in range(caps.codes):
+        turn, one, two = code(dim, caps.words, number)
+        y = padded @ turn
+        a, b = y[:, : dim // 2] @ one.T, y[:, dim // 2 :] @ two.T
+        order_a, order_b = np.argsort(-a, axis=1), np.argsort(-b, axis=1)
+        a, b = np.take_along_axis(a, order_a, 1), np.take_along_axis(b, order_b, 1)
+        live = np.arange(len(x))
+        for k in range(caps.words):
+            live = live[a[live, k] + b[live, 0] >= caps.reach]
+            if not len(live):
+                break
+            depth = (b[live] >= (caps.reach - a[live, k])[:, None]).sum(1)
+            who = np.repeat(live, depth)
+            at = np.arange(len(who)) - np.repeat(np.cumsum(depth) - depth, depth)
+            rows.append(who)
+            filters.append((number * caps.words + order_a[who, k]) * caps.words + order_b[who, at])
+    row, found = np.concatenate(rows), np.concatenate(filters)
+    order = np.lexsort((found, row))
+    return row[order], found[order]
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -114,11 +116,12 @@ def lowest_label(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def links_of_cell(rep, n, block, filters, x, this: int, cosine: float):
+def links_of_cell(rep, n, block, x, this: int, caps: Caps, cosine: float):
     """(rep, copies linked, rep to join) of the vectors of one cell.
 
-    A pair counts in the smallest filter that both share and nowhere else.
-    In a cell of two blocks only pairs across them are looked at.
+    A pair counts in the smallest filter that both share and nowhere else;
+    only vectors that have a link are decoded again for that.  In a cell of
+    two blocks only pairs across them are looked at.
     """
     u = unit(x)
     linked = u @ u.T >= cosine
@@ -128,11 +131,12 @@ def links_of_cell(rep, n, block, filters, x, this: int, cosine: float):
     touched = linked.any(1)
     if not touched.any():
         return None
-    rep, n, linked = rep[touched], n[touched], linked[np.ix_(touched, touched)]
-    lists = [f[f < this] for f, t in zip(filters, touched) if t]
-    kinds, col = np.unique(np.concatenate(lists), return_inverse=True)
+    rep, n, u, linked = rep[touched], n[touched], u[touched], linked[np.ix_(touched, touched)]
+    row, filters = list_decode(u, caps)
+    row, filters = row[filters < this], filters[filters < this]
+    kinds, col = np.unique(filters, return_inverse=True)
     member = np.zeros((len(rep), len(kinds)), np.float32)
-    member[np.repeat(np.arange(len(rep)), [len(f) for f in lists]), col] = 1
+    member[row, col] = 1
     counted = linked & (member @ member.T == 0)
     order = np.argsort(rep)
     low = np.empty(len(rep), np.int64)
@@ -156,18 +160,16 @@ def near_links(classes: DataFrame, caps: Caps, cosine: float) -> DataFrame:
                     if not len(rows):
                         continue
                     mine = at[a : a + 1024]
-                    lists = np.split(filters, np.flatnonzero(np.diff(rows)) + 1)
-                    first = rows[np.append(0, np.flatnonzero(np.diff(rows)) + 1)]
-                    packed = dict(zip(first.tolist(), (f.astype("<i4").tobytes() for f in lists)))
                     part = batch.take(pa.array(mine[rows]))
+                    vectors = [v.astype(store).tobytes() for v in x[a : a + 1024]]
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("rep"), part.column("label"), part.column("n"), pa.array(np.full(len(rows), dim, np.int32)), pa.array(filters.astype(np.int32)), pa.array([packed[r] for r in rows.tolist()], pa.binary()), pa.array([x[a + r].tobytes() for r in rows.tolist()], pa.binary())],
-                        names=["rep", "label", "n", "dim", "filter", "filters", "x"],
+                        [part.column("rep"), part.column("label"), part.column("n"), pa.array(np.full(len(rows), dim, np.int32)), pa.array(filters.astype(np.int32)), pa.array([vectors[r] for r in rows.tolist()], pa.binary())],
+                        names=["rep", "label", "n", "dim", "filter", "x"],
                     )
 
-    kind = dict(classes.dtypes)["label"]
-    schema = f"rep long, label {kind}, n long, dim int, filter int, filters binary, x binary"
-    rows = map_arrow(classes, decode, schema)
+    kinds = dict(classes.dtypes)
+    store = "<f4" if kinds["vector"] == "array<float>" else "<f8"
+    rows = map_arrow(classes, decode, f"rep long, label {kinds['label']}, n long, dim int, filter int, x binary")
     key = ["label", "dim", "filter"]
     heavy = rows.groupBy(*key).agg(F.count("*").alias("held")).where(F.col("held") > BLOCK).select(*key, F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks"))
     heavy = staged(heavy)
@@ -189,9 +191,8 @@ def near_links(classes: DataFrame, caps: Caps, cosine: float) -> DataFrame:
             held.clear()
             if len(t) < 2:
                 return None
-            x = np.stack([np.frombuffer(b.as_py()) for b in t["x"]])
-            filters = [np.frombuffer(b.as_py(), "<i4") for b in t["filters"]]
-            got = links_of_cell(t["rep"].to_numpy(), t["n"].to_numpy(), t["block"].to_numpy(), filters, x, t["filter"][0].as_py(), cosine)
+            x = np.frombuffer(b"".join(t["x"].to_pylist()), store).reshape(len(t), -1).astype(np.float64)
+            got = links_of_cell(t["rep"].to_numpy(), t["n"].to_numpy(), t["block"].to_numpy(), x, t["filter"][0].as_py(), caps, cosine)
             if got is None:
                 return None
             return pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in got], names=["rep", "copies", "low"])
@@ -233,7 +234,7 @@ def dedup_embeddings(vectors: DataFrame, cosine: float = COSINE, id_col: str = "
     x = F.col(vector_col)
     fine = F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0), F.lit(False))
     ok = F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & x.isNotNull() & fine
-    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.transform(x, lambda v: v.cast("double")).alias("vector"), ok.alias("ok"))
+    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), (x if dict(vectors.dtypes)[vector_col] == "array<float>" else F.transform(x, lambda v: v.cast("double"))).alias("vector"), ok.alias("ok"))
     usable = rows.where("ok").drop("ok")
     classes = staged(usable.groupBy("label", "vector").agg(F.min("vec_id").cast("long").alias("rep"), F.count("*").alias("n")))
     most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
