@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, language_id, minhash_dedup, mixing, packing, sharding, token_counts, topk_search
+from . import embedding_dedup, language_id, minhash_dedup, mixing, packing, sharding, suffix_dedup, token_counts, topk_search
 
 QUERIES = {
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op8_minhash_dedup": minhash_dedup.op8_minhash_dedup,
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
     "op2_topk_search": topk_search.op2_topk_search,
