@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, language_id, minhash_dedup, mixing, packing, sharding, suffix_dedup, token_counts, topk_search
+from . import embedding_dedup, language_id, lm_scoring, minhash_dedup, mixing, packing, sharding, suffix_dedup, token_counts, topk_search
 
 QUERIES = {
+    "op10_lm_scoring": lm_scoring.op10_lm_scoring,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op8_minhash_dedup": minhash_dedup.op8_minhash_dedup,
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
