@@ -190,3 +190,36 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def op6_source_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The mix itself as documents: the columns of ``docs``, one row per document and epoch it is taken in.
+
+    The text is what the drawn blocks hold of the document: all of it as it
+    was, or the words of the blocks, joined by single spaces.  ``n_chars``, if
+    there is such a column, is the new length.  Documents of which nothing is
+    drawn, and those without a word, are not in the mix.  Needs doc_id, source
+    and text; the cases are those of :func:`mix`.
+    """
+    sized = staged(sized_rows(docs))
+    sources = plan_sources(sized)
+    if not sum(x.wanted for x in sources):
+        return docs.limit(0)
+    laid = staged(laid_out(sized, sources).where("size > 0"))
+    parts = parts_taken(laid, draw_blocks(docs.sparkSession, sources), sources)
+    epochs = parts.groupBy("s", "start", "epoch").agg(F.sum("words").alias("words"), F.collect_list("block").alias("blocks"))
+    takes = epochs.groupBy("s", "start").agg(F.collect_list(F.struct("epoch", "words", "blocks")).alias("takes"))
+    #: rows of one id are told apart by their rank among them, in the same order on both sides
+    named = laid.join(takes, ["s", "start"]).select(F.col("doc_id").alias("take_id"), "s", "start", "takes")
+    ranked = laid.select(F.col("doc_id").alias("take_id"), "s", "start", F.row_number().over(W.partitionBy("doc_id").orderBy("size", source_key(), "start")).alias("take_nth"))
+    plan = ranked.join(named, ["take_id", "s", "start"])
+    size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
+    rows = docs.withColumn("take_size", size).where("take_size > 0").withColumn("nth", F.row_number().over(W.partitionBy("doc_id").orderBy("take_size", source_key(), F.xxhash64("text"))))
+    joined = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("take_id")) & (F.col("nth") == F.col("take_nth"))).withColumn("take", F.explode("takes"))
+    length = pick([x.block for x in sources], F.col("s"))
+    words = F.filter(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda w, i: F.array_contains(F.col("take.blocks"), F.floor((F.col("start") + i) / length)))
+    text = F.when(F.col("take.words") == F.col("take_size"), F.col("text")).otherwise(F.array_join(words, " "))
+    out = joined.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(*docs.columns)

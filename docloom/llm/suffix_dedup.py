@@ -344,22 +344,22 @@ def _without(texts: DataFrame) -> DataFrame:
                     kept.append(raw[at:lo])
                     at = hi
                 rest = b"".join([*kept, raw[at:]])
-                for to, v in zip(cols, (len(raw) - len(rest), len(gone), rest, hashlib.sha256(rest).hexdigest())):
+                for to, v in zip(cols, (len(raw) - len(rest), len(gone), rest.decode("utf-8", "ignore"), hashlib.sha256(rest).hexdigest())):
                     to.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("tid"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.string())], names=["rep", "tid", "n_removed", "n_spans", "kept", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("tid"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], names=["rep", "tid", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    return map_arrow(texts, run, "rep long, tid long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return map_arrow(texts, run, "rep long, tid long, n_removed long, n_spans long, kept string, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, keep_bytes: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row (and kept, if asked for).
 
     Removes each byte covered by a string of LENGTH bytes that also starts
     anywhere else, in the same text or another.  Texts are UTF-8 bytes; null
-    is empty.  Strings are judged on the input.  ``kept`` holds the remaining
-    bytes where something was removed from a text that occurs once, and null
-    elsewhere: nothing removed, or everything (texts of at least LENGTH bytes
-    that occur more than once).  Repeated rows are copies of each other.  An
+    is empty.  Strings are judged on the input.  ``kept`` is what remains of a
+    text that occurs once and from which something was removed, without
+    characters that were cut in two; it is null elsewhere: nothing removed, or
+    everything (texts of at least LENGTH bytes that occur more than once).  Repeated rows are copies of each other.  An
     empty table stays empty; other columns are not looked at.
     """
     nobody = F.lit(-(1 << 63)).cast("long")
@@ -387,7 +387,7 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = False, id_col: str = "doc
     none = F.array().cast("array<struct<lo:int,hi:int>>")
     cut = marked.select("rep", "tid", "text", "own").join(spans, ["rep", "tid"], "left").select("rep", "tid", "text", F.concat(F.coalesce("own", none), F.coalesce("spans", none)).alias("spans")).where(F.size("spans") > 0)
     cut = _without(cut)
-    if not keep_bytes:
+    if not keep_text:
         cut = cut.drop("kept")
     cut = staged(cut)
 
@@ -397,10 +397,10 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = False, id_col: str = "doc
         F.when(copied, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(copied, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(copied, F.lit(_EMPTY_SHA)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("sha")))).alias("kept_sha256"),
-        *([F.when(~copied, F.col("kept")).alias("kept")] if keep_bytes else []),
+        *([F.when(~copied, F.col("kept")).alias("kept")] if keep_text else []),
     )
     out = meta.select("doc_id", "sha", "n_bytes").join(by_class, ["sha", "n_bytes"])
-    extra = ["kept"] if keep_bytes else []
+    extra = ["kept"] if keep_text else []
     return out.select(F.nullif(F.col("doc_id"), nobody).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", *extra)
 
 
