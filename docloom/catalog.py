@@ -1,34 +1,563 @@
-"""Queries over the given tables, by name, each with DuckDB SQL for the same rows."""
+"""Queries over the given tables, by name, each with DuckDB SQL for the same rows where SQL can express it."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .functions import calendar as cal
+from .functions import codec, color, digest, pii
 from .functions import text as tx
+from .operators import chunking, health, packing, publish, scenario, search, similarity, snapshot, streaks
 
 FLAGSHIP = "pii_email_by_lang"
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
 
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 
+def query(sql: str | None = None):
+    """Register a function of (spark, sf_dir), with its SQL."""
 
-def _docs(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet")
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
 
+    return keep
 
+
+def _t(spark, d, name):
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+C = F.col
+DAY = "cast('2024-02-01' as date)"
+#: DuckDB forms of the text rules.
+STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+NORM = STRIP.format(r"regexp_replace(regexp_replace(replace(text, chr(13), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]+', ' ', 'g')")
+EMAIL = pii.BUILT_IN["email"]
+LINES = r"(case when {0} = '' then []::varchar[] when ends_with({0}, chr(10)) then string_split({0}, chr(10))[:-2] else string_split({0}, chr(10)) end)"
+FILLED = "list_filter(list_transform(" + LINES + r", lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
+
+
+def _files(spark, d):
+    """Documents as files: path, size, modified."""
+    path = F.concat(C("source"), F.lit("/"), C("lang"), F.lit("/doc:"), C("doc_id").cast("string"), F.when(C("n_chars") > 2000, ".TXT").otherwise(".docx"))
+    return _t(spark, d, "documents").select(path.alias("path"), C("n_chars").alias("size"), F.timestamp_seconds(C("n_chars") * 3600 + 1_600_000_000).alias("modified"), "doc_id", "source")
+
+
+FILES = "(select source || '/' || lang || '/doc:' || doc_id || case when n_chars > 2000 then '.TXT' else '.docx' end as path, n_chars as size, make_timestamp((n_chars * 3600 + 1600000000) * 1000000) as modified, doc_id, source from documents)"
+
+
+# -- text ---------------------------------------------------------------------
+
+
+@query(f"select lang, count(*) as n_docs, count(*) filter (where h > 0) as flagged, sum(h)::bigint as hits from (select lang, len(regexp_extract_all({NORM}, '{EMAIL}')) as h from documents) group by lang")
 def pii_email_by_lang(spark, d):
-    hits = F.regexp_count(tx.normalize_text(F.col("text")), F.lit(EMAIL))
-    return (
-        _docs(spark, d).select("lang", hits.alias("h")).groupBy("lang")
-        .agg(F.count("*").alias("n_docs"), F.count_if(F.col("h") > 0).alias("flagged"), F.sum("h").alias("hits"))
-    )
+    hits = F.regexp_count(tx.normalize_text(C("text")), F.lit(EMAIL))
+    return _t(spark, d, "documents").select("lang", hits.alias("h")).groupBy("lang").agg(F.count("*").alias("n_docs"), F.count_if(C("h") > 0).alias("flagged"), F.sum("h").alias("hits"))
+
+
+@query(f"select lang, count(*) as n, sum(length(t))::bigint as chars, sum(case when length(t) = 0 then 0 else greatest(1, round_even(length(t) / 1.4, 0)) end)::bigint as tokens from (select lang, {NORM} as t from documents) group by lang")
+def normalize_stats(spark, d):
+    t = tx.normalize_text(C("text"))
+    return _t(spark, d, "documents").select("lang", F.length(t).alias("n"), tx.token_estimate(t).alias("k")).groupBy("lang").agg(F.count("*").alias("n_"), F.sum("n").alias("chars"), F.sum("k").alias("tokens")).withColumnRenamed("n_", "n")
+
+
+
+@query("""
+with f as (select doc_id, n_chars * n_chars as s from documents),
+u as (select doc_id, s, case when s >= 1073741824 then 1073741824 when s >= 1048576 then 1048576 when s >= 1024 then 1024 else 1 end as k from f),
+q as (select doc_id, s, k, (s * 100) // k as w, (s * 100) % k as r from u),
+n as (select doc_id, s, k, w + case when r > k // 2 or (r = k // 2 and w % 2 = 1) then 1 else 0 end as w from q)
+select doc_id, case when k = 1 then s || ' B' else (w // 100) || '.' || lpad((w % 100)::varchar, 2, '0') || case k when 1024 then ' KB' when 1048576 then ' MB' else ' GB' end end as size_text from n""")
+def size_text(spark, d):
+    return _t(spark, d, "documents").select("doc_id", tx.format_size(C("n_chars") * C("n_chars")).alias("size_text"))
+
+
+@query(f"""select doc_id, regexp_replace(path, '[\\\\/:*?"<>|]', '_', 'g') as name, case when contains(path, '/') then split_part(path, '/', 1) else '_root' end as grp, lower(regexp_extract(path, '(\\.[^./]+)$', 1)) as extension, starts_with(path, 'src1/') as under_src1 from {FILES}""")
+def file_names(spark, d):
+    p = C("path")
+    return _files(spark, d).select("doc_id", tx.clean_filename(p).alias("name"), tx.group_key(p).alias("grp"), tx.extension(p).alias("extension"), tx.is_same_or_child(p, F.lit("src1")).alias("under_src1"))
+
+
+@query(f"""
+with t as (select doc_id, text, {NORM} as n from documents),
+l as (select doc_id, text, n, {FILLED.format('n')} as f, {FILLED.format('text')} as o from t)
+select doc_id, md5(case when n = '' then '{tx.NO_TEXT}' when length(array_to_string(f[:20], chr(10))) > 1200 then left(array_to_string(f[:20], chr(10)), 1200) || '...' else array_to_string(f[:20], chr(10)) end) as summary,
+case when length(text) > 300 then left(text, 300) || '...' else text end as excerpt,
+case when length(array_to_string(o, ' / ')) > 160 then left(array_to_string(o, ' / '), 160) || '...' else array_to_string(o, ' / ') end as one_line from l""")
+def summaries(spark, d):
+    t = C("text")
+    return _t(spark, d, "documents").select("doc_id", F.md5(tx.plain_summary(t)).alias("summary"), tx.excerpt(t).alias("excerpt"), tx.one_line(t).alias("one_line"))
+
+
+@query()
+def heading_summaries(spark, d):
+    return _t(spark, d, "documents").select("doc_id", tx.heading_summary(C("text")).alias("summary"), tx.line_tail(C("text"), 200).alias("tail"), tx.code_fence(C("text")).alias("fence"))
+
+
+@query(f"select doc_id, sha256(array_to_string(list_filter({LINES.format('text')}, lambda x: not starts_with(x, 'GeneratedAt:') and not starts_with(x, '- 生成日時:')), chr(10))) as sha from documents")
+def content_hashes(spark, d):
+    return _t(spark, d, "documents").select("doc_id", tx.content_hash(C("text")).alias("sha"))
+
+
+# -- sensitive values -----------------------------------------------------------
+
+
+@query()
+def pii_findings(spark, d):
+    return pii.merge_findings(_t(spark, d, "documents").select(pii.scan(tx.normalize_text(C("text")), ["token"]).alias("findings")))
+
+
+@query(f"select doc_id, md5(regexp_replace(text, '{EMAIL}', '{pii.MASK}', 'g')) as masked, len(regexp_extract_all(text, '{EMAIL}')) as n from documents")
+def pii_mask_email(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.md5(F.regexp_replace("text", EMAIL, pii.MASK)).alias("masked"), F.regexp_count("text", F.lit(EMAIL)).cast("long").alias("n"))
+
+
+@query("""
+select doc_id, len(list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: length(x) between 15 and 16)) as long_runs,
+len(list_filter(regexp_extract_all(text, '-?[0-9]+'), lambda x: length(x) = 12 and not starts_with(x, '-'))) as twelve from documents""")
+def pii_long_digits(spark, d):
+    count = lambda p: F.regexp_count("text", F.lit(p)).cast("long")
+    return _t(spark, d, "documents").select("doc_id", count(r"(?<!\d)\d{15,16}(?!\d)").alias("long_runs"), count(r"(?<![\d-])\d{12}(?!\d)").alias("twelve"))
+
+
+@query()
+def pii_masked(spark, d):
+    t = C("text")
+    return _t(spark, d, "documents").select("doc_id", F.md5(pii.mask(t)).alias("masked"), F.to_json(pii.mask_counts(t)).alias("counts"))
+
+
+@query(f"select c.conv_id, c.turn from conversations c where len(regexp_extract_all(text, '{EMAIL}')) = 0")
+def pii_unblocked_turns(spark, d):
+    return _t(spark, d, "conversations").where(~C("text").rlike(EMAIL)).select("conv_id", "turn")
+
+
+# -- digest ---------------------------------------------------------------------
+
+
+@query(f"""
+with l as (select doc_id, i, regexp_replace(x, '^\\s+|\\s+$', '', 'g') as line from (select doc_id, unnest({LINES.format('text')}) as x, generate_subscripts({LINES.format('text')}, 1) as i from documents)),
+c as (select doc_id, line, count(*) as n, min(i) as f from l where length(line) >= 30 and not starts_with(line, '#') group by doc_id, line having count(*) > 1),
+r as (select doc_id, md5(line) as line, n, row_number() over (partition by doc_id order by n desc, f)::int as rank from c)
+select * from r where rank <= 20""")
+def repeated_lines(spark, d):
+    return digest.repeated_lines(_t(spark, d, "documents")).withColumn("line", F.md5("line"))
+
+
+@query(r"""
+with m as (select doc_id, list_distinct(list_transform(regexp_extract_all(text, '(?:19|20)\d{2}[/-]\d{1,2}(?:[/-]\d{1,2})?'), lambda x: trim(x))) as a,
+  list_distinct(regexp_extract_all(text, '(?:Rev|Ver|ver|版数)[.．]?\s*[0-9]+(?:\.[0-9]+)?')) as b from documents)
+select doc_id, (len(a) + len(list_filter(b, lambda x: not list_contains(a, x))))::int as n_mentions, list_max(list_transform(list_filter(list_concat(a, b), lambda x: regexp_matches(x, '(19|20)\d{2}')), lambda x: regexp_extract(x, '(19|20)\d{2}')::int)) as newest_year from m""")
+def date_mentions(spark, d):
+    t = C("text")
+    return _t(spark, d, "documents").select("doc_id", F.size(digest.date_mentions(t)).alias("n_mentions"), digest.newest_year(t).alias("newest_year"))
+
+
+@query(f"""
+with b as (select doc_id, array_to_string(list_filter({LINES.format('text')}, lambda x: not starts_with(x, '#')), chr(10)) as t from documents),
+s as (select doc_id, list_filter(list_transform(string_split_regex(t, '[.\\n]'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') as s from b),
+a as (select doc_id, case when len(s) = 0 then 0.0 else list_sum(list_transform(s, lambda x: length(x)))::double / len(s) end as a from s)
+select doc_id, round(a, 6) as avg_sentence_length, case when a <= 0 then 'unknown' when a < 35 then 'easy' when a < 55 then 'normal' else 'hard' end as readability from a""")
+def sentence_lengths(spark, d):
+    a = digest.average_sentence(C("text"), ".")
+    return _t(spark, d, "documents").select("doc_id", a.alias("a")).select("doc_id", F.round("a", 6).alias("avg_sentence_length"), digest.readability(C("a")).alias("readability"))
+
+
+@query()
+def document_digest(spark, d):
+    got = digest.digest(_t(spark, d, "documents"))
+    return got.select("doc_id", F.size("headings").alias("n_headings"), F.size("date_mentions").alias("n_dates"), "newest_year", F.size("broken_references").alias("n_broken"), F.size("repeated_lines").alias("n_repeated"), "avg_sentence_length", "char_count", "line_count", digest.is_stale(C("newest_year"), F.expr(DAY)).alias("stale"))
+
+
+@query()
+def document_questions(spark, d):
+    return digest.questions(_t(spark, d, "documents").select("doc_id", digest.headings(C("text")).alias("headings")))
+
+
+# -- duplicates -------------------------------------------------------------------
+
+
+@query(f"select sha256(lower({NORM})) as sha, count(*) as n, min(doc_id) as first, max(doc_id) as last from documents group by 1 having count(*) > 1")
+def exact_duplicates(spark, d):
+    return similarity.exact_duplicates(_t(spark, d, "documents"))
+
+
+@query(f"select doc_id, row_number() over (partition by sha256(lower({NORM})) order by n_chars desc, lpad(doc_id::varchar, 12, '0') desc) = 1 as keep from documents")
+def keep_latest(spark, d):
+    rows = _t(spark, d, "documents").select("doc_id", "n_chars", F.lpad(C("doc_id").cast("string"), 12, "0").alias("path"), F.sha2(F.lower(tx.normalize_text(C("text"))), 256).alias("grp"))
+    return similarity.keep_latest(rows, "grp", "n_chars", "path").select("doc_id", "keep")
+
+
+@query()
+def near_dup_pairs(spark, d):
+    return similarity.similar_pairs(similarity.signatures(_t(spark, d, "documents").select("doc_id", "text")))
+
+
+@query()
+def near_dup_groups(spark, d):
+    return similarity.similar_groups(similarity.signatures(_t(spark, d, "documents").select("doc_id", "text")))
+
+
+# -- chunks and parts ---------------------------------------------------------------
+
+
+@query()
+def chunks_by_lines(spark, d):
+    return chunking.chunk(_t(spark, d, "documents"), "lines", 1000).select("doc_id", "chunk_index", "chunk_count", F.md5("text").alias("text"))
+
+
+@query()
+def chunks_by_sections(spark, d):
+    return chunking.chunk(_t(spark, d, "documents"), "sections", 1000).select("doc_id", "chunk_index", "chunk_count", F.md5("text").alias("text"))
+
+
+def _sections(spark, d):
+    return _t(spark, d, "documents").select(C("source").alias("grp"), C("doc_id").alias("ord"), (C("n_chars") + 2).alias("size"))
+
+
+@query("""
+with recursive i as (select source as grp, doc_id as ord, n_chars + 2 as size, row_number() over (partition by source order by doc_id) as k from documents),
+r as (
+  select grp, ord, size, k, 1 as now, size as used, 1 as part from i where k = 1
+  union all
+  select i.grp, i.ord, i.size, i.k,
+    case when r.used > 0 and r.used + i.size > 30000 and r.now < 19 then r.now + 1 else r.now end,
+    case when r.used > 0 and r.used + i.size > 30000 then case when r.now < 19 then i.size else r.used end else r.used + i.size end,
+    case when r.used > 0 and r.used + i.size > 30000 then case when r.now < 19 then r.now + 1 else null end else r.now end
+  from r join i on i.grp = r.grp and i.k = r.k + 1)
+select grp, ord, size, part::int as part from r""")
+def parts_sequential(spark, d):
+    return packing.pack(_sections(spark, d))
+
+
+@query()
+def parts_bestfit(spark, d):
+    return packing.pack(_sections(spark, d), "bestfit")
+
+
+@query("""
+with recursive i as (select source as grp, doc_id as ord, n_chars + 2 as size, row_number() over (partition by source order by doc_id) as k from documents),
+r as (
+  select grp, ord, size, k, 200 + size + 1 as used, 1 as part from i where k = 1
+  union all
+  select i.grp, i.ord, i.size, i.k, case when r.used + i.size > 120000 then 200 + i.size + 1 else r.used + i.size + 1 end, case when r.used + i.size > 120000 then r.part + 1 else r.part end
+  from r join i on i.grp = r.grp and i.k = r.k + 1)
+select grp, part::int as part, count(*) as n_items, sum(size)::bigint as chars from r group by grp, part""")
+def markdown_parts(spark, d):
+    return packing.part_totals(packing.pack(_sections(spark, d), "rollover", packing.MARKDOWN_CHARS, 200))
+
+
+# -- runs ---------------------------------------------------------------------------
+
+
+def _runs(spark, d):
+    """Two states of the same collection: what was labelled, and what is there."""
+    previous = _t(spark, d, "labels").select(C("doc_id").alias("path"), C("quality").alias("size"), C("toxic").alias("mtime"))
+    return previous, _t(spark, d, "documents").select(C("doc_id").alias("path"), (C("n_chars") > 1000).cast("int").alias("size"), F.lit(0).alias("mtime"))
+
+
+@query("""
+select coalesce(c.doc_id, p.doc_id) as path, case when p.doc_id is null then 'added' when c.doc_id is null then 'removed' else 'changed' end as change
+from labels p full join documents c on c.doc_id = p.doc_id
+where p.doc_id is null or c.doc_id is null or (c.n_chars > 1000)::int is distinct from p.quality or p.toxic is distinct from 0""")
+def snapshot_diff(spark, d):
+    return snapshot.diff(*_runs(spark, d))
+
+
+@query("select d.doc_id as path, (d.n_chars > 1000)::int as size, 0 as mtime, p.doc_id is not null as hit from documents d left join labels p on p.doc_id = d.doc_id and p.quality = (d.n_chars > 1000)::int and p.toxic = 0")
+def cache_lookup(spark, d):
+    cache, files = _runs(spark, d)
+    return snapshot.cache_hits(files, cache).select("path", "size", "mtime", "hit")
+
+
+@query("select doc_id as path, n_chars as size from documents where doc_id in (select doc_id from labels)")
+def cache_cleanup(spark, d):
+    inventory, _ = _runs(spark, d)
+    return snapshot.cache_without_gone(_t(spark, d, "documents").select(C("doc_id").alias("path"), C("n_chars").alias("size")), inventory)
+
+
+@query("""
+with c as (select source as file_name, md5(sum(n_chars)::varchar) as sha from documents group by source),
+p as (select coalesce(d.source, 'gone') as file_name, md5(sum(d.n_chars)::varchar) as sha from labels l left join documents d using (doc_id) group by 1)
+select coalesce(c.file_name, p.file_name) as file_name, case when p.sha is null then 'new' when c.sha is null then 'removed' when c.sha = p.sha then 'unchanged' else 'changed' end as state from p full join c on c.file_name = p.file_name""")
+def upload_note(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", "source", "n_chars")
+    sha = F.md5(F.sum("n_chars").cast("string")).alias("sha")
+    was = _t(spark, d, "labels").join(docs, "doc_id", "left").groupBy(F.coalesce("source", F.lit("gone")).alias("file_name")).agg(sha)
+    return snapshot.upload_note(was, docs.groupBy(C("source").alias("file_name")).agg(sha))
+
+
+@query("select event_id, ts from events order by event_id desc limit 400")
+def last_events(spark, d):
+    return snapshot.last_runs(_t(spark, d, "events").select("event_id", "ts"), 400, "event_id")
+
+
+@query("""
+with s as (select d.source, count(*) as previous, count(*) filter (where l.quality = 1) as new from documents d left join labels l using (doc_id) group by d.source)
+select source, previous, new, case when new = 0 then 'hold: no chunks' when new / previous < 0.5 then 'hold: too few chunks' else 'ok' end as reason, not (new = 0 or new / previous < 0.5) as publish from s""")
+def publish_decisions(spark, d):
+    j = _t(spark, d, "documents").select("doc_id", "source").join(_t(spark, d, "labels"), "doc_id", "left")
+    rows = j.groupBy("source").agg(F.count("*").alias("previous"), F.count_if(C("quality") == 1).alias("new"))
+    return publish.decide(rows, F.lit(False), F.lit(False), F.lit(True), C("previous"), C("new"))
+
+
+# -- health ---------------------------------------------------------------------------
+
+
+def _outcomes(spark, d):
+    status = F.when(C("quality") == 1, "ok").when(C("toxic") == 1, "protected").when(C("quality") == 0, "partial").otherwise("empty")
+    return _files(spark, d).join(_t(spark, d, "labels"), "doc_id", "left").select("path", "size", status.alias("status"), F.when(C("size") % 7 > 0, C("modified")).alias("modified"), F.when(C("quality").isNotNull(), C("size")).otherwise(0).alias("units_total"), F.when(C("quality") == 1, C("size")).otherwise(0).alias("units_ok"))
+
+
+OUTCOMES = f"(select path, size, case when quality = 1 then 'ok' when toxic = 1 then 'protected' when quality = 0 then 'partial' else 'empty' end as status, case when size % 7 > 0 then modified end as modified, case when quality is not null then size else 0 end as units_total, case when quality = 1 then size else 0 end as units_ok from {FILES} left join labels using (doc_id))"
+BUCKET = "case when modified is null then 'unknown' when floor((epoch(cast('2024-02-01' as timestamp)) - epoch(modified)) / 86400) / 365.25 < 1 then 'under_1' when floor((epoch(cast('2024-02-01' as timestamp)) - epoch(modified)) / 86400) / 365.25 < 3 then 'under_3' else 'over_3' end"
+
+
+@query(f"select status, count(*) as n from {OUTCOMES} group by status")
+def status_rollup(spark, d):
+    return health.status_counts(_outcomes(spark, d))
+
+
+@query(f"select sum(units_ok)::bigint as units_ok, sum(units_total)::bigint as units_total, sum(units_ok) / sum(units_total) as coverage from {OUTCOMES} where units_total > 0")
+def coverage(spark, d):
+    return health.coverage(_outcomes(spark, d))
+
+
+@query(f"select lower(regexp_extract(path, '(\\.[^./]+)$', 1)) as extension, count(*) as n_files, sum(size)::bigint as bytes from {FILES} group by 1")
+def extension_counts(spark, d):
+    return health.extension_counts(_files(spark, d).withColumn("extension", tx.extension(C("path"))))
+
+
+@query(f"select {BUCKET} as bucket, count(*) as n from {OUTCOMES} group by 1")
+def age_buckets(spark, d):
+    return _outcomes(spark, d).groupBy(health.age_bucket(C("modified"), F.expr(DAY)).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query(f"""
+with o as (select status, {BUCKET} as bucket from {OUTCOMES}),
+x as (select count(*) - count(distinct sha256(lower({NORM}))) as dup, sum(len(regexp_extract_all({NORM}, '{EMAIL}'))) as found from documents),
+s as (select round_even(40 * (count(*) filter (where status in ('ok', 'partial'))) / count(*), 0)::int as readable,
+  round_even(20 * (count(*) filter (where bucket in ('under_1', 'under_3'))) / (count(*) filter (where bucket <> 'unknown')), 0)::int as freshness,
+  round_even(15 * greatest(0.0, 1 - (select dup from x) / count(*)), 0)::int as uniqueness, 15 as capacity, case when (select found from x) > 0 then 4 else 10 end as safety from o),
+t as (select *, readable + freshness + uniqueness + capacity + safety as total from s)
+select *, case when total >= 85 then 'A' when total >= 70 then 'B' when total >= 50 then 'C' else 'D' end as grade from t""")
+def health_score(spark, d):
+    text = tx.normalize_text(C("text"))
+    docs = _t(spark, d, "documents").select(F.sha2(F.lower(text), 256).alias("sha"), F.regexp_count(text, F.lit(EMAIL)).alias("hits"))
+    found = docs.groupBy("sha").agg((F.count("*") - 1).alias("dup"), F.sum("hits").alias("hits")).agg(F.sum("dup").alias("dup"), F.sum("hits").alias("hits")).first()
+    return health.health_score(_outcomes(spark, d), F.expr(DAY), F.lit(found["dup"] or 0), F.lit(0), F.lit(found["hits"] or 0))
+
+
+# -- search ---------------------------------------------------------------------------
+
+
+@query(f"""
+with t as (select doc_id, {NORM} as t from documents),
+h as (select doc_id, t, strpos(lower(t), 'the') - 1 as p from t where contains(lower(t), 'the') and contains(lower(t), 'tion'))
+select doc_id, replace(substr(t, greatest(0, p - 80) + 1, p + 160 - greatest(0, p - 80)), chr(10), ' / ') as excerpt from h""")
+def content_search(spark, d):
+    return search.by_content(_t(spark, d, "documents"), "the TION", None)
+
+
+@query(f"select path from {FILES} where contains(lower(path), 'src1') and contains(lower(path), 'en') and lower(regexp_extract(path, '(\\.[^./]+)$', 1)) = '.txt' order by path limit 100")
+def name_search(spark, d):
+    return search.by_name(_files(spark, d), "SRC1 en", (".txt",)).select("path")
+
+
+@query("select event_id, ts from events where ts >= (select max(ts) from events) - interval 7 day order by ts desc, event_id desc limit 100")
+def recent_events(spark, d):
+    events = _t(spark, d, "events").select("event_id", "ts")
+    last = events.agg(F.max("ts")).first()[0]
+    return search.recent(events, F.lit(last), 7, 100, "ts", "event_id")
+
+
+@query(f"select doc_id, substr(t, 501, 1000) as text, length(t)::int as total, case when length(t) > 1500 then 1500 end as next from (select doc_id, {NORM} as t from documents)")
+def text_pages(spark, d):
+    return _t(spark, d, "documents").select("doc_id", search.page(C("text"), 500, 1000).alias("p")).select("doc_id", "p.*")
+
+
+# -- scenarios --------------------------------------------------------------------------
+
+
+_SCEN = " union all ".join(f"select '{n}' as scenario, {v}::double as ml_per_prompt" for n, v in scenario.SCENARIOS)
+_COMP = " union all ".join(f"select {i} as rank, '{n}' as comparison, {v!r}::double as comparison_ml, {str(ok).lower()} as verified" for i, (n, v, ok) in enumerate(scenario.COMPARISONS) if n not in scenario.NOT_TELLING)
+_VESS = " union all ".join(f"select {i} as rank, '{n}' as vessel, {v!r}::double as vessel_ml, {m} as max_copies" for i, (n, v, m) in enumerate(scenario.VESSELS))
+
+
+def _volumes(spark, d):
+    n = _t(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    return n.crossJoin(scenario.scenarios(spark)).select("user_id", "scenario", (C("n") * C("ml_per_prompt")).alias("ml"))
+
+
+VOLUMES = f"(select user_id, scenario, n * ml_per_prompt as ml from (select user_id, count(*) as n from events group by user_id) cross join ({_SCEN}))"
+
+
+@query(f"""
+with v as {VOLUMES}, c as ({_COMP}),
+j as (select v.user_id, v.scenario, v.ml, arg_max(c, c.rank) as c from v join c on v.ml / c.comparison_ml >= 1 or c.rank = 0 group by all)
+select user_id, scenario, ml, c.comparison as comparison, ml / c.comparison_ml as times, c.verified as verified from j""")
+def water_by_user(spark, d):
+    return scenario.most_telling(_volumes(spark, d), "ml", ["user_id", "scenario"])
+
+
+@query(f"""
+with v as (select user_id, scenario, ml * 1000 as ml from {VOLUMES}), s as ({_VESS}),
+j as (select v.user_id, v.scenario, v.ml, arg_min(s, s.rank) as s from v join s on ceil(v.ml / s.vessel_ml) <= s.max_copies or s.rank = 5 group by all)
+select user_id, scenario, ml, s.vessel as vessel, ceil(ml / s.vessel_ml)::bigint as copies from j""")
+def vessel_stage(spark, d):
+    return scenario.vessel_stage(_volumes(spark, d).withColumn("ml", C("ml") * 1000), "ml", ["user_id", "scenario"])
+
+
+@query(f"select r_regionkey as region, n_nationkey as nation, scenario, (r_regionkey + 1) * (n_nationkey + 1) * 30 * ml_per_prompt as ml, 2.5e9 * ml_per_prompt / 1000 / 86400 as world_lps from region cross join nation cross join ({_SCEN})")
+def volume_ladder(spark, d):
+    per_day, people = _t(spark, d, "region").select((C("r_regionkey") + 1).alias("per_day")), _t(spark, d, "nation").select((C("n_nationkey") + 1).alias("people"))
+    got = scenario.ladder(per_day, people, spark.range(1).select(F.lit(30).alias("days")))
+    return got.select((C("per_day") - 1).alias("region"), (C("people") - 1).alias("nation"), "scenario", "ml", scenario.rate_lps(C("ml_per_prompt"), F.lit(scenario.PROMPTS_PER_DAY)).alias("world_lps"))
+
+
+@query("""
+with e as (select user_id, ts, event_id, value, lead(ts) over (partition by user_id order by ts, event_id) as nxt from events)
+select user_id, round(sum((epoch_us(coalesce(nxt, timestamp '2024-02-01 00:00:00')) - epoch_us(ts)) / 1e6 * value), 3) as total from e group by user_id""")
+def piecewise_total(spark, d):
+    got = scenario.running_total(_t(spark, d, "events"), ["user_id"], F.lit("2024-02-01 00:00:00").cast("timestamp"), "ts", "value", ("ts", "event_id"))
+    return got.withColumn("total", F.round("total", 3))
+
+
+@query(f"""
+with v as {VOLUMES}, l as (select *, ml / 1000 as l from v),
+u as (select *, case when ml < 1000 then ml when l < 1e4 then l else l / 1e4 end as x, case when ml < 1000 then 'mL' when l < 1e4 then 'L' else '万 L' end as unit from l)
+select user_id, scenario, case when abs(x - round(x)) < 1e-9 then format('{{:,.0f}}', x) when x < 10 then format('{{:,.2f}}', round(x, 2)) when x < 100 then format('{{:,.1f}}', round(x, 1)) else format('{{:,.0f}}', round(x, 0)) end || ' ' || unit as volume from u""")
+def volume_texts(spark, d):
+    return _volumes(spark, d).select("user_id", "scenario", scenario.volume_text(C("ml")).alias("volume"))
+
+
+@query("""select event_id, case when s >= 3600 then (s // 3600) || ':' || lpad(((s % 3600) // 60)::varchar, 2, '0') || ':' || lpad((s % 60)::varchar, 2, '0') else lpad((s // 60)::varchar, 2, '0') || ':' || lpad((s % 60)::varchar, 2, '0') end as duration, round(log10(value + 1) / 4, 9) as position, floor(value * 1000 / 30000)::bigint as ticks
+from (select event_id, value, greatest(0, floor(value * 60))::bigint as s from events)""")
+def event_scales(spark, d):
+    ms = C("value") * 1000
+    return _t(spark, d, "events").select("event_id", scenario.duration_text(ms * 60).alias("duration"), F.round(scenario.log_position(C("value") + 1, 1.0, 10_000.0), 9).alias("position"), scenario.catch_up(ms, F.lit(0), 30_000)["n"].alias("ticks"))
+
+
+# -- days -----------------------------------------------------------------------------------
+
+
+def _days(spark, d):
+    return _t(spark, d, "events").select("user_id", cal.jst_day(C("ts")).alias("day"))
+
+
+DAYS = "(select distinct user_id, cast(ts + interval 9 hour as date) as day from events)"
+
+
+@query(f"""
+with d as {DAYS}, t as (select max(day) as today from d),
+i as (select user_id, day, day - (row_number() over (partition by user_id order by day))::int as a from d),
+s as (select user_id, min(day) as f, max(day) as l, count(*) as n from i group by user_id, a)
+select user_id, least(400, max(case when l >= today and f <= today then today - f + 1 when l = today - 1 then n else 0 end))::int as streak from s cross join t group by user_id""")
+def daily_streak(spark, d):
+    days = _days(spark, d)
+    today = days.agg(F.max("day")).first()[0]
+    return streaks.streak(days, ["user_id"], F.lit(today))
+
+
+@query(f"""
+with d as {DAYS}, s as (select user_id, min(day) as start, min(day) + 2 as "end" from d group by user_id),
+n as (select s.user_id, s.start, s."end", count(*) filter (where day between s.start and s."end") as n_days from s join d using (user_id) group by s.user_id, s.start, s."end")
+select *, n_days >= 3 and "end" <= cast('2024-02-01' as date) as covered from n""")
+def day_coverage(spark, d):
+    days = _days(spark, d)
+    spans = days.groupBy("user_id").agg(F.min("day").alias("start")).withColumn("end", F.date_add("start", 2))
+    return streaks.covers(days, spans, ["user_id"], F.expr(DAY))
+
+
+_PHASE = "case when strftime(k, '%m-%d') < '12-01' then 'prep' when strftime(k, '%m-%d') < '12-28' then 'dec' else 'final' end"
+
+
+@query(f"""
+with o as (select distinct cast(o_orderdate as date) as day from orders),
+e as (select day, unnest(generate_series(day, make_date(year(day), 12, 31), interval 1 day))::date as k from o)
+select day, any_value(case when strftime(day, '%m-%d') < '12-01' then 'prep' when strftime(day, '%m-%d') < '12-28' then 'dec' else 'final' end) as phase, (make_date(year(day), 12, 31) - day + 1)::int as days_left, sum(case {_PHASE} when 'prep' then 1 when 'dec' then 2 else 7 end)::int as weighted from e group by day""")
+def weighted_days(spark, d):
+    day = C("day")
+    o = _t(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
+    return o.select("day", cal.phase(day, F.year(day)).alias("phase"), cal.days_left(day, F.year(day)).alias("days_left"), cal.weighted_days(day, F.year(day)).alias("weighted"))
+
+
+_TITLE = "case " + " ".join(f"when n >= {n} then '{t}'" for n, t in cal.TITLES) + " end"
+
+
+@query(f"select user_id, n, {_TITLE} as title from (select user_id, count(*) filter (where event_type = 'purchase') as n from events group by user_id)")
+def title_tiers(spark, d):
+    n = _t(spark, d, "events").groupBy("user_id").agg(F.count_if(C("event_type") == "purchase").alias("n"))
+    return n.withColumn("title", cal.title_for(C("n")))
+
+
+@query(r"select conv_id, turn, try_cast(nullif(regexp_extract(replace(text, ',', ''), '(-?[0-9]+(?:\.[0-9]+)?)', 1), '') as double) as number from conversations")
+def numbers_in_turns(spark, d):
+    return _t(spark, d, "conversations").select("conv_id", "turn", cal.number_in(C("text")).alias("number"))
+
+
+@query("""
+with e as (select event_id, ts, user_id, max(cast(ts + interval 9 hour as date)) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding) as last_day from events)
+select event_id, coalesce(cast(ts + interval 9 hour as date) < last_day, false) as suspect from e""")
+def clock_suspects(spark, d):
+    from pyspark.sql.window import Window as W
+
+    last = F.max(cal.jst_day(C("ts"))).over(W.partitionBy("user_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, -1))
+    return _t(spark, d, "events").select("event_id", "ts", last.alias("last_day")).select("event_id", cal.clock_suspect(C("ts"), C("ts"), C("last_day")).alias("suspect"))
+
+
+# -- letters and colours ----------------------------------------------------------------------
+
+
+@query(f"select doc_id, md5(translate(rtrim(to_base64(encode(text)), '='), '{codec.BASE64}', '{codec.LETTERS}')) as letters from documents")
+def letter_codec(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.md5(codec.to_letters(C("text").cast("binary"))).alias("letters"))
+
+
+@query(f"""
+with l as (select doc_id as slot, translate(rtrim(to_base64(encode(text)), '='), '{codec.BASE64}', '{codec.LETTERS}') as data from documents)
+select slot, md5(data) as data, true as ok, true as same from l where data <> ''""")
+def card_round_trip(spark, d):
+    cards = _t(spark, d, "documents").select(C("doc_id").alias("slot"), codec.to_letters(C("text").cast("binary")).alias("data"))
+    back = codec.read_card(codec.card_lines(cards))
+    docs = _t(spark, d, "documents").select(C("doc_id").alias("slot"), "text")
+    return back.join(docs, "slot").select("slot", F.md5("data").alias("data"), "ok", (codec.from_letters(C("data")) == C("text").cast("binary")).alias("same"))
+
+
+@query("""
+with c as (select distinct unicode(ch) as cp from (select unnest(string_split(text, '')) as ch from documents) where ch <> ''),
+r as (select cp, cp - row_number() over (order by cp) as run from c)
+select min(cp)::int as first, max(cp)::int as last from r group by run""")
+def character_ranges(spark, d):
+    return codec.code_ranges(codec.used_characters(_t(spark, d, "documents")))
+
+
+_HEX = "('#' || upper(lpad(format('{:x}', (p_partkey * 7919) % 16777216), 6, '0')))"
+
+
+@query(f"""
+with c as (select p_partkey, {_HEX} as color from part),
+x as (select *, ('0x' || substr(color, 2, 2))::int as r, ('0x' || substr(color, 4, 2))::int as g, ('0x' || substr(color, 6, 2))::int as b from c)
+select p_partkey, color, 0.299 * r + 0.587 * g + 0.114 * b < 128 as dark, round(0.2126 * r / 255 + 0.7152 * g / 255 + 0.0722 * b / 255, 6) as luma, round((greatest(r, g, b) - least(r, g, b)) / 255, 6) as chroma,
+round_even((p_size * 7) / (96 / 72.0), 1) as pt from x join part using (p_partkey)""")
+def colors(spark, d):
+    as_text = F.concat(F.lit("#"), F.lower(F.lpad(F.hex((C("p_partkey") * 7919) % 16777216), 6, "0")))
+    rows = _t(spark, d, "part").select("p_partkey", "p_size", color.css_color(as_text).alias("color"))
+    c = C("color")
+    return rows.select("p_partkey", "color", color.is_dark(c).alias("dark"), F.round(color.luma(c), 6).alias("luma"), F.round(color.chroma(c), 6).alias("chroma"), color.px_to_pt(F.concat((C("p_size") * 7).cast("string"), F.lit("px"))).alias("pt"))
 
 
-QUERIES = {"pii_email_by_lang": pii_email_by_lang}
+# -- conversations ------------------------------------------------------------------------------
 
-_NORM = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
 
-ORACLE_SQL = {
-    "pii_email_by_lang": f"""
-select lang, count(*) as n_docs, count(*) filter (where h > 0) as flagged, sum(h)::bigint as hits
-from (select lang, len(regexp_extract_all({_NORM}, '{EMAIL}')) as h from documents) group by lang""",
-}
+@query(f"""
+with t as (select conv_id, turn, role, array_to_string({FILLED.format('text')}, ' / ') as o from conversations),
+l as (select conv_id, turn, role || ': ' || case when length(o) > 160 then left(o, 160) || '...' else o end as line from t)
+select conv_id, count(*)::int as turns, md5(string_agg(line, chr(10) order by turn, line)) as digest from l group by conv_id""")
+def conversation_digest(spark, d):
+    line = F.concat(C("role"), F.lit(": "), tx.one_line(C("text")))
+    rows = _t(spark, d, "conversations").select("conv_id", "turn", line.alias("line"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n")
+    return rows.groupBy("conv_id").agg(F.count("*").cast("int").alias("turns"), F.md5(joined).alias("digest"))
