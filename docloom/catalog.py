@@ -434,7 +434,7 @@ def volume_texts(spark, d):
 
 
 @query("""select event_id, case when s >= 3600 then (s // 3600) || ':' || lpad(((s % 3600) // 60)::varchar, 2, '0') || ':' || lpad((s % 60)::varchar, 2, '0') else lpad((s // 60)::varchar, 2, '0') || ':' || lpad((s % 60)::varchar, 2, '0') end as duration, round(log10(value + 1) / 4, 9) as position, floor(value * 1000 / 30000)::bigint as ticks
-from (select event_id, value, greatest(0, floor(value * 60))::bigint as s from events)""")
+from (select event_id, value, greatest(0, floor(value * 1000 * 60 / 1000))::bigint as s from events)""")
 def event_scales(spark, d):
     ms = C("value") * 1000
     return _t(spark, d, "events").select("event_id", scenario.duration_text(ms * 60).alias("duration"), F.round(scenario.log_position(C("value") + 1, 1.0, 10_000.0), 9).alias("position"), scenario.catch_up(ms, F.lit(0), 30_000)["n"].alias("ticks"))
