@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from .functions import calendar as cal
 from .functions import codec, color, digest, pii
 from .functions import text as tx
-from .operators import chunking, health, packing, publish, scenario, search, similarity, snapshot, streaks
+from .operators import chunking, health, packing, publish, scenario, search, similarity, snapshot, streaks, structure
+from .sources import html
 
 FLAGSHIP = "pii_email_by_lang"
 QUERIES: dict = {}
@@ -561,3 +562,18 @@ def conversation_digest(spark, d):
     rows = _t(spark, d, "conversations").select("conv_id", "turn", line.alias("line"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n")
     return rows.groupBy("conv_id").agg(F.count("*").cast("int").alias("turns"), F.md5(joined).alias("digest"))
+
+
+# -- pages ----------------------------------------------------------------------------------------
+
+
+@query()
+def page_elements(spark, d):
+    got = html.elements(_t(spark, d, "pages"))
+    return got.select("page_id", "slide_no", "el_no", "layout", "type", "role", F.md5(structure.plain_text(C("lines"))).alias("text"))
+
+
+@query()
+def page_kinds(spark, d):
+    rows = structure.classified(structure.slides(html.elements(_t(spark, d, "pages"))))
+    return rows.select("page_id", "slide_no", "layout", "title", "kind", "reason", F.size("body").alias("n_body"))
