@@ -26,7 +26,9 @@ REACH = LENGTH - GRAM
 #: Bytes that multikey sorting looks at before the tries take over.
 SHALLOW = 32
 #: Window starts that are worked on at once, and context bytes that are sorted at once, about.
-SEGMENT, SORTED_TOGETHER = 1 << 20, 24 << 20
+SEGMENT, SORTED_TOGETHER = 1 << 20, 12 << 20
+#: Distinct contexts of one gram that are sorted as one group; larger groups are divided by half a context.
+MOST_CONTEXTS = 10_000
 _SLICE = 2 << 20
 _EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
@@ -38,7 +40,9 @@ def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """(position, hash of the gram there) of the anchors of texts laid end to end, ascending.
 
     The anchor of a window is its least hash, the leftmost of equal ones, so
-    it depends on nothing but the window's bytes.
+    it depends on nothing but the window's bytes.  Grams that repeat a part of
+    at most half their length come after all others: a stretch of such text is
+    anchored at its borders, and inside only where a window holds nothing else.
     """
     n = len(raw)
     inside = np.zeros(n + 1, np.int32)  # whether a window that starts here ends in the same text
@@ -58,7 +62,9 @@ def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         total = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(_LETTER[part] * up, out=total[1:])
         grams = mixed((total[GRAM:] - total[:-GRAM]) * down[: len(part) - GRAM + 1])
-        least = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
+        top = np.uint64(1 << 63)
+        ranked = np.where(periodic(part), grams | top, grams & ~top)
+        least = (ranked & ~low) | np.arange(len(grams), dtype=np.uint64)
         span = REACH + 1
         width = 1
         while 2 * width <= span:
@@ -75,13 +81,28 @@ def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return position[first], value[first]
 
 
+def periodic(raw: np.ndarray) -> np.ndarray:
+    """Whether the gram at each place has a period of at most half its length."""
+    out = np.zeros(len(raw) - GRAM + 1, bool)
+    ones = np.uint64(0x0101010101010101)
+    for p in range(1, GRAM // 2 + 1):
+        same = raw[p:] == raw[:-p]
+        #: a long run holds several whole words of equal bytes; most distances have none
+        words = same[: len(same) // 8 * 8].view(np.uint64) == ones
+        if len(words) < 4 or not (words[:-3] & words[1:-2] & words[2:-1] & words[3:]).any():
+            continue
+        total = np.concatenate([[0], np.cumsum(same, dtype=np.int32)])
+        out |= total[GRAM - p : GRAM - p + len(out)] - total[: len(out)] == GRAM - p
+    return out
+
+
 def thinned(position: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """(which anchors of a text to keep, spans that repeat themselves).
 
     Equal grams that overlap at one distance make the text periodic from the
     first to the last; if that stretch is a period longer than LENGTH, each of
-    its strings occurs again a period on, so all of it goes.  Its anchors are
-    needed near its two ends only.
+    its strings occurs again a period on, so all of it goes.  Of its anchors
+    the first and last three stand for all others.
     """
     keep = np.ones(len(position), bool)
     spans: list[tuple[int, int]] = []
@@ -101,8 +122,7 @@ def thinned(position: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, list[t
         lo, hi = int(position[a]), int(position[b + 1]) + GRAM
         if hi - lo >= LENGTH + gap[a]:
             spans.append((lo, hi))
-            inner = slice(a, b + 2)
-            keep[inner] &= (position[inner] < lo + 2 * LENGTH) | (position[inner] + GRAM > hi - 2 * LENGTH)
+            keep[a + 3 : b - 1] = False
         i = int(np.searchsorted(hits, b + 1))
     return keep, spans
 
@@ -222,37 +242,40 @@ def deep_shallow(heads: np.ndarray, strings: list[bytes]) -> tuple[np.ndarray, n
     return order, lcp
 
 
-def repeated_offsets(heads: np.ndarray, count: np.ndarray, left: list[bytes], right: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For each context, the least and greatest o such that the string of LENGTH bytes that starts o before the gram occurs again; -1 if none does.
+def shared_offsets(heads: np.ndarray, left: list[bytes], right: list[bytes], lo: int = 0, hi: int = REACH) -> tuple[np.ndarray, np.ndarray]:
+    """For each context, the least and greatest o from lo to hi such that another of its head has the same string of LENGTH bytes from o before the gram; -1 if none has.
 
-    ``left`` is reversed, ``right`` begins behind the gram, and no context of a
-    head occurs twice (``count`` says how often it does in the corpus).  Two
-    contexts share the string at o if they share o bytes to the left and
-    REACH - o to the right: the same run of neighbours in both orders.
+    ``left`` is reversed, ``right`` begins behind the gram.  Two contexts share
+    the string at o if they share o bytes to the left and REACH - o to the
+    right: if they stand in the same run of neighbours in both orders.
     """
     n = len(heads)
     least, most = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
-    if n:
-        order_l, lcp_l = deep_shallow(heads, left)
-        order_r, lcp_r = deep_shallow(heads, right)
-        run_l, run_r = np.empty(n, np.int64), np.empty(n, np.int64)
-        for o in range(REACH + 1):
-            run_l[order_l] = np.cumsum(lcp_l < o)
-            run_r[order_r] = np.cumsum(lcp_r < REACH - o)
-            key = run_l * (n + 1) + run_r
-            ordered = np.sort(key)
-            twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-            if not len(twice):
-                continue
-            at = np.searchsorted(twice, key)
-            found = np.flatnonzero(twice[np.minimum(at, len(twice) - 1)] == key)
-            least[found] = np.where(least[found] < 0, o, least[found])
-            most[found] = o
+    if n < 2:
+        return least, most
+    order_l, lcp_l = deep_shallow(heads, left)
+    order_r, lcp_r = deep_shallow(heads, right)
+    run_l, run_r = np.empty(n, np.int64), np.empty(n, np.int64)
+    for o in range(lo, hi + 1):
+        run_l[order_l] = np.cumsum(lcp_l < o)
+        run_r[order_r] = np.cumsum(lcp_r < REACH - o)
+        key = run_l * (n + 1) + run_r
+        ordered = np.sort(key)
+        twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+        if not len(twice):
+            continue
+        at = np.searchsorted(twice, key)
+        found = np.flatnonzero(twice[np.minimum(at, len(twice) - 1)] == key)
+        least[found] = np.where(least[found] < 0, o, least[found])
+        most[found] = o
+    return least, most
+
+
+def own_offsets(count: np.ndarray, left: list[bytes], right: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The same for contexts that occur more than once as a whole: every o that they have room for."""
     a, b = np.array([len(x) for x in left], np.int64), np.array([len(x) for x in right], np.int64)
     whole = (count > 1) & (a + b >= REACH)
-    least = np.where(whole, np.where(least < 0, REACH - b, np.minimum(least, REACH - b)), least)
-    most = np.where(whole, np.maximum(most, a), most)
-    return least, most
+    return np.where(whole, REACH - b, -1), np.where(whole, a, -1)
 
 
 # -- over the corpus ------------------------------------------------------------
@@ -284,41 +307,66 @@ def _contexts(texts: DataFrame) -> DataFrame:
 
 
 def _offsets(contexts: DataFrame) -> DataFrame:
-    """(gram, ctx, least, most) of distinct contexts that hold a repeated string."""
-    ordered = contexts.repartition("gram").sortWithinPartitions("gram")
+    """(gram, ctx, least, most) of the contexts (gram, ctx, left, right) that hold a repeated string.
+
+    Contexts of a gram are one group.  A group of more than MOST_CONTEXTS is
+    divided twice: strings that begin in the farther half of the left side
+    need the nearer half of it in common, all others half of the right side.
+    """
+    half = REACH // 2
+    distinct = contexts.groupBy("gram", "ctx").agg(F.first("left").alias("left"), F.first("right").alias("right"), F.count("*").alias("n"))
+    crowded = contexts.select("gram", "ctx").distinct().groupBy("gram").agg(F.count("*").alias("held")).where(F.col("held") > MOST_CONTEXTS)
+    crowded = staged(crowded.select("gram", F.lit(True).alias("crowded")))
+    one = F.array(F.struct(F.col("gram").alias("head"), F.lit(0).alias("lo"), F.lit(REACH).alias("hi")))
+    if crowded.isEmpty():
+        rows = distinct.withColumn("part", F.explode(one))
+    else:
+        side = lambda c, lo, hi: F.struct(F.xxhash64("gram", F.lit(c), F.substring(c, 1, half)).alias("head"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))
+        two = F.array(side("left", half, REACH), side("right", 0, half - 1))
+        rows = distinct.join(crowded, "gram", "left").withColumn("part", F.explode(F.when(F.col("crowded"), two).otherwise(one)))
+    rows = rows.select("gram", "ctx", "left", "right", "n", "part.head", "part.lo", "part.hi")
+    ordered = rows.repartition("head").sortWithinPartitions("head")
 
     def solve(held):
         t = pa.Table.from_batches(held)
-        heads = t["gram"].to_numpy().view(np.uint64)
-        least, most = repeated_offsets(heads, t["n"].to_numpy(), t["left"].to_pylist(), t["right"].to_pylist())
+        head, lo, hi = t["head"].to_numpy(), t["lo"].to_numpy(), t["hi"].to_numpy()
+        left, right = t["left"].to_pylist(), t["right"].to_pylist()
+        least, most = own_offsets(t["n"].to_numpy(), left, right)
+        for a, b in {(int(x), int(y)) for x, y in zip(lo, hi)}:
+            at = np.flatnonzero(lo == a)
+            #: a context alone with its head shares nothing
+            _, back, times = np.unique(head[at], return_inverse=True, return_counts=True)
+            at = at[times[back] > 1]
+            x, y = shared_offsets(head[at].view(np.uint64), [left[i] for i in at], [right[i] for i in at], a, b)
+            least[at] = np.where((least[at] < 0) | ((x >= 0) & (x < least[at])), x, least[at])
+            most[at] = np.maximum(most[at], y)
         hit = np.flatnonzero(least >= 0)
         return pa.RecordBatch.from_arrays([pa.array(t["gram"].to_numpy()[hit]), pa.array(t["ctx"].to_numpy()[hit]), pa.array(least[hit]), pa.array(most[hit])], names=["gram", "ctx", "least", "most"])
 
     def run(batches):
         held, size, last = [], 0, None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            gram = batch.column("gram").to_numpy()
-            #: a chunk ends only where another gram begins
-            if size > SORTED_TOGETHER:
-                fresh = np.flatnonzero(gram != last)
-                cut = int(fresh[0]) if len(fresh) else len(gram)
-                if cut:
-                    held.append(batch.slice(0, cut))
-                if cut < len(gram):
-                    yield solve(held)
-                    held, size = [], 0
-                batch = batch.slice(cut)
-                gram = gram[cut:]
-            if batch.num_rows:
-                held.append(batch)
-                size += batch.num_rows * 2 * REACH
-                last = gram[-1]
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                head = part.column("head").to_numpy()
+                if size > SORTED_TOGETHER:  # a chunk ends only where another head begins
+                    fresh = np.flatnonzero(head != last)
+                    cut = int(fresh[0]) if len(fresh) else len(head)
+                    if cut:
+                        held.append(part.slice(0, cut))
+                    if cut < len(head):
+                        yield solve(held)
+                        held, size = [], 0
+                    part, head = part.slice(cut), head[cut:]
+                if part.num_rows:
+                    held.append(part)
+                    size += part.num_rows * 2 * REACH
+                    last = head[-1]
         if held:
             yield solve(held)
 
-    return map_arrow(ordered, run, "gram long, ctx long, least long, most long")
+    found = map_arrow(ordered, run, "gram long, ctx long, least long, most long")
+    return found.groupBy("gram", "ctx").agg(F.min("least").alias("least"), F.max("most").alias("most"))
 
 
 def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -372,20 +420,21 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, id_col: str = "doc_
     found = _anchor_rows(base.where(F.octet_length("text") >= LENGTH).select("doc_id", "tid", "text")).withColumnRenamed("doc_id", "rep")
     found = staged(found.join(reps, ["rep", "tid"], "left_semi").dropDuplicates(["rep", "tid"]))
     each = found.select("rep", "tid", F.explode(F.arrays_zip(F.col("grams").alias("gram"), F.col("positions").alias("pos"))).alias("m")).select("rep", "tid", "m.gram", "m.pos")
-    again = each.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    again = staged(each.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
     marks = each.join(again, "gram", "left_semi").groupBy("rep", "tid").agg(F.collect_list(F.struct("pos", "gram")).alias("marks"))
     own = found.where(F.size("lows") > 0).select("rep", "tid", F.arrays_zip(F.col("lows").alias("lo"), F.col("highs").alias("hi")).alias("own"))
     wanted = marks.join(own, ["rep", "tid"], "full")
     texts = base.withColumnRenamed("doc_id", "rep").select("rep", "tid", "text")
-    marked = staged(texts.join(wanted, ["rep", "tid"]).dropDuplicates(["rep", "tid"]))
+    marked = texts.join(wanted.hint("shuffle_hash"), ["rep", "tid"])
+    if not meta.groupBy("doc_id", "tid").count().where("count > 1").isEmpty():  # a row that is there twice
+        marked = marked.dropDuplicates(["rep", "tid"])
+    marked = staged(marked)
 
     contexts = staged(_contexts(marked.where("marks is not null").select("rep", "tid", "text", "marks")))
-    distinct = contexts.groupBy("gram", "ctx").agg(F.first("left").alias("left"), F.first("right").alias("right"), F.count("*").alias("n"))
-    offsets = _offsets(distinct.select("gram", "ctx", "left", "right", "n"))
-    spans = contexts.select("rep", "tid", "pos", "gram", "ctx").join(offsets, ["gram", "ctx"]).select("rep", "tid", F.struct((F.col("pos") - F.col("most")).cast("int").alias("lo"), (F.col("pos") + LENGTH - F.col("least")).cast("int").alias("hi")).alias("span"))
+    spans = contexts.select("rep", "tid", "pos", "gram", "ctx").join(_offsets(contexts), ["gram", "ctx"]).select("rep", "tid", F.struct((F.col("pos") - F.col("most")).cast("int").alias("lo"), (F.col("pos") + LENGTH - F.col("least")).cast("int").alias("hi")).alias("span"))
     spans = spans.groupBy("rep", "tid").agg(F.collect_list("span").alias("spans"))
     none = F.array().cast("array<struct<lo:int,hi:int>>")
-    cut = marked.select("rep", "tid", "text", "own").join(spans, ["rep", "tid"], "left").select("rep", "tid", "text", F.concat(F.coalesce("own", none), F.coalesce("spans", none)).alias("spans")).where(F.size("spans") > 0)
+    cut = marked.select("rep", "tid", "text", "own").join(spans.hint("shuffle_hash"), ["rep", "tid"], "left").select("rep", "tid", "text", F.concat(F.coalesce("own", none), F.coalesce("spans", none)).alias("spans")).where(F.size("spans") > 0)
     cut = _without(cut)
     if not keep_text:
         cut = cut.drop("kept")
