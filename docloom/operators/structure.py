@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions import text as tx
 
@@ -105,9 +106,7 @@ def title_and_text(c: Column) -> Column:
     return F.struct(F.trim(F.get(parts, F.lit(0))).alias("title"), F.coalesce(F.trim(F.get(parts, F.lit(1))), F.lit("")).alias("text"))
 
 
-def fitting(rows: DataFrame, text_col: str, order: list, most: int = 12_000) -> DataFrame:
-    """The first rows whose texts together, a line end behind each, stay within the limit."""
-    from pyspark.sql.window import Window as W
-
-    used = F.sum(F.length(text_col) + 1).over(W.orderBy(*order))
+def fitting(rows: DataFrame, text_col: str, key: list[str], order: list, most: int = 12_000) -> DataFrame:
+    """The first rows of each key whose texts together, a line end behind each, stay within the limit."""
+    used = F.sum(F.length(text_col) + 1).over(W.partitionBy(*key).orderBy(*order))
     return rows.withColumn("used", used).where(F.col("used") <= most)

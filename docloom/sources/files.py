@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators.ordering import numbered
 from . import readers
 
 # What a scan leaves out.
@@ -39,7 +40,10 @@ def is_cloud_only(attributes: Column) -> Column:
 
 
 def listed(spark: SparkSession, root: str) -> DataFrame:
-    """(path, size, modified, content) of all files below the root; content is read only if used."""
+    """(path, size, modified, content) of all files below the root; content is read only if used.
+
+    Spark itself never lists names that begin with ``_`` or ``.``.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return found.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
 
@@ -93,10 +97,9 @@ def order_files(files: DataFrame, priority: tuple[str, ...] = (), newest_first:
     for i, folder in enumerate(p.strip("/\\").replace("\\", "/") for p in priority if p.strip()):
         rank = rank.when((rel == folder) | rel.startswith(folder + "/"), i)
     rank = rank.otherwise(len(priority)) if priority else F.lit(0)
-    keys = [rank, *([F.desc("modified")] if newest_first else []), F.lower(rel)]
-    from pyspark.sql.window import Window as Win
-
-    return files.withColumn("nth", F.row_number().over(Win.orderBy(*keys)))
+    age = -F.unix_micros("modified") if newest_first else F.lit(0)
+    places = numbered(files.select("relative_path", "modified"), [rank, age, F.lower(rel), rel])
+    return files.join(places.select("relative_path", "nth"), "relative_path")
 
 
 def chunk_records(spark: SparkSession, path: str) -> DataFrame:
