@@ -48,7 +48,7 @@ ATOMS = {
     "extra": lambda r: F.trim(F.coalesce(F.element_at("extras", r["text"]), F.lit(""))) != "",
     "extrasAll": lambda r: F.forall(F.split(r["text"], ","), lambda k: F.trim(F.coalesce(F.element_at(F.col("extras"), k), F.lit(""))) != ""),
     "timer": lambda r: F.coalesce("timer_done", F.lit(0)) >= r["value"],
-    "newRecord": lambda r: F.coalesce(F.exists("attempts", lambda a: cal.number_in(a) > cal.number_in(F.element_at(F.col("extras"), "record"))), F.lit(False)),
+    "newRecord": lambda r: F.coalesce(F.exists("attempts", lambda a: cal.number_in(a["text"]) > cal.number_in(F.element_at(F.col("extras"), "record"))), F.lit(False)),
 }
 
 
