@@ -209,13 +209,17 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     parts = parts_taken(laid, draw_blocks(docs.sparkSession, sources), sources)
     epochs = parts.groupBy("s", "start", "epoch").agg(F.sum("words").alias("words"), F.collect_list("block").alias("blocks"))
     takes = epochs.groupBy("s", "start").agg(F.collect_list(F.struct("epoch", "words", "blocks")).alias("takes"))
-    #: rows of one id are told apart by their rank among them, in the same order on both sides
-    named = laid.join(takes, ["s", "start"]).select(F.col("doc_id").alias("take_id"), "s", "start", "takes")
-    ranked = laid.select(F.col("doc_id").alias("take_id"), "s", "start", F.row_number().over(W.partitionBy("doc_id").orderBy("size", source_key(), "start")).alias("take_nth"))
-    plan = ranked.join(named, ["take_id", "s", "start"])
-    size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    rows = docs.withColumn("take_size", size).where("take_size > 0").withColumn("nth", F.row_number().over(W.partitionBy("doc_id").orderBy("take_size", source_key(), F.xxhash64("text"))))
-    joined = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("take_id")) & (F.col("nth") == F.col("take_nth"))).withColumn("take", F.explode("takes"))
+    named = laid.join(takes, ["s", "start"]).select(F.col("doc_id").alias("take_id"), "s", "start", F.col("size").alias("take_size"), "takes")
+    if sized.groupBy("doc_id").count().where("count > 1").isEmpty():
+        joined = docs.join(named.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("take_id")))
+    else:
+        #: rows of one id are told apart by their rank among them, in the same order on both sides
+        ranked = laid.select(F.col("doc_id").alias("take_id"), "s", "start", F.row_number().over(W.partitionBy("doc_id").orderBy("size", source_key(), "start")).alias("take_nth"))
+        plan = ranked.join(named, (ranked["take_id"].eqNullSafe(named["take_id"])) & (ranked["s"] == named["s"]) & (ranked["start"] == named["start"])).select(ranked["take_id"], ranked["s"], ranked["start"], "take_nth", "take_size", "takes")
+        size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD))
+        rows = docs.withColumn("own_size", size).where("own_size > 0").withColumn("nth", F.row_number().over(W.partitionBy("doc_id").orderBy("own_size", source_key(), F.xxhash64("text"))))
+        joined = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("take_id")) & (F.col("nth") == F.col("take_nth")))
+    joined = joined.withColumn("take", F.explode("takes"))
     length = pick([x.block for x in sources], F.col("s"))
     words = F.filter(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda w, i: F.array_contains(F.col("take.blocks"), F.floor((F.col("start") + i) / length)))
     text = F.when(F.col("take.words") == F.col("take_size"), F.col("text")).otherwise(F.array_join(words, " "))
