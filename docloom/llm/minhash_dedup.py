@@ -105,7 +105,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 out += [shingle_set(words[before[i] : before[i + 1]], width).tobytes() for i in range(b - a)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["rep", "shingles"])
 
-    texts = docs.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
+    texts = docs.join(wanted.select(F.col("rep").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi").select("doc_id", "text")
     return map_arrow(texts, run, "rep long, shingles binary")
 
 
