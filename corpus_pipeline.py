@@ -25,8 +25,12 @@ def keep_known_languages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies; rows of one id are one document."""
     found = minhash_dedup.near_duplicates(docs)
+    found = staged(found.select("doc_id", "kept"))
     dropped = found.where("not kept and doc_id is not null").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti")
+    #: a hash of the few dropped ids, so that texts are shuffled at most, not sorted
+    kept = docs.join(dropped.hint("shuffle_hash"), "doc_id", "left_anti")
+    if found.where("kept").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept.select(*docs.columns)
     first = kept.withColumn("nth_of_id", F.row_number().over(W.partitionBy("doc_id").orderBy("doc_id")))
     return first.where("nth_of_id = 1 or doc_id is null").select(*docs.columns)
 
@@ -35,7 +39,7 @@ def cut_repeated_passages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the byte strings that repeat; a character cut in two is dropped."""
     found = suffix_dedup.remove_repeats(docs, keep_text=True).where("n_removed > 0")
     found = staged(found.groupBy(F.col("doc_id").alias("cut_id"), F.col("n_bytes").alias("cut_bytes"), "kept_sha256").agg(F.first("kept").alias("kept")))
-    rows = docs.join(found, F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.octet_length("text") == F.col("cut_bytes")), "left")
+    rows = docs.join(found.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.octet_length("text") == F.col("cut_bytes")), "left")
     text = F.when(F.col("cut_id").isNull(), F.col("text")).otherwise(F.coalesce("kept", F.lit("")))
     return rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
 
