@@ -87,12 +87,20 @@ def periodic(raw: np.ndarray) -> np.ndarray:
     ones = np.uint64(0x0101010101010101)
     for p in range(1, GRAM // 2 + 1):
         same = raw[p:] == raw[:-p]
-        #: a long run holds several whole words of equal bytes; most distances have none
+        #: a long run holds several whole words of equal bytes; most distances have few
         words = same[: len(same) // 8 * 8].view(np.uint64) == ones
-        if len(words) < 4 or not (words[:-3] & words[1:-2] & words[2:-1] & words[3:]).any():
+        if len(words) < 4:
             continue
-        total = np.concatenate([[0], np.cumsum(same, dtype=np.int32)])
-        out |= total[GRAM - p : GRAM - p + len(out)] - total[: len(out)] == GRAM - p
+        at = np.flatnonzero(words[:-3] & words[1:-2] & words[2:-1] & words[3:])
+        if not len(at):
+            continue
+        need, edges = GRAM - p, np.flatnonzero(np.diff(at) > GRAM // 4) + 1
+        for i, j in zip(np.append(0, edges), np.append(edges, len(at))):
+            lo, hi = max(0, 8 * at[i] - GRAM), 8 * at[j - 1] + 32 + GRAM
+            total = np.concatenate([[0], np.cumsum(same[lo:hi], dtype=np.int32)])
+            full = total[need:] - total[: max(0, len(total) - need)] == need
+            part = out[lo : lo + len(full)]
+            part |= full[: len(part)]
     return out
 
 
