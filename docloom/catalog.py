@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import calendar as cal
-from .functions import codec, color, digest, pii
+from .functions import codec, color, digest, pii, records
 from .functions import text as tx
-from .operators import chunking, health, packing, publish, scenario, search, similarity, snapshot, streaks, structure
-from .sources import html
+from .operators import chunking, health, packing, prompts, publish, scenario, search, similarity, snapshot, streaks, structure
+from .sources import html, kinds, theme
 
 FLAGSHIP = "pii_email_by_lang"
 QUERIES: dict = {}
@@ -577,3 +577,61 @@ def page_elements(spark, d):
 def page_kinds(spark, d):
     rows = structure.classified(structure.slides(html.elements(_t(spark, d, "pages"))))
     return rows.select("page_id", "slide_no", "layout", "title", "kind", "reason", F.size("body").alias("n_body"))
+
+
+@query()
+def page_prompts(spark, d):
+    pages = _t(spark, d, "pages")
+    rows = structure.classified(structure.slides(html.elements(pages)))
+    got = prompts.prompts(rows, pages.select("page_id", F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("title")), 4000)
+    return got.select("page_id", F.md5("prompt").alias("prompt"), F.array_join("kinds", ",").alias("kinds"), "n_slides", "dropped")
+
+
+@query()
+def page_themes(spark, d):
+    got = theme.themes(_t(spark, d, "pages"))
+    return got.select("page_id", F.to_json("colors").alias("colors"), F.to_json("fonts").alias("fonts"), F.array_join("palette", ",").alias("palette"), "external_css")
+
+
+@query("select page_id, case when contains(lower(left(html, 400)), '<html') or contains(lower(left(html, 400)), '<!doctype') or regexp_matches(lower(url), '\\.html?$') then 'html' else 'unknown' end as kind from pages")
+def page_file_kinds(spark, d):
+    return _t(spark, d, "pages").select("page_id", kinds.plain_kind(C("html").cast("binary"), C("url")).alias("kind"))
+
+
+@query(f"""
+with s as (select path, regexp_replace(regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^.]*$', ''), '[\\\\/:*?"<>|0-9]', '_', 'g') as stem from {FILES}),
+n as (select path, stem, row_number() over (partition by stem order by path) as k from s)
+select path, case when k = 1 then stem else stem || '_' || k end as file_name from n""")
+def digest_names(spark, d):
+    rows = _files(spark, d).select("path", F.regexp_replace("path", "[0-9](?=[^/]*$)", "_").alias("shown"))
+    return records.unique_names(rows, "shown", ["path"]).select("path", "file_name")
+
+
+@query("select sha1(text) as sha1, min(conv_id * 1000000 + turn) as first from conversations group by 1")
+def first_turns(spark, d):
+    rows = _t(spark, d, "conversations").select((C("conv_id") * 1_000_000 + C("turn")).alias("first"), "text")
+    return records.first_assets(rows, "text", ["first"]).select("sha1", "first")
+
+
+@query("""
+with t as (select conv_id, turn, role, text, case when lag(role) over (partition by conv_id order by turn) is not distinct from role then 0 else 1 end as fresh from conversations),
+i as (select *, sum(fresh) over (partition by conv_id order by turn) as island from t)
+select conv_id, min(turn) as first, any_value(role) as role, md5(string_agg(text, '' order by turn)) as text from i group by conv_id, island""")
+def merged_turns(spark, d):
+    rows = _t(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    return records.merged_runs(rows, ["conv_id"], "turn", "role", "text").select("conv_id", "first", "role", F.md5("text").alias("text"))
+
+
+@query("select doc_id, not starts_with(p, '/') and not contains(p, '..') as safe from (select doc_id, case doc_id % 4 when 0 then '/' || source when 1 then '../' || source when 2 then source || '/./' || lang else source || '/' || lang end as p from documents)")
+def safe_paths(spark, d):
+    k = C("doc_id") % 4
+    p = F.when(k == 0, F.concat(F.lit("/"), C("source"))).when(k == 1, F.concat(F.lit("../"), C("source"))).when(k == 2, F.concat_ws("/./", "source", "lang")).otherwise(F.concat_ws("/", "source", "lang"))
+    return _t(spark, d, "documents").select("doc_id", records.is_safe_path(p).alias("safe"))
+
+
+@query("select doc_id, true as same, true as tampered from documents")
+def sealed_texts(spark, d):
+    key, head = F.lit("0123456789abcdef").cast("binary"), F.lit("head").cast("binary")
+    sealed = records.seal(C("text").cast("binary"), key, head)
+    rows = _t(spark, d, "documents").select("doc_id", "text", sealed.alias("sealed"))
+    return rows.select("doc_id", (records.unseal(C("sealed"), key, head) == C("text").cast("binary")).alias("same"), records.unseal(C("sealed"), key, F.lit("other").cast("binary")).isNull().alias("tampered"))

@@ -66,3 +66,43 @@ def inline_style(c: Column) -> Column:
     good = F.filter(pairs, ok)
     #: the last of equal properties stands
     return F.map_from_entries(F.transform(F.array_distinct(F.transform(good, lambda p: p["k"])), lambda k: F.struct(k, F.element_at(F.filter(good, lambda p: p["k"] == k), -1)["v"])))
+
+
+def transformed(c: Column, steps: Column) -> Column:
+    """A colour after steps (op, value) in order: lum, sat and hue mod or off, shade, tint, gray, inv.
+
+    Values are fractions, of hueOff degrees.  Lightness steps work in HLS,
+    shade and tint in linear light toward black and white.
+    """
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def run(colors: pd.Series, all_steps: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else transform_color(x, [(s["op"], s["value"]) for s in (y if y is not None else [])]) for x, y in zip(colors, all_steps)], dtype=object)
+
+    return run(c, steps)
+
+
+def transform_color(color: str, steps: list[tuple[str, float]]) -> str:
+    import colorsys
+
+    unit = lambda v: min(1.0, max(0.0, v))
+    linear = lambda v: v / 12.92 if v <= 0.04045 else ((v + 0.055) / 1.055) ** 2.4
+    display = lambda v: v * 12.92 if v <= 0.0031308 else 1.055 * v ** (1 / 2.4) - 0.055
+    rgb = [int(color[i : i + 2], 16) / 255 for i in (1, 3, 5)]
+    for op, value in steps:
+        what, how = op[:3], op[3:]
+        if what in ("lum", "sat", "hue"):
+            h, l, s = colorsys.rgb_to_hls(*rgb)  # noqa: E741
+            now = {"hue": h, "lum": l, "sat": s}[what]
+            moved = now * value if how == "Mod" else now + (value / 360 if what == "hue" else value)
+            h, l, s = (moved % 1 if what == "hue" else h, unit(moved) if what == "lum" else l, unit(moved) if what == "sat" else s)  # noqa: E741
+            rgb = list(colorsys.hls_to_rgb(h, l, s))
+        elif op in ("shade", "tint"):
+            goal = float(op == "tint")
+            rgb = [display(unit(goal + (linear(unit(v)) - goal) * value)) for v in rgb]
+        elif op == "gray":
+            rgb = [0.299 * rgb[0] + 0.587 * rgb[1] + 0.114 * rgb[2]] * 3
+        elif op == "inv":
+            rgb = [1 - v for v in rgb]
+    return "#" + "".join(f"{round(unit(v) * 255):02X}" for v in rgb)
