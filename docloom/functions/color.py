@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,8 +75,6 @@ def transformed(c: Column, steps: Column) -> Column:
     Values are fractions, of hueOff degrees.  Lightness steps work in HLS,
     shade and tint in linear light toward black and white.
     """
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(colors: pd.Series, all_steps: pd.Series) -> pd.Series:
         return pd.Series([None if x is None else transform_color(x, [(s["op"], s["value"]) for s in (y if y is not None else [])]) for x, y in zip(colors, all_steps)], dtype=object)
