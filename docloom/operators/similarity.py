@@ -23,13 +23,23 @@ def folded(text: str) -> str:
     return _SPACES.sub(" ", text).strip().lower()
 
 
+def shingle_hashes(text: str) -> np.ndarray:
+    """A 64-bit hash of each run of SHINGLE characters; of a shorter text, one of the whole."""
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    width = min(len(chars), SHINGLE)
+    h = np.full(len(chars) - width + 1, np.uint64(width), np.uint64)
+    for k in range(width):
+        h = (h + chars[k : len(chars) - width + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
 def sketch_of(text: str) -> list[int]:
-    """The least 64-bit hashes of the distinct shingles of a folded text, ascending."""
+    """The least hashes of the distinct shingles of a folded text, ascending."""
     if not text:
         return []
-    grams = {text[i : i + SHINGLE] for i in range(max(1, len(text) - SHINGLE + 1))}
-    hashed = np.array([int.from_bytes(hashlib.blake2b(g.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True) for g in grams], np.int64)
-    return np.unique(hashed)[:SKETCH].tolist()
+    return np.unique(shingle_hashes(text).view(np.int64))[:SKETCH].tolist()
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
