@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .functions import calendar as cal
 from .functions import codec, color, digest, pii, records
 from .functions import text as tx
-from .operators import chunking, health, packing, prompts, publish, scenario, search, similarity, snapshot, streaks, structure
+from .operators import chunking, health, packing, prompts, publish, reports, scenario, search, similarity, snapshot, streaks, structure
 from .sources import html, kinds, theme
 
 FLAGSHIP = "pii_email_by_lang"
@@ -635,3 +635,34 @@ def sealed_texts(spark, d):
     sealed = records.seal(C("text").cast("binary"), key, head)
     rows = _t(spark, d, "documents").select("doc_id", "text", sealed.alias("sealed"))
     return rows.select("doc_id", (records.unseal(C("sealed"), key, head) == C("text").cast("binary")).alias("same"), records.unseal(C("sealed"), key, F.lit("other").cast("binary")).isNull().alias("tampered"))
+
+
+@query()
+def digest_pages(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", "text")
+    got = digest.digest(docs).join(docs, "doc_id")
+    page = reports.digest_page(C("doc_id").cast("string"), C("text"), C("headings"), C("newest_year"), C("date_mentions"), C("broken_references"), C("avg_sentence_length"), F.expr(DAY))
+    return got.select("doc_id", F.md5(page).alias("page"))
+
+
+@query("""
+with e as (select user_id, count(*) filter (where event_type = 'purchase') as done, count(*) filter (where event_type = 'view') as views, count(*) as n, max(value) as best from events group by user_id),
+r as (select user_id, [done >= 5, views >= 3, n > 60, best > 90] as ok from e)
+select user_id::varchar as quest_id, len(list_filter(ok, lambda x: x))::bigint as satisfied, 4::bigint as total, len(list_filter(ok, lambda x: x)) = 4 as reportable from r""")
+def quest_progress(spark, d):
+    kind = C("event_type")
+    entry = F.struct(kind.alias("kind"), kind.alias("tag"), F.when(kind == "purchase", "x").alias("done_key"), F.array().cast("array<string>").alias("flags"))
+    g = _t(spark, d, "events").groupBy(C("user_id").cast("string").alias("quest_id")).agg(F.collect_list(entry).alias("entries"), F.count("*").cast("int").alias("streak"), F.array(F.struct(F.max("value").cast("string").alias("text"))).alias("attempts"))
+    states = g.select("*", F.lit("").alias("lesson"), F.lit(None).cast("date").alias("declared_start"), F.lit("").alias("declared_reason"), F.array(F.lit("")).alias("through"), F.create_map(F.lit("record"), F.lit("90")).alias("extras"), F.lit(0).alias("timer_done"))
+    atoms = [("doneCount", ">=", 5, None), ("listCount", None, 3, "view"), ("streak", ">", 60, None), ("newRecord", None, None, None)]
+    rules = spark.createDataFrame([(a, op, v, t, a) for a, op, v, t in atoms], "atom string, op string, value int, text string, label string")
+    every = g.select("quest_id").crossJoin(F.broadcast(rules))
+    return streaks.progress(streaks.evaluate(states, every))
+
+
+@query("""
+with f as (select coalesce(l.quality, -1) as quality, d.source, d.n_chars from documents d left join labels l using (doc_id))
+select source, count(*) as n_files, sum(n_chars)::bigint as bytes, count(*) filter (where quality = 1) as n_ok from f group by source""")
+def source_coverage(spark, d):
+    rows = _t(spark, d, "documents").select("doc_id", "source", "n_chars").join(_t(spark, d, "labels"), "doc_id", "left")
+    return rows.groupBy("source").agg(F.count("*").alias("n_files"), F.sum("n_chars").alias("bytes"), F.count_if(C("quality") == 1).alias("n_ok"))

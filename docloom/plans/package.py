@@ -193,6 +193,12 @@ def dry_run(package: Package) -> DataFrame:
     return package.chunks.agg(F.count_distinct("relative_path").alias("n_files"), F.count("*").alias("n_chunks"), F.sum("text_length").alias("chars"), F.sum("token_estimate").alias("tokens"))
 
 
+def read_profiles(spark: SparkSession, path: str) -> list[Profile]:
+    """Profiles from JSON files, one object each; a handful."""
+    rows = spark.read.option("multiLine", True).schema("name string, target_chars_per_file int, max_body_files int").json(path).collect()
+    return [Profile(r["name"], r["target_chars_per_file"] or packing.PART_CHARS, r["max_body_files"] or packing.MAX_PARTS) for r in rows if r["name"]]
+
+
 def profile_package(chunks: DataFrame, profile: Profile) -> DataFrame:
     """Chunk records packed for a profile, one group."""
     sized = chunks.select("index", F.lit("").alias("grp"), (F.length(tx.strip(F.col("text"))) + 2).alias("size"))
