@@ -20,7 +20,7 @@ SLOTS_PER_SHARD = 4096
 ROUNDS = 12
 SEED = 20_240_917
 #: Documents whose places in their source one task adds up, about.
-SUMMED_TOGETHER = 20_000
+SUMMED_TOGETHER = 5_000
 
 
 @dataclass
@@ -88,7 +88,7 @@ def laid_out(sized: DataFrame, sources: list[Source]) -> DataFrame:
     """
     number = F.array_position(F.array(*[F.lit(x.key) for x in sources]) if sources else F.array().cast("array<string>"), source_key()) - 1
     rows = sized.withColumn("s", number.cast("int"))
-    salts = max(8, -(-sized.count() // SUMMED_TOGETHER))
+    salts = max(64, -(-sized.count() // SUMMED_TOGETHER))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(salts)).cast("int"))
     sums = salted.groupBy("s", "salt").agg(F.sum("size").alias("sum"))
     before = W.partitionBy("s").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
