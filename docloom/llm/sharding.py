@@ -15,7 +15,7 @@ SHARDS = 8
 #: Ranges between splitters, and rows that the splitters are chosen from, about.
 RANGES, SAMPLES = 512, 16_384
 #: Rows that one task numbers, about.
-NUMBERED_TOGETHER = 20_000
+NUMBERED_TOGETHER = 1_000
 
 
 def lightest(sizes: list[tuple[tuple[int, int], int]], shards: int) -> dict[tuple[int, int], int]:
