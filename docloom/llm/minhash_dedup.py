@@ -26,7 +26,7 @@ VALUES = TREES * DEPTH
 #: Share of equal signature values below which a pair is not looked at: five deviations under the threshold.
 LEAST_EQUAL = PERCENT / 100 - 5 * (0.16 / VALUES) ** 0.5
 #: Documents of a region that one cell compares; larger regions are cut into blocks.
-BLOCK = 2048
+BLOCK = 512
 _SLICE = 1 << 20
 
 _rng = np.random.default_rng(4_711)
