@@ -1,11 +1,8 @@
-"""What the operators of this package share: staging, text batches, components."""
+"""What the operators of this package share: text batches and lookups; staging and components come from the library."""
 
 from __future__ import annotations
 
-import atexit
 import math
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import components  # noqa: F401
+from ..plans.staging import staged  # noqa: F401
+
 #: Texts are handled in slices of about so many bytes, whatever the batch holds.
 SLICE_BYTES = 4 << 20
 
@@ -21,54 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# -- staging ----------------------------------------------------------------
-
-_staged: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="docloom-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docloom-stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _staged.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out.staged_path = path
-    return out
-
-
-def release(df: DataFrame) -> None:
-    """Delete what :func:`staged` wrote, when nothing reads it any more."""
-    path = getattr(df, "staged_path", None)
-    if path:
-        _delete(df.sparkSession, path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    _staged[:] = [x for x in _staged if x[1] != path]
-
-
-@atexit.register
-def _sweep() -> None:
-    for spark, path in list(_staged):
-        try:
-            _delete(spark, path)
-        except Exception:  # the session is gone; the shared folder's owner cleans up
-            return
-
-
 # -- batches ----------------------------------------------------------------
 
 
@@ -102,52 +54,32 @@ def crc_mod(col: str, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def parts_for(df_bytes: float, per_part: float, least: int = 1) -> int:
-    """Number of partitions so that each holds about ``per_part``."""
-    return max(least, math.ceil(df_bytes / per_part))
-
-
-# -- components -------------------------------------------------------------
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest id reachable over the links (a, b).
-
-    Min-label contraction.  Each round every node points at the smallest node
-    of its neighbourhood, pointers are followed once more, and links are
-    rewritten between the new labels; links inside a label vanish.  A hub's
-    links are only pre-aggregated by min(), never gathered.  Rounds are
-    written to the shared folder.  Nodes without a link don't appear.
-    """
-    links = staged(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    maps: list[DataFrame] = []
-    while True:
-        both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("to"))
-        low = staged(low)
-        if low.isEmpty():
-            release(low)
-            break
-        #: a pointer's target points at its own smallest neighbour; two more steps shorten the chains
-        for _ in range(2):
-            onward = low.select(F.col("id").alias("to"), F.col("to").alias("far"))
-            nearer = staged(low.join(onward, "to", "left").select("id", F.coalesce("far", "to").alias("to")))
-            release(low)
-            low = nearer
-        maps.append(low)
-        ends = [low.select(F.col("id").alias(c), F.col("to").alias(f"{c}_to")) for c in ("a", "b")]
-        moved = links.join(ends[0], "a").join(ends[1], "b")
-        rest = staged(moved.select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).where("a <> b").distinct())
-        release(links)
-        links = rest
-    release(links)
-    if not maps:
-        return edges.select(F.col("a").alias("id"), F.col("a").alias("component")).limit(0)
-    out = maps[0].select("id", F.col("to").alias("component"))
-    for m in maps[1:]:
-        onward = m.select(F.col("id").alias("component"), F.col("to").alias("far"))
-        out = out.join(onward, "component", "left").select("id", F.coalesce("far", "component").alias("component"))
-    return out
+def by_group(rows: DataFrame, keys: list[str], work, schema: str) -> DataFrame:
+    """``work`` on the table of each cell, cells streamed in key order within a partition."""
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys)
+
+    def run(batches):
+        held, last = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(c) for c in keys]
+            change = np.zeros(batch.num_rows, bool)
+            for c in cols:
+                code = c.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+                change[1:] |= code[1:] != code[:-1]
+            starts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+            for a, b in zip(starts, starts[1:]):
+                now = tuple(c[a].as_py() for c in cols)
+                if now != last:
+                    if held:
+                        yield from work(pa.Table.from_batches(held))
+                    held, last = [], now
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from work(pa.Table.from_batches(held))
+
+    return map_arrow(ordered, run, schema)
 
 
 # -- lookups in bounded lists -------------------------------------------------

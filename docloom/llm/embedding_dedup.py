@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, map_arrow, staged, table
+from .common import by_group, components, map_arrow, staged, table
 
 COSINE = 0.93
 #: Independent product codes, and filters of one that two vectors at the threshold share on average.
@@ -179,45 +179,14 @@ def near_links(classes: DataFrame, caps: Caps, cosine: float) -> DataFrame:
         cut = rows.join(heavy, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         cut = cut.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         cells = cut.withColumn("cell", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).drop("blocks", "other")
-    cells = cells.repartition(*key, "cell").sortWithinPartitions(*key, "cell")
-
-    def compare(batches):
-        held: list[pa.RecordBatch] = []
-
-        def flush():
-            if not held:
-                return None
-            t = pa.Table.from_batches(held)
-            held.clear()
-            if len(t) < 2:
-                return None
+    def compare(t: pa.Table):
+        if len(t) > 1:
             x = np.frombuffer(b"".join(t["x"].to_pylist()), store).reshape(len(t), -1).astype(np.float64)
             got = links_of_cell(t["rep"].to_numpy(), t["n"].to_numpy(), t["block"].to_numpy(), x, t["filter"][0].as_py(), caps, cosine)
-            if got is None:
-                return None
-            return pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in got], names=["rep", "copies", "low"])
+            if got is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in got], names=["rep", "copies", "low"])
 
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [batch.column(c) for c in (*key, "cell")]
-            change = np.zeros(batch.num_rows, bool)
-            for c in cols:
-                code = c.dictionary_encode().indices.to_numpy(zero_copy_only=False)
-                change[1:] |= code[1:] != code[:-1]
-            starts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-            for a, b in zip(starts, starts[1:]):
-                now = tuple(c[a].as_py() for c in cols)
-                if now != last:
-                    if (out := flush()) is not None:
-                        yield out
-                    last = now
-                held.append(batch.slice(a, b - a))
-        if (out := flush()) is not None:
-            yield out
-
-    return map_arrow(cells, compare, "rep long, copies long, low long")
+    return by_group(cells, [*key, "cell"], compare, "rep long, copies long, low long")
 
 
 def dedup_embeddings(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, map_arrow, staged, table, text_slices
+from .common import by_group, components, map_arrow, staged, table, text_slices
 from .shingles import shingle_set, word_hashes
 
 WIDTH = 4
@@ -158,34 +158,6 @@ def _cells(rows: DataFrame, group: str) -> DataFrame:
     return cut.withColumn("at", F.explode(cells)).select(*rows.columns, "at.cell", "at.side")
 
 
-def _grouped(rows: DataFrame, keys: list[str], work, schema: str) -> DataFrame:
-    """``work`` on the table of each cell, cells streamed in key order within a partition."""
-    ordered = rows.repartition(*keys).sortWithinPartitions(*keys)
-
-    def run(batches):
-        held, last = [], None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [batch.column(c) for c in keys]
-            change = np.zeros(batch.num_rows, bool)
-            for c in cols:
-                code = c.dictionary_encode().indices.to_numpy(zero_copy_only=False)
-                change[1:] |= code[1:] != code[:-1]
-            starts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-            for a, b in zip(starts, starts[1:]):
-                now = tuple(c[a].as_py() for c in cols)
-                if now != last:
-                    if held:
-                        yield from work(pa.Table.from_batches(held))
-                    held, last = [], now
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield from work(pa.Table.from_batches(held))
-
-    return map_arrow(ordered, run, schema)
-
-
 def _across(t: pa.Table) -> np.ndarray:
     """Which rows of a cell may meet: of different parts, and on different sides if it has two."""
     part, side = t["part"].to_numpy(), t["side"].to_numpy()
@@ -292,8 +264,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     open_rows = placed.join(several, "region", "left_semi").join(sketches, "rep")
     open_rows = _cells(open_rows.select("region", "rep", "part", "sketch"), "region")
     schema = "region long, rep long, part long, sketch binary, cell string, side int"
-    promising = staged(_grouped(open_rows.select("region", "rep", "part", "sketch", "cell", "side"), ["region", "cell"], _promising, schema))
-    more = staged(_grouped(promising.join(sets, "rep"), ["region", "cell"], _spanning(percent), "a long, b long"))
+    promising = staged(by_group(open_rows.select("region", "rep", "part", "sketch", "cell", "side"), ["region", "cell"], _promising, schema))
+    more = staged(by_group(promising.join(sets, "rep"), ["region", "cell"], _spanning(percent), "a long, b long"))
 
     final = components(links.union(more)).withColumnRenamed("id", "rep")
     of_class = classes.join(final, "rep", "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
