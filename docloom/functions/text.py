@@ -6,6 +6,8 @@ Line breaks and white space follow Unicode: lines end at any of the breaks in
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ NO_TEXT = "本文抽出不可。ファイル名・パス・拡張子を参照。
 FORBIDDEN_IN_NAMES = r'[\\/:*?"<>|]'
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"(?U)^{SPACE}+|{SPACE}+\\z", "")
 
@@ -32,8 +39,9 @@ def normalize_text(c: Column) -> Column:
 
 def split_lines(c: Column) -> Column:
     """The lines of a text; a final break opens no further line."""
-    parts = F.split(c, LINE_BREAK)
-    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
+    none = F.array().cast("array<string>")
+    without_last = lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p)
+    return F.when(c == "", none).otherwise(let(F.split(c, LINE_BREAK), without_last))
 
 
 def filled_lines(c: Column) -> Column:
@@ -42,7 +50,7 @@ def filled_lines(c: Column) -> Column:
 
 
 def cut(c: Column, most: int, mark: str = "...") -> Column:
-    return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit(mark))).otherwise(c)
+    return let(c, lambda x: F.when(F.length(x) > most, F.concat(F.substring(x, 1, most), F.lit(mark))).otherwise(x))
 
 
 def is_heading(c: Column) -> Column:
@@ -51,24 +59,25 @@ def is_heading(c: Column) -> Column:
 
 def plain_summary(c: Column, lines: int = 20, most: int = MAX_SUMMARY) -> Column:
     """The first lines of the text, cut."""
-    text = normalize_text(c)
-    return F.when(text == "", F.lit(NO_TEXT)).otherwise(cut(F.array_join(F.slice(filled_lines(text), 1, lines), "\n"), most))
+    shown = lambda t: F.when(t == "", F.lit(NO_TEXT)).otherwise(cut(F.array_join(F.slice(filled_lines(t), 1, lines), "\n"), most))
+    return let(normalize_text(c), shown)
 
 
 def heading_summary(c: Column, most: int = MAX_SUMMARY, headings: int = 30, lead_lines: int = 8, lead_chars: int = 400) -> Column:
     """Headings joined on one line, then the lead; the lead ends with the line that makes it long enough."""
-    text = normalize_text(c)
-    lines = filled_lines(text)
-    heads = F.transform(F.slice(F.filter(lines, is_heading), 1, headings), lambda h: strip(F.regexp_replace(h, "^#+", "")))
-    body = F.filter(lines, lambda x: ~is_heading(x))
-    lead = F.aggregate(
-        F.slice(body, 1, lead_lines),
-        F.lit(""),
-        lambda acc, x: F.when(F.length(acc) > lead_chars, acc).otherwise(F.when(acc == "", x).otherwise(F.concat(acc, F.lit("\n"), x))),
-    )
-    head = F.when(F.size(heads) > 0, F.concat(F.lit("見出し: "), F.array_join(heads, " / ")))
-    whole = F.concat_ws("\n", head, F.when(lead != "", lead))
-    return F.when(text == "", F.lit(NO_TEXT)).otherwise(cut(whole, most))
+
+    def shown(lines: Column) -> Column:
+        heads = F.transform(F.slice(F.filter(lines, is_heading), 1, headings), lambda h: strip(F.regexp_replace(h, "^#+", "")))
+        body = F.filter(lines, lambda x: ~is_heading(x))
+        lead = F.aggregate(
+            F.slice(body, 1, lead_lines),
+            F.lit(""),
+            lambda acc, x: F.when(F.length(acc) > lead_chars, acc).otherwise(F.when(acc == "", x).otherwise(F.concat(acc, F.lit("\n"), x))),
+        )
+        head = let(heads, lambda h: F.when(F.size(h) > 0, F.concat(F.lit("見出し: "), F.array_join(h, " / "))))
+        return F.when(F.size(lines) == 0, F.lit(NO_TEXT)).otherwise(cut(F.concat_ws("\n", head, F.nullif(lead, F.lit(""))), most))
+
+    return let(filled_lines(normalize_text(c)), shown)
 
 
 def line_tail(c: Column, n: int) -> Column:
