@@ -113,3 +113,10 @@ def test_lm_empty_and_untrained(spark, documents, corpus, empty):
     assert lm_scoring.score_documents(empty, F.lit(False)).count() == 0
     rows = lm_scoring.score_documents(documents, F.lit(True)).collect()
     assert len(rows) == len(corpus) and all(r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0 for r in rows)
+
+
+def test_lm_with_frequent_words_only(spark):
+    docs = spark.createDataFrame([(i, "a b a b a") for i in range(12)], "doc_id long, text string")
+    rows = lm_scoring.score_documents(docs, F.col("doc_id") == 3).collect()
+    assert len(rows) == 12 and all(r.n_known == r.n_tokens == 6 and r.train_tokens == 66 for r in rows)
+    assert len({(r.base_score, r.score) for r in rows}) == 1 and rows[0].score > rows[0].base_score
