@@ -1,40 +1,34 @@
-"""Language-model scores by a weighted backoff automaton.
-
-States are the empty context and the n-grams of at least ``LEAST_SHARE`` of the
-training tokens; a state's failure arc leads to its longest proper suffix.  At
-most 1 / LEAST_SHARE grams of each order can be that frequent, which bounds the
-automaton, so it is broadcast.  Below it stands the unigram model over all
-words, however rare; its counts grow with the corpus and never leave the
-executors: documents are dealt into chunks, a chunk asks for the counts of its
-own words, and only those come back to it.
+"""Language-model scores by interpolated absolute discounting over n-grams.
+
+The model holds every n-gram seen ``LEAST_COUNT`` times in training; below it
+stands the unigram model over all words, however rare.  Words and grams grow
+with the corpus, so neither leaves the executors: documents are dealt into
+chunks, a chunk asks for the counts of its own words and grams, and only those
+come back to it, with what their continuations take of their weight.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod, map_arrow, staged, table, text_slices
-from .shingles import word_hashes
+from .shingles import mixed, word_hashes
 
 ORDER = 3
-LEAST_SHARE, LEAST_COUNT = 2.0**-22, 2
+#: Grams of more than one word are kept from this count on, however large the corpus is.
+LEAST_COUNT = 2
 DISCOUNT = 0.75
 #: Ids that lie close together share a chunk, about so many documents; a chunk is scored by one task at a time.
 CHUNK_IDS = 4096
-#: Words and grams with their counts that one task holds before it hands on what it has.
-HELD_WORDS, HELD_GRAMS = 3_000_000, 2_000_000
+#: Words or grams with their counts that one task holds before it hands on what it has.
+HELD = 3_000_000
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 _SLICE = 1 << 20
 
 
-# -- the automaton ----------------------------------------------------------------
-
-
 def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Index of each wanted value in the ascending keys, or -1."""
     if not len(keys):
@@ -43,77 +37,6 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-@dataclass
-class Automaton:
-    """``keys[0]`` are word hashes; ``keys[k]`` are (gram of order k) << 32 | word, all ascending.
-
-    A gram's number is its place in its level.  ``log_p[k]`` is what the arc
-    into it weighs, ``log_back[k]`` what its failure arc weighs.
-    """
-
-    words_total: int
-    words_distinct: int
-    texts: int
-    keys: list[np.ndarray] = field(default_factory=list)
-    counts: list[np.ndarray] = field(default_factory=list)
-    p: list[np.ndarray] = field(default_factory=list)
-    log_p: list[np.ndarray] = field(default_factory=list)
-    log_back: list[np.ndarray] = field(default_factory=list)
-    suffix: list[np.ndarray] = field(default_factory=list)
-
-    def base(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10((counts + 1.0) / (self.words_total + self.words_distinct + 1.0))
-
-    def add_level(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        """Grams of the next order; the failure arcs of the level below get their weights."""
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order].astype(np.float64)
-        if not self.keys:
-            p = (counts + 1.0) / (self.words_total + self.words_distinct + 1.0)
-            suffix = np.full(len(keys), -1, np.int64)
-        else:
-            before = (keys >> np.uint64(32)).astype(np.int64)
-            word = keys & np.uint64(0xFFFFFFFF)
-            seen = (counts - DISCOUNT) / self.counts[-1][before]
-            back = np.maximum(1.0 - np.bincount(before, seen, minlength=len(self.keys[-1])), 1e-12)
-            self.log_back.append(np.log10(back))
-            if len(self.keys) == 1:
-                suffix = word.astype(np.int64)
-            else:
-                suffix = find(self.keys[-1], (self.suffix[-1][before].astype(np.uint64) << np.uint64(32)) | word)
-            p = seen + back[before] * self.p[-1][suffix]
-        self.keys.append(keys)
-        self.counts.append(counts)
-        self.p.append(p)
-        self.log_p.append(np.log10(p))
-        self.suffix.append(suffix)
-
-    def walk(self, sequence: np.ndarray) -> list[np.ndarray]:
-        """For each place and order, the gram of that order that ends there, or -1.
-
-        The deepest of them is the automaton's state; START begins a text and
-        ends no gram of more than one word.
-        """
-        ids = [find(self.keys[0], sequence)]
-        inner = sequence != START
-        for k in range(1, len(self.keys)):
-            out = np.full(len(sequence), -1, np.int64)
-            before, word = ids[k - 1][:-1], ids[0][1:]
-            ok = np.flatnonzero((before >= 0) & (word >= 0) & inner[1:])
-            out[ok + 1] = find(self.keys[k], (before[ok].astype(np.uint64) << np.uint64(32)) | word[ok].astype(np.uint64))
-            ids.append(out)
-        return ids
-
-    def weigh(self, ids: list[np.ndarray], base: np.ndarray) -> np.ndarray:
-        """log10 probability of the word at each place, given what the unigram model says of it."""
-        out = base.copy()
-        for k in range(1, len(ids)):
-            out[1:] += np.where(ids[k - 1][:-1] >= 0, self.log_back[k - 1][ids[k - 1][:-1]] if len(self.log_back[k - 1]) else 0.0, 0.0)
-            hit = ids[k] >= 0
-            out[hit] = self.log_p[k][ids[k][hit]]
-        return out
-
-
 # -- sequences ---------------------------------------------------------------------
 
 
@@ -136,116 +59,146 @@ def framed(words: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, starts
 
 
+def grams(seq: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each order up to this one, (hash of the gram that ends at each place, whether one does).
+
+    START begins a text and ends no gram of more than one word.
+    """
+    out = [(seq, np.ones(len(seq), bool))]
+    for _ in range(1, order):
+        before, there = out[-1]
+        keys, ok = np.zeros(len(seq), np.uint64), np.zeros(len(seq), bool)
+        x = before[:-1] * np.uint64(0xD6E8FEB86659FD93) + seq[1:]
+        keys[1:] = mixed(x ^ (x >> np.uint64(32)))
+        ok[1:] = there[:-1] & (seq[1:] != START)
+        out.append((keys, ok))
+    return out
+
+
 def _chunked(docs: DataFrame, held_out, chunks: int) -> DataFrame:
     near = F.floor(F.coalesce(F.col("doc_id"), F.lit(0)) / CHUNK_IDS)
     return docs.select("doc_id", F.col("text"), held_out.alias("held_out"), F.pmod(F.xxhash64(near), F.lit(chunks)).cast("int").alias("chunk"))
 
 
-def _word_requests(docs: DataFrame) -> DataFrame:
-    """(word, chunk, n): how often a chunk has a word in training; 0 for words of held-out texts alone."""
+_REQUEST = "gram long, prefix long, chunk int, n int"
+
+
+def _counted(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct grams, prefix of each, their counts) of several such lists."""
+    keys, first, at = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
+    n = np.bincount(at, np.concatenate([p[2] for p in parts]), minlength=len(keys)).astype(np.int64)
+    return keys, np.concatenate([p[1] for p in parts])[first], n
+
+
+def _request_batches(chunk: int, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+    keys, prefix, n = _counted(parts)
+    for a in range(0, len(keys), 1 << 17):
+        k, p = keys[a : a + (1 << 17)], prefix[a : a + (1 << 17)]
+        yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(p.view(np.int64)), pa.array(np.full(len(k), chunk, np.int32)), pa.array(n[a : a + (1 << 17)].astype(np.int32))], names=["gram", "prefix", "chunk", "n"])
+
+
+def _requests(docs: DataFrame, order: int) -> DataFrame:
+    """(gram, prefix, chunk, n): how often a chunk has a gram in training; 0 for those of held-out texts alone.
+
+    For orders 1 and 2; a word's prefix is 0, and START and END are no words here.
+    """
 
     def run(batches):
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         size = 0
 
         def out():
             for chunk, parts in held.items():
-                words, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-                n = np.bincount(at, np.concatenate([p[1] for p in parts]), minlength=len(words)).astype(np.int64)
-                for a in range(0, len(words), 1 << 17):
-                    w = words[a : a + (1 << 17)]
-                    yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(np.full(len(w), chunk, np.int32)), pa.array(n[a : a + (1 << 17)].astype(np.int32))], names=["word", "chunk", "n"])
+                yield from _request_batches(chunk, parts)
             held.clear()
 
         for batch in batches:
             chunk, hold = batch.column("chunk").to_numpy(), batch.column("held_out").to_numpy(zero_copy_only=False)
             kind = chunk.astype(np.int64) * 2 + hold
             for a, b, words, before in sequences(batch.column("text")):
+                seq, starts = framed(words, before)
+                found = grams(seq, order)
+                keys, ok = found[-1]
+                if order == 1:
+                    ok = (seq != START) & (seq != END)
+                prefix = np.append(np.uint64(0), found[-2][0][:-1]) if order > 1 else np.zeros(len(seq), np.uint64)
+                ends = np.append(starts, len(seq))
                 edges = np.append(0, np.flatnonzero(np.diff(kind[a:b])) + 1)
-                found: dict[int, list[np.ndarray]] = {}
+                here: dict[int, list[np.ndarray]] = {}
                 for x, y in zip(edges, np.append(edges[1:], b - a)):
-                    found.setdefault(int(kind[a + x]), []).append(words[before[x] : before[y]])
-                for k, parts in found.items():  # counted slice by slice, so that no batch's words are held at once
-                    some, n = np.unique(np.concatenate(parts), return_counts=True)
-                    held.setdefault(k // 2, []).append((some, n * (1 - k % 2)))
+                    here.setdefault(int(kind[a + x]), []).append(ends[x] + np.flatnonzero(ok[ends[x] : ends[y]]))
+                for k, at in here.items():  # counted slice by slice, so that no batch's words are held at once
+                    at = np.concatenate(at)
+                    some, first, n = np.unique(keys[at], return_index=True, return_counts=True)
+                    held.setdefault(k // 2, []).append((some, prefix[at[first]], n * (1 - k % 2)))
                     size += len(some)
-            if size > HELD_WORDS:
+            if size > HELD:
                 yield from out()
                 size = 0
         yield from out()
 
-    return map_arrow(docs.select("chunk", "held_out", "text"), run, "word long, chunk int, n int")
+    return map_arrow(docs.select("chunk", "held_out", "text"), run, _REQUEST)
 
 
-def _word_answers(requests: DataFrame) -> DataFrame:
-    """(chunk, word, c, head): the corpus count of each requested word; head marks one row of each word."""
-    ordered = requests.repartition("word").sortWithinPartitions("word")
+def _longer_requests(docs: DataFrame, shorter: DataFrame, order: int) -> DataFrame:
+    """The same for grams both of whose parts, one word shorter, are in ``shorter`` (chunk, gram): no others can be kept."""
 
-    def emit(word, chunk, n):
-        first = np.append(True, word[1:] != word[:-1])
+    def ask(texts: pa.Table, known: pa.Table) -> pa.Table:
+        kept = np.sort(known["gram"].to_numpy().view(np.uint64))
+        hold = texts["held_out"].to_numpy()
+        parts = []
+        for a, b, words, before in sequences(texts["text"]):
+            seq, starts = framed(words, before)
+            (part, _), (keys, ok) = grams(seq, order)[-2:]
+            there = find(kept, part) >= 0
+            ok[1:] &= there[1:] & there[:-1]
+            at = np.flatnonzero(ok)
+            n = np.repeat(~hold[a:b], np.diff(np.append(starts, len(seq))))[at]
+            some, first, back = np.unique(keys[at], return_index=True, return_inverse=True)
+            parts.append((some, part[at[first] - 1], np.bincount(back, n, minlength=len(some)).astype(np.int64)))
+        chunk = int(texts["chunk"][0].as_py()) if len(texts) else 0
+        out = list(_request_batches(chunk, parts)) if parts else []
+        return pa.Table.from_batches(out, _request_schema())
+
+    return docs.groupBy("chunk").cogroup(shorter.select("chunk", "gram").groupBy("chunk")).applyInArrow(ask, _REQUEST)
+
+
+def _request_schema() -> pa.Schema:
+    return pa.schema([("gram", pa.int64()), ("prefix", pa.int64()), ("chunk", pa.int32()), ("n", pa.int32())])
+
+
+def _answers(requests: DataFrame, least: int) -> DataFrame:
+    """(chunk, gram, prefix, c, head): the corpus count of each requested gram, if that is ``least``; head marks one row of each gram."""
+    ordered = requests.repartition("gram").sortWithinPartitions("gram")
+
+    def emit(gram, prefix, chunk, n):
+        first = np.append(True, gram[1:] != gram[:-1])
         run_of = np.cumsum(first) - 1
         c = np.bincount(run_of, n).astype(np.int64)
+        enough = np.flatnonzero(c[run_of] >= least)
         #: a chunk may have asked more than once
-        order = np.lexsort((chunk, run_of))
-        once = np.append(True, (chunk[order][1:] != chunk[order][:-1]) | (run_of[order][1:] != run_of[order][:-1]))
-        at = order[once]
-        head = np.append(True, run_of[at][1:] != run_of[at][:-1])
-        return pa.RecordBatch.from_arrays([pa.array(chunk[at]), pa.array(word[at]), pa.array(c[run_of[at]]), pa.array(head)], names=["chunk", "word", "c", "head"])
+        order = enough[np.lexsort((chunk[enough], run_of[enough]))]
+        same = (chunk[order][1:] == chunk[order][:-1]) & (run_of[order][1:] == run_of[order][:-1])
+        at = order[np.append(True, ~same)] if len(order) else order
+        head = np.append(True, run_of[at][1:] != run_of[at][:-1]) if len(at) else np.zeros(0, bool)
+        return pa.RecordBatch.from_arrays([pa.array(chunk[at]), pa.array(gram[at]), pa.array(prefix[at]), pa.array(c[run_of[at]]), pa.array(head)], names=["chunk", "gram", "prefix", "c", "head"])
 
     def run(batches):
         rest: list[np.ndarray] | None = None
         for batch in batches:
-            cols = [batch.column(c).to_numpy() for c in ("word", "chunk", "n")]
+            cols = [batch.column(c).to_numpy() for c in ("gram", "prefix", "chunk", "n")]
             if rest is not None:
                 cols = [np.concatenate(x) for x in zip(rest, cols)]
             if not len(cols[0]):
                 continue
-            cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last word may go on
+            cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last gram may go on
             rest = [c[cut:] for c in cols]
             if cut:
                 yield emit(*(c[:cut] for c in cols))
         if rest is not None and len(rest[0]):
             yield emit(*rest)
 
-    return map_arrow(ordered, run, "chunk int, word long, c long, head boolean")
-
-
-def _next_grams(docs: DataFrame, model: Automaton) -> DataFrame:
-    """(gram, n): grams one longer than the model's longest, of words and beginnings it has."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        auto = shared.value
-        held, size = [], 0
-
-        def out():
-            grams, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-            n = np.bincount(at, np.concatenate([h[1] for h in held])).astype(np.int64)
-            for a in range(0, len(grams), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(grams[a : a + (1 << 17)].view(np.int64)), pa.array(n[a : a + (1 << 17)])], names=["gram", "n"])
-
-        for batch in batches:
-            for _, _, words, before in sequences(batch.column("text")):
-                seq, _ = framed(words, before)
-                ids = auto.walk(seq)
-                ok = np.flatnonzero((ids[-1][:-1] >= 0) & (ids[0][1:] >= 0) & (seq[1:] != START))
-                if len(ids) > 1:  # its end must be known too, or it cannot be frequent
-                    ok = ok[ids[-1][1:][ok] >= 0]
-                grams, n = np.unique((ids[-1][ok].astype(np.uint64) << np.uint64(32)) | ids[0][ok + 1].astype(np.uint64), return_counts=True)
-                held.append((grams, n))
-                size += len(grams)
-            if size > HELD_GRAMS:
-                yield from out()
-                held, size = [], 0
-        if held:
-            yield from out()
-
-    return map_arrow(docs.select("text"), run, "gram long, n long")
-
-
-def _fetch(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    got = df.toArrow()
-    return got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
+    return map_arrow(ordered, run, "chunk int, gram long, prefix long, c long, head boolean")
 
 
 def score_documents(docs: DataFrame, held_out, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,65 +207,77 @@ def score_documents(docs: DataFrame, held_out, order: int = ORDER, id_col: str =
     Learns from the rows that are not held out, all of them; ``held_out`` is a
     boolean column of ``docs``.  Tokens are the words (A-Z lowered) and one
     end.  base_score is the sum of log10((c + 1) / (N + V + 1)).  score is the
-    automaton's log10 probability: interpolated absolute discounting over the
-    frequent grams, down to that base.  A null text is empty and has one
+    model's log10 probability: interpolated absolute discounting over all
+    grams seen at least LEAST_COUNT times, down to that base.  A null text is empty and has one
     token, the end.  Repeated rows are scored and counted each for itself.
     Nothing to learn from: every token has probability 1.  An empty table
     stays empty; other columns are not looked at.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held_out.alias("held_out"))
     rows, texts = docs.agg(F.count("*"), F.count_if(~F.col("held_out"))).first()
     chunked = _chunked(docs, F.col("held_out"), max(1, -(-rows // CHUNK_IDS)))
-    answers = staged(_word_answers(_word_requests(chunked)))
-    total, distinct = answers.where("head and c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    answers = [staged(_answers(_requests(chunked, 1), 0))]
+    total, distinct = answers[0].where("head and c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, distinct = total + texts, distinct + (texts > 0)
+    for k in range(2, order + 1):
+        answers.append(staged(_answers(_requests(chunked, 2) if k == 2 else _longer_requests(chunked, answers[-1], k), LEAST_COUNT)))
+
+    #: what the kept grams that go on from a context take of its weight
+    taken = [a.where("head").groupBy(F.col("prefix").alias("gram")).agg((F.sum("c") - F.lit(DISCOUNT) * F.count("*")).alias("taken")) for a in answers[1:]]
+    after_start = taken[0].where(F.col("gram") == F.lit(int(START))).first() if taken else None
+    start_taken = after_start["taken"] if after_start else 0.0
+    known = None
+    for k, a in enumerate(answers):
+        a = a.select("chunk", "gram", "c")
+        a = a.join(taken[k], "gram", "left") if k < len(taken) else a.withColumn("taken", F.lit(0.0))
+        a = a.select("chunk", F.lit(k).alias("level"), "gram", "c", F.coalesce("taken", F.lit(0.0)).alias("taken"))
+        known = a if known is None else known.union(a)
+
+    def score(docs: pa.Table, known: pa.Table) -> pa.Table:
+        level, gram, count, gone = (known[c].to_numpy() for c in ("level", "gram", "c", "taken"))
+        tables = []
+        for k in range(order):
+            at = np.flatnonzero(level == k)
+            at = at[np.argsort(gram[at].view(np.uint64))]
+            tables.append((gram[at].view(np.uint64), count[at], gone[at]))
+
+        def look(k: int, keys: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            have, c, t = tables[k]
+            at = np.where(ok, find(have, keys), -1)
+            return (np.where(at >= 0, c[at], 0), np.where(at >= 0, t[at], 0.0)) if len(have) else (np.zeros(len(keys), np.int64), np.zeros(len(keys)))
 
-    model = Automaton(total, distinct, texts)
-    least = max(LEAST_COUNT, total * LEAST_SHARE)
-    words, counts = _fetch(answers.where((F.col("head")) & (F.col("c") >= least)).select("word", "c"))
-    model.add_level(np.append(words, [START, END]), np.append(counts, [max(1, texts), texts]))
-    train = docs.where(~F.col("held_out"))
-    for _ in range(1, order):
-        #: each task has counted already; another count before the shuffle would only fill memory
-        grams = _next_grams(train, model).repartition("gram").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        model.add_level(*_fetch(grams))
-    shared = spark.sparkContext.broadcast(model)
-
-    def score(texts: pa.Table, known: pa.Table) -> pa.Table:
-        auto = shared.value
-        words, c = known["word"].to_numpy().view(np.uint64), known["c"].to_numpy()
-        by_word = np.argsort(words)
-        words, c = words[by_word], c[by_word]
         cols: list[list[np.ndarray]] = [[], [], [], []]
-        for _, _, got, before in sequences(texts["text"]):
+        for _, _, got, before in sequences(docs["text"]):
             seq, starts = framed(got, before)
-            ids = auto.walk(seq)
-            #: counts of frequent words are the automaton's, of others the chunk's
-            n = np.where(ids[0] >= 0, auto.counts[0][ids[0]], 0).astype(np.int64)
-            rare = np.flatnonzero(ids[0] < 0)
-            at = find(words, seq[rare])
-            if len(c):
-                n[rare] = np.where(at >= 0, c[at], 0)
-            n[seq == END] = auto.texts
-            base = auto.base(n)
+            found = grams(seq, order)
+            n, t = look(0, *found[0])
+            n[seq == END], n[starts] = texts, 0
+            p = (n + 1.0) / (total + distinct + 1.0)
+            base = np.log10(p)
             base[starts] = 0
-            weight = auto.weigh(ids, base)
-            weight[starts] = 0
             known_here = n > 0
-            known_here[starts] = False
+            n[starts], t[starts] = max(1, texts), start_taken
+            for k in range(1, order):
+                keys, ok = found[k]
+                back = np.where(n > 0, np.maximum(1.0 - t / np.maximum(n, 1), 1e-12), 1.0)
+                c, t = look(k, keys, ok)
+                seen = np.where(c[1:] > 0, (c[1:] - DISCOUNT) / np.maximum(n[:-1], 1), 0.0)
+                p[1:] = np.where(ok[1:], seen + back[:-1] * p[1:], p[1:])
+                n = c
+            weight = np.log10(p)
+            weight[starts] = 0
             cols[0].append(np.diff(before) + 1)
             cols[1].append(np.add.reduceat(known_here.astype(np.int64), starts))
             cols[2].append(np.add.reduceat(base, starts))
             cols[3].append(np.add.reduceat(weight, starts))
         out = [np.concatenate(x) if x else np.zeros(0) for x in cols]
         return pa.table(
-            [texts["doc_id"].combine_chunks(), texts["held_out"].combine_chunks(), pa.array(out[0].astype(np.int64)), pa.array(out[1].astype(np.int64)), pa.array(np.full(len(texts), auto.words_total, np.int64)), pa.array(out[2].astype(np.float64)), pa.array(out[3].astype(np.float64))],
+            [docs["doc_id"].combine_chunks(), docs["held_out"].combine_chunks(), pa.array(out[0].astype(np.int64)), pa.array(out[1].astype(np.int64)), pa.array(np.full(len(docs), total, np.int64)), pa.array(out[2].astype(np.float64)), pa.array(out[3].astype(np.float64))],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return chunked.groupBy("chunk").cogroup(answers.where(F.col("c") < least).select("chunk", "word", "c").groupBy("chunk")).applyInArrow(score, schema)
+    return chunked.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(score, schema)
 
 
 def op10_lm_scoring(spark, sf_dir: str) -> DataFrame:

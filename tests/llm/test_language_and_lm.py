@@ -120,3 +120,17 @@ def test_lm_with_frequent_words_only(spark):
     rows = lm_scoring.score_documents(docs, F.col("doc_id") == 3).collect()
     assert len(rows) == 12 and all(r.n_known == r.n_tokens == 6 and r.train_tokens == 66 for r in rows)
     assert len({(r.base_score, r.score) for r in rows}) == 1 and rows[0].score > rows[0].base_score
+
+
+def test_rare_grams_of_a_large_corpus_are_kept(spark):
+    """Grams seen twice count among 13 million tokens as they do among a few."""
+    many = spark.range(13).select("id", F.expr("repeat('a ', 1000000)").alias("text"))
+    few = spark.createDataFrame([(100 + i, "x y z") for i in range(3)], "id long, text string")
+    rows = lm_scoring.score_documents(many.union(few), F.col("id") == 102, id_col="id").where("held_out").collect()
+    n, v = 13_000_000 + 6 + 15, 5
+    assert [r.train_tokens for r in rows] == [n]
+    low = [3 / (n + v + 1)] * 3 + [16 / (n + v + 1)]
+    first = 1.25 / 15 + (1 - (12.25 + 1.25) / 15) * low[0]  # of START, x
+    two = [1.25 / 2 + 0.75 / 2 * p for p in low[1:]]
+    three = [1.25 / 2 + 0.75 / 2 * p for p in two]
+    assert rows[0].score == pytest.approx(math.log10(first) + sum(map(math.log10, three)))
