@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 from functools import lru_cache
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +25,8 @@ BLOCK = 4096
 #: Vectors are padded to so many dimensions before the rotation.
 LEAST_DIM = 64
 SEED = 17
+#: Pairs that are tried out for a choice of caps, and the share of pairs at the threshold that may share no filter.
+TRIALS, MISS = 512, 1e-4
 
 
 @dataclass(frozen=True)
@@ -36,24 +37,70 @@ class Caps:
     reach: float
     codes: int = CODES
 
+    @property
+    def rows_at_once(self) -> int:
+        return max(16, min(1024, (1 << 20) // self.words))
+
+
+def _beyond(dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ascending values from -1 to 1, chance that a coordinate of a random unit vector is at least so large)."""
+    angle = np.linspace(-math.pi / 2, math.pi / 2, 200_001)
+    density = np.cos(angle) ** (dim - 2)  # (1 - x^2)^((dim - 3) / 2) over x = sin(angle)
+    #: summed from the far end, where the small numbers are
+    chance = np.cumsum(((density[1:] + density[:-1]) / 2)[::-1])[::-1]
+    return np.sin(angle), np.append(chance, 0.0) / chance[0]
+
+
+def cap_chances(p: float, cosine: float, dim: int) -> tuple[float, float]:
+    """(t, chance) for caps that hold a share p of all unit vectors: inner product from t on; both vectors of a pair at the cosine inside.
+
+    Exact in any dimension: the pair of words is a vector of norm sqrt(2), and
+    the rotation before the halves makes its direction random.
+    """
+    x, chance = _beyond(dim)
+    seen = np.flatnonzero(chance > 0)[::-1]
+    t = float(np.interp(math.log(p), np.log(chance[seen]), x[seen]))
+    u = np.linspace(t, 1, 4001)
+    rest, of_rest = _beyond(dim - 1)
+    other = np.interp((t - cosine * u[:-1]) / (math.sqrt(1 - cosine**2) * np.sqrt(1 - u[:-1] ** 2)), rest, of_rest, left=1.0, right=0.0)
+    share = -np.diff(np.interp(u, x, chance))
+    return t, float((share * other).sum())
+
+
+def shared_filters(caps: Caps, cosine: float, dim: int, pairs: int = TRIALS) -> np.ndarray:
+    """How many filters random pairs at the cosine share, of each code: (code, pair)."""
+    rng = np.random.default_rng([SEED, dim, pairs])
+    x = unit(rng.standard_normal((pairs, dim)))
+    side = rng.standard_normal((pairs, dim))
+    y = cosine * x + math.sqrt(1 - cosine**2) * unit(side - (side * x).sum(1, keepdims=True) * x)
+    out = np.zeros((caps.codes, pairs), np.int64)
+    size = caps.words**2 * caps.codes
+    rows = caps.rows_at_once
+    for a in range(0, pairs, rows):
+        (r, f), (s, g) = list_decode(x[a : a + rows], caps), list_decode(y[a : a + rows], caps)
+        both = np.intersect1d(r * size + f, s * size + g, assume_unique=True)
+        np.add.at(out, (both % size // caps.words**2, a + both // size), 1)
+    return out
+
 
 def choose_caps(n: int, cosine: float = COSINE, common: float = COMMON, dim: int = LEAST_DIM) -> Caps:
     """Caps for n vectors of one label.
 
-    The inner product of a unit vector with a random filter direction is
-    about normal with deviation 1/sqrt(dim).  The more vectors, the smaller
-    the caps, so that a filter holds about ``PER_FILTER`` of them; the number
-    of filters follows from how often a vector at the threshold cosine stays
-    inside the cap of its partner.
+    The more vectors, the smaller the caps, so that a filter holds about
+    ``PER_FILTER`` of them; the number of filters follows from how often a
+    vector at the threshold cosine stays inside the cap of its partner.  There
+    are at least ``CODES`` codes, and more if pairs at the cosine, tried out,
+    would share no filter of any code more often than ``MISS``: the share of
+    trial pairs that miss one code is taken as independent between codes.
     """
-    normal = NormalDist()
+    dim = max(LEAST_DIM, dim)
     p = min(0.02, max(1e-7, PER_FILTER / max(1, n)))
-    t = normal.inv_cdf(1 - p)
-    side = math.sqrt(1 - cosine**2)
-    steps = [t + 4 * (i + 0.5) / 400 for i in range(400)]
-    both = sum(normal.pdf(x) * (1 - normal.cdf((t - cosine * x) / side)) for x in steps) * 4 / 400
+    t, both = cap_chances(p, cosine, dim)
     words = max(8, math.ceil(math.sqrt(common / both)))
-    return Caps(words, t / math.sqrt(dim) * math.sqrt(2))
+    caps = Caps(words, t * math.sqrt(2))
+    missed = float((shared_filters(caps, cosine, dim) == 0).mean())
+    codes = math.ceil(math.log(MISS) / math.log(missed)) if 0 < missed < 1 else CODES
+    return Caps(words, caps.reach, max(CODES, codes))
 
 
 @lru_cache(maxsize=64)
@@ -144,8 +191,8 @@ def links_of_cell(rep, n, block, x, this: int, caps: Caps, cosine: float):
     return rep, counted @ n, low
 
 
-def near_links(classes: DataFrame, caps: Caps, cosine: float) -> DataFrame:
-    """(rep, copies, low): partial link counts and spanning links of classes (rep, label, vector, n)."""
+def near_links(classes: DataFrame, caps: dict[int, Caps], cosine: float) -> DataFrame:
+    """(rep, copies, low): partial link counts and spanning links of classes (rep, label, vector, n); caps by dimension."""
 
     def decode(batches):
         for batch in batches:
@@ -155,21 +202,22 @@ def near_links(classes: DataFrame, caps: Caps, cosine: float) -> DataFrame:
             for dim in np.unique(lengths):
                 at = np.flatnonzero(lengths == dim)
                 x = flat[(ends[at] - dim)[:, None] + np.arange(dim)]
-                for a in range(0, len(at), 1024):
-                    rows, filters = list_decode(unit(x[a : a + 1024]), caps)
+                step = caps[dim].rows_at_once
+                for a in range(0, len(at), step):
+                    rows, filters = list_decode(unit(x[a : a + step]), caps[dim])
                     if not len(rows):
                         continue
-                    mine = at[a : a + 1024]
+                    mine = at[a : a + step]
                     part = batch.take(pa.array(mine[rows]))
-                    vectors = [v.astype(store).tobytes() for v in x[a : a + 1024]]
+                    vectors = [v.astype(store).tobytes() for v in x[a : a + step]]
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("rep"), part.column("label"), part.column("n"), pa.array(np.full(len(rows), dim, np.int32)), pa.array(filters.astype(np.int32)), pa.array([vectors[r] for r in rows.tolist()], pa.binary())],
+                        [part.column("rep"), part.column("label"), part.column("n"), pa.array(np.full(len(rows), dim, np.int32)), pa.array(filters), pa.array([vectors[r] for r in rows.tolist()], pa.binary())],
                         names=["rep", "label", "n", "dim", "filter", "x"],
                     )
 
     kinds = dict(classes.dtypes)
     store = "<f4" if kinds["vector"] == "array<float>" else "<f8"
-    rows = map_arrow(classes, decode, f"rep long, label {kinds['label']}, n long, dim int, filter int, x binary")
+    rows = map_arrow(classes, decode, f"rep long, label {kinds['label']}, n long, dim int, filter long, x binary")
     key = ["label", "dim", "filter"]
     heavy = rows.groupBy(*key).agg(F.count("*").alias("held")).where(F.col("held") > BLOCK).select(*key, F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks"))
     heavy = staged(heavy)
@@ -182,7 +230,7 @@ def near_links(classes: DataFrame, caps: Caps, cosine: float) -> DataFrame:
     def compare(t: pa.Table):
         if len(t) > 1:
             x = np.frombuffer(b"".join(t["x"].to_pylist()), store).reshape(len(t), -1).astype(np.float64)
-            got = links_of_cell(t["rep"].to_numpy(), t["n"].to_numpy(), t["block"].to_numpy(), x, t["filter"][0].as_py(), caps, cosine)
+            got = links_of_cell(t["rep"].to_numpy(), t["n"].to_numpy(), t["block"].to_numpy(), x, t["filter"][0].as_py(), caps[t["dim"][0].as_py()], cosine)
             if got is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in got], names=["rep", "copies", "low"])
 
@@ -207,7 +255,12 @@ def dedup_embeddings(vectors: DataFrame, cosine: float = COSINE, id_col: str = "
     usable = rows.where("ok").drop("ok")
     classes = staged(usable.groupBy("label", "vector").agg(F.min("vec_id").cast("long").alias("rep"), F.count("*").alias("n")))
     most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    links = staged(near_links(classes, choose_caps(most, cosine), cosine))
+    by_size: dict[int, Caps] = {}
+    caps = {}
+    for (dim,) in classes.select(F.size("vector")).distinct().collect():
+        wide = max(LEAST_DIM, dim)
+        caps[dim] = by_size[wide] = by_size.get(wide) or choose_caps(most, cosine, dim=wide)
+    links = staged(near_links(classes, caps, cosine))
     counts = links.groupBy("rep").agg(F.sum("copies").alias("copies"))
     parts = components(links.select(F.col("rep").alias("a"), F.col("low").alias("b")))
     of_class = (

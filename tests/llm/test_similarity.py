@@ -84,6 +84,21 @@ def test_caps_find_pairs_at_the_threshold():
     assert len(found) >= 1495
 
 
+@pytest.mark.parametrize("n, dim", [(1_000_000, 64), (10_000_000, 64), (100_000, 128), (10_000_000, 128)])
+def test_caps_find_pairs_of_large_labels_and_wide_vectors(n, dim):
+    rng = np.random.default_rng(10)
+    x = embedding_dedup.unit(rng.standard_normal((300, dim)))
+    side = rng.standard_normal((300, dim))
+    side = embedding_dedup.unit(side - (side * x).sum(1, keepdims=True) * x)
+    y = 0.932 * x + np.sqrt(1 - 0.932**2) * side
+    caps = embedding_dedup.choose_caps(n, dim=dim)
+    found = 0
+    for a in range(0, 300, 100):
+        (r, f), (s, g) = embedding_dedup.list_decode(x[a : a + 100], caps), embedding_dedup.list_decode(y[a : a + 100], caps)
+        found += len(set(r[i] for i in np.flatnonzero(np.isin(r * 10**12 + f, s * 10**12 + g))))
+    assert found >= 299
+
+
 def test_top_k_against_all_rows(spark, table):
     rows = [(i, [int(np.floor(256 * x)) for x in v]) for i, v, _ in vectors() if i is not None and v is not None and None not in v and np.isfinite(v).all()]
     want = {}
