@@ -109,8 +109,11 @@ def thinned(position: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, list[t
 
     Equal grams that overlap at one distance make the text periodic from the
     first to the last; if that stretch is a period longer than LENGTH, each of
-    its strings occurs again a period on, so all of it goes.  Of its anchors
-    the first and last three stand for all others.
+    its strings occurs again a period on, so all of it goes.  A string that crosses the end of the stretch may have its anchor up to
+    REACH bytes before that, so of the anchors all within LENGTH bytes of
+    either end are kept, and at least three.  With a period of at most half a
+    gram three will do: a string that crosses an end holds a gram that does,
+    and such grams come before those inside.
     """
     keep = np.ones(len(position), bool)
     spans: list[tuple[int, int]] = []
@@ -130,7 +133,10 @@ def thinned(position: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, list[t
         lo, hi = int(position[a]), int(position[b + 1]) + GRAM
         if hi - lo >= LENGTH + gap[a]:
             spans.append((lo, hi))
-            keep[a + 3 : b - 1] = False
+            ends = LENGTH if gap[a] > GRAM // 2 else 0
+            first = max(a + 3, int(np.searchsorted(position, lo + ends, side="right")))
+            last = min(b - 1, int(np.searchsorted(position, hi - GRAM - ends)))
+            keep[first:last] = False
         i = int(np.searchsorted(hits, b + 1))
     return keep, spans
 

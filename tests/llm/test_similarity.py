@@ -204,6 +204,31 @@ def test_repeats_against_all_strings(spark, monkeypatch, crowded):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_repeats_across_the_end_of_a_repeated_line(spark):
+    """Lines of 51 to 100 bytes; another text has the end of the stretch and what follows it."""
+    texts = []
+    for seed in (9, 25, 160, 188, *range(1000, 1040)):
+        rng = random.Random(seed)
+        make = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+        line = make(rng.randrange(51, 58 if seed < 1000 else 101))
+        end, tail = rng.randrange(385, 400), rng.randrange(20, 100)
+        tail = make(tail)
+        stretch = (line * 60)[:1500]
+        texts += [make(40) + stretch + tail + make(40), make(40) + stretch[-end:] + tail + make(40)]
+    want = plain_removal([t.encode() for t in texts])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_anchors_near_both_ends_of_a_repeated_line_are_kept():
+    position = 7 + 54 * np.arange(40)
+    keep, spans = suffix_dedup.thinned(position, np.ones(40, np.uint64))
+    lo, hi = 7, int(position[-1]) + suffix_dedup.GRAM
+    assert spans == [(lo, hi)] and not keep.all()
+    assert keep[(position <= lo + suffix_dedup.LENGTH) | (position >= hi - suffix_dedup.GRAM - suffix_dedup.LENGTH)].all()
+
+
 def test_repeats_cases(documents, corpus, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
     twice = suffix_dedup.remove_repeats(documents.union(documents)).collect()
