@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, staged, table, text_slices
-from .shingles import _LETTER, _power, mixed
+from .shingles import _LETTER, _SPACE, _power, mixed, word_hashes
 
 LENGTH, GRAM = 400, 100
 REACH = LENGTH - GRAM
@@ -29,6 +29,8 @@ SHALLOW = 32
 SEGMENT, SORTED_TOGETHER = 1 << 20, 12 << 20
 #: Distinct contexts of one gram that are sorted as one group; larger groups are divided by half a context.
 MOST_CONTEXTS = 10_000
+#: Words of the grams that stand for a run of words.
+WORD_GRAM = 8
 _SLICE = 2 << 20
 _EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
@@ -393,15 +395,83 @@ def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _without(texts: DataFrame) -> DataFrame:
-    """(rep, tid, n_removed, n_spans, kept, kept_sha256) of rows (rep, tid, text, spans)."""
+# -- runs of words --------------------------------------------------------------
+
+
+def word_runs(words: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of the run of ``length`` words that starts at each word of a text, the least hash of a gram in it)."""
+    n = len(words) - length + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    up, down = _power(len(words))
+    total = np.append(np.uint64(0), np.cumsum(words * up, dtype=np.uint64))
+    of = lambda k: mixed((total[k:] - total[:-k]) * down[: len(words) - k + 1])
+    gram = min(WORD_GRAM, length)
+    return of(length), np.lib.stride_tricks.sliding_window_view(of(gram), length - gram + 1).min(1)
+
+
+def _words_of(text: str) -> np.ndarray:
+    raw = np.frombuffer((text or "").encode("utf-8"), np.uint8)
+    return word_hashes(raw, np.array([0, len(raw)]))[0]
+
+
+def word_spans(raw: bytes, repeated: list[int], length: int) -> list[dict]:
+    """The bytes from the first to the last word of each repeated run."""
+    data = np.frombuffer(raw, np.uint8)
+    runs, _ = word_runs(word_hashes(data, np.array([0, len(data)]))[0], length)
+    at = np.flatnonzero(np.isin(runs, np.array(repeated, np.int64).view(np.uint64)))
+    word = np.concatenate([[False], ~_SPACE[data], [False]])
+    starts, ends = np.flatnonzero(word[1:] & ~word[:-1]), np.flatnonzero(~word[1:] & word[:-1])
+    return [{"lo": int(starts[i]), "hi": int(ends[i + length - 1])} for i in at]
+
+
+def _repeated_runs(texts: DataFrame, classes: DataFrame, length: int) -> DataFrame:
+    """(rep, tid, runs): hashes of the runs of ``length`` words of texts (rep, tid, text) that occur again.
+
+    Equal runs have the same least gram, so only runs whose gram is that of
+    another are looked at.
+    """
+
+    def keys(batches):
+        for batch in batches:
+            out, times = [], []
+            for text in batch.column("text"):
+                runs, least = word_runs(_words_of(text.as_py()), length)
+                some, at, n = np.unique(runs, return_index=True, return_counts=True)
+                key, back = np.unique(least[at], return_inverse=True)
+                most = np.ones(len(key), np.int64)
+                np.maximum.at(most, back, n)
+                out.append(key.view(np.int64))
+                times.append(most)
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("tid"), pa.array(out, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))], names=["rep", "tid", "keys", "times"])
+
+    def runs_of(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                runs, least = word_runs(_words_of(batch.column("text")[i].as_py()), length)
+                some, n = np.unique(runs[np.isin(least, np.array(batch.column("keys")[i].as_py(), np.int64).view(np.uint64))], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(c)[i].as_py()] * len(some), pa.int64()) for c in ("rep", "tid")] + [pa.array(some.view(np.int64)), pa.array(n * batch.column("n")[i].as_py())], names=["rep", "tid", "run", "n"])
+
+    mine = classes.select("rep", F.xxhash64(F.lower(F.hex("sha"))).alias("tid"), "n")
+    each = map_arrow(texts, keys, "rep long, tid long, keys array<long>, times array<long>").dropDuplicates(["rep", "tid"]).join(mine, ["rep", "tid"])
+    each = staged(each.select("rep", "tid", "n", F.explode(F.arrays_zip("keys", "times")).alias("m")).select("rep", "tid", "n", F.col("m.keys").alias("key"), (F.col("m.times") * F.col("n")).alias("times")))
+    again = each.groupBy("key").agg(F.sum("times").alias("s")).where("s > 1").select("key")
+    wanted = each.join(again, "key", "left_semi").groupBy("rep", "tid").agg(F.first("n").alias("n"), F.collect_list("key").alias("keys"))
+    runs = staged(map_arrow(texts.join(wanted.hint("shuffle_hash"), ["rep", "tid"]), runs_of, "rep long, tid long, run long, n long").dropDuplicates(["rep", "tid", "run"]))
+    twice = runs.groupBy("run").agg(F.sum("n").alias("s")).where("s > 1").select("run")
+    return runs.join(twice, "run", "left_semi").groupBy("rep", "tid").agg(F.collect_list("run").alias("runs"))
+
+
+def _without(texts: DataFrame, words: int | None = None) -> DataFrame:
+    """(rep, tid, n_removed, n_spans, kept, kept_sha256) of rows (rep, tid, text, spans), and runs if ``words`` is given."""
 
     def run(batches):
         for batch in batches:
             cols: list[list] = [[], [], [], []]
-            for text, spans in zip(batch.column("text"), batch.column("spans")):
+            runs = batch.column("runs").to_pylist() if words else [None] * batch.num_rows
+            for text, spans, again in zip(batch.column("text"), batch.column("spans"), runs):
                 raw, at, kept = text.as_py().encode("utf-8"), 0, []
-                gone = merged_spans([(s["lo"], s["hi"]) for s in spans.as_py()])
+                gone = merged_spans([(s["lo"], s["hi"]) for s in spans.as_py() + (word_spans(raw, again, words) if again else [])])
                 for lo, hi in gone:
                     kept.append(raw[at:lo])
                     at = hi
@@ -413,11 +483,12 @@ def _without(texts: DataFrame) -> DataFrame:
     return map_arrow(texts, run, "rep long, tid long, n_removed long, n_spans long, kept string, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text", words: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row (and kept, if asked for).
 
     Removes each byte covered by a string of LENGTH bytes that also starts
-    anywhere else, in the same text or another.  Texts are UTF-8 bytes; null
+    anywhere else, in the same text or another; with ``words``, also each run
+    of so many words (A-Z lowered) that does.  Texts are UTF-8 bytes; null
     is empty.  Strings are judged on the input.  ``kept`` is what remains of a
     text that occurs once and from which something was removed, without
     characters that were cut in two; it is null elsewhere: nothing removed, or
@@ -439,6 +510,8 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, id_col: str = "doc_
     own = found.where(F.size("lows") > 0).select("rep", "tid", F.arrays_zip(F.col("lows").alias("lo"), F.col("highs").alias("hi")).alias("own"))
     wanted = marks.join(own, ["rep", "tid"], "full")
     texts = base.withColumnRenamed("doc_id", "rep").select("rep", "tid", "text")
+    if words:
+        wanted = wanted.join(_repeated_runs(texts, classes, words), ["rep", "tid"], "full")
     marked = texts.join(wanted.hint("shuffle_hash"), ["rep", "tid"])
     if not meta.groupBy("doc_id", "tid").count().where("count > 1").isEmpty():  # a row that is there twice
         marked = marked.dropDuplicates(["rep", "tid"])
@@ -447,9 +520,10 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, id_col: str = "doc_
     contexts = staged(_contexts(marked.where("marks is not null").select("rep", "tid", "text", "marks")))
     spans = contexts.select("rep", "tid", "pos", "gram", "ctx").join(_offsets(contexts), ["gram", "ctx"]).select("rep", "tid", F.struct((F.col("pos") - F.col("most")).cast("int").alias("lo"), (F.col("pos") + LENGTH - F.col("least")).cast("int").alias("hi")).alias("span"))
     spans = spans.groupBy("rep", "tid").agg(F.collect_list("span").alias("spans"))
+    more = ["runs"] if words else []
     none = F.array().cast("array<struct<lo:int,hi:int>>")
-    cut = marked.select("rep", "tid", "text", "own").join(spans.hint("shuffle_hash"), ["rep", "tid"], "left").select("rep", "tid", "text", F.concat(F.coalesce("own", none), F.coalesce("spans", none)).alias("spans")).where(F.size("spans") > 0)
-    cut = _without(cut)
+    cut = marked.select("rep", "tid", "text", "own", *more).join(spans.hint("shuffle_hash"), ["rep", "tid"], "left").select("rep", "tid", "text", F.concat(F.coalesce("own", none), F.coalesce("spans", none)).alias("spans"), *more).where((F.size("spans") > 0) | (F.col("runs").isNotNull() if words else F.lit(False)))
+    cut = _without(cut, words)
     if not keep_text:
         cut = cut.drop("kept")
     cut = staged(cut)

@@ -51,3 +51,12 @@ def test_repeated_rows_and_empty_table(spark, documents, empty, tmp_path):
     assert max(r["count"] for r in kept.groupBy("doc_id").count().collect()) == 1
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         assert stage(spark, empty, "").count() == 0
+
+
+def test_passages_of_short_words_are_cut(spark):
+    passage = [f"{chr(97 + i % 26)}{i % 10}" for i in range(52)]
+    rows = [(1, "one " + " ".join(passage) + " two"), (2, "Three\n" + "  ".join(passage[:51]).upper() + " four"), (3, "five " + " ".join(passage[:50]) + " six"), (4, " ".join(["a b"] * 40)), (5, " ".join(f"n{i}" for i in range(60)))]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], ", ".join(f"{c} {'long' if c in ('doc_id', 'n_chars') else 'string'}" for c in COLUMNS))
+    got = {r.doc_id: r for r in corpus_pipeline.cut_repeated_passages(spark, docs, "").collect()}
+    assert {i: r.text.split() for i, r in got.items()} == {1: ["one", passage[51], "two"], 2: ["Three", "four"], 3: rows[2][1].split(), 4: [], 5: rows[4][1].split()}
+    assert all(r.n_chars == len(r.text) for r in got.values())
