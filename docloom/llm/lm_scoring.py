@@ -1,42 +1,40 @@
-"""Language-model scores by interpolated absolute discounting over n-grams.
+"""Language-model scores by a weighted backoff automaton over n-grams.
 
-The model holds every n-gram seen ``LEAST_COUNT`` times in training; below it
-stands the unigram model over all words, however rare.  Words and grams grow
-with the corpus, so neither leaves the executors: documents are dealt into
-chunks, a chunk asks for the counts of its own words and grams, and only those
-come back to it, with what their continuations take of their weight.
+The states are the n-grams of the training texts, all of them.  A state's arc
+for a seen word carries the word's share of the state's count, and its failure
+arc carries PRIOR occurrences' worth of weight to the state one word shorter,
+down to smoothed word counts.  Every text is read once from left to right.
+
+Counts grow with the corpus, so they never leave the executors: texts are dealt
+into chunks of bounded bytes, a chunk sends the sorted keys of its own grams,
+and the corpus counts come back in the order in which they were asked for.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_arrow, staged, table, text_slices
+from .common import crc_mod, map_arrow, table, text_slices
 from .shingles import mixed, word_hashes
 
 ORDER = 3
-#: Grams of more than one word are kept from this count on, however large the corpus is.
-LEAST_COUNT = 2
-DISCOUNT = 0.75
-#: Ids that lie close together share a chunk, about so many documents; a chunk is scored by one task at a time.
-CHUNK_IDS = 4096
-#: Words or grams with their counts that one task holds before it hands on what it has.
+#: Occurrences of a context that its shorter context is worth.
+PRIOR = 30.0
+#: Bytes of text that one task scores at a time, and that give the keys which one task counts at a time, about.
+CHUNK_BYTES, PART_BYTES = 8 << 20, 4 << 20
+#: Bits of a word's key; a longer gram's has so many more than the corpus has bytes, so the chance that it shares its key stays the same.
+WORD_BITS, SPARE_BITS = 63, 18
+#: Distinct words that one task holds before it hands on what it has.
 HELD = 3_000_000
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 _SLICE = 1 << 20
 
 
-def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Index of each wanted value in the ascending keys, or -1."""
-    if not len(keys):
-        return np.full(len(wanted), -1, np.int64)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, -1)
-
-
 # -- sequences ---------------------------------------------------------------------
 
 
@@ -62,222 +60,251 @@ def framed(words: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def grams(seq: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each order up to this one, (hash of the gram that ends at each place, whether one does).
 
-    START begins a text and ends no gram of more than one word.
+    START begins a text and ends no gram; START and END alone are no words.
     """
-    out = [(seq, np.ones(len(seq), bool))]
+    before, there = seq, np.ones(len(seq), bool)
+    out = [(seq, (seq != START) & (seq != END))]
     for _ in range(1, order):
-        before, there = out[-1]
         keys, ok = np.zeros(len(seq), np.uint64), np.zeros(len(seq), bool)
         x = before[:-1] * np.uint64(0xD6E8FEB86659FD93) + seq[1:]
         keys[1:] = mixed(x ^ (x >> np.uint64(32)))
         ok[1:] = there[:-1] & (seq[1:] != START)
         out.append((keys, ok))
+        before, there = keys, ok
     return out
 
 
-def _chunked(docs: DataFrame, held_out, chunks: int) -> DataFrame:
-    near = F.floor(F.coalesce(F.col("doc_id"), F.lit(0)) / CHUNK_IDS)
-    return docs.select("doc_id", F.col("text"), held_out.alias("held_out"), F.pmod(F.xxhash64(near), F.lit(chunks)).cast("int").alias("chunk"))
+# -- keys on their way ---------------------------------------------------------------
 
 
-_REQUEST = "gram long, prefix long, chunk int, n int"
+def packed(values: np.ndarray) -> bytes:
+    """Unsigned values as planes of their bytes, from the lowest to the highest that any of them has."""
+    if not len(values):
+        return b""
+    planes = max(1, -(-int(values.max()).bit_length() // 8))
+    return bytes([planes]) + values.astype("<u8").view(np.uint8).reshape(-1, 8).T[:planes].tobytes()
 
 
-def _counted(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct grams, prefix of each, their counts) of several such lists."""
-    keys, first, at = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
-    n = np.bincount(at, np.concatenate([p[2] for p in parts]), minlength=len(keys)).astype(np.int64)
-    return keys, np.concatenate([p[1] for p in parts])[first], n
+def unpacked(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, np.uint64)
+    flat = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    out = np.zeros((flat.shape[1], 8), np.uint8)
+    out[:, : data[0]] = flat.T
+    return out.reshape(-1).view("<u8")
 
 
-def _request_batches(chunk: int, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-    keys, prefix, n = _counted(parts)
-    for a in range(0, len(keys), 1 << 17):
-        k, p = keys[a : a + (1 << 17)], prefix[a : a + (1 << 17)]
-        yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(p.view(np.int64)), pa.array(np.full(len(k), chunk, np.int32)), pa.array(n[a : a + (1 << 17)].astype(np.int32))], names=["gram", "prefix", "chunk", "n"])
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending distinct keys by their distances; the first is meant from the start of its part."""
+    return packed(np.diff(keys, prepend=np.uint64(0)))
 
 
-def _requests(docs: DataFrame, order: int) -> DataFrame:
-    """(gram, prefix, chunk, n): how often a chunk has a gram in training; 0 for those of held-out texts alone.
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data), dtype=np.uint64)
+
+
+def tally(keys: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys ascending, how many of each are not held out); keys have 63 bits at most."""
+    x = np.sort((keys << np.uint64(1)) | held.astype(np.uint64))
+    key = x >> np.uint64(1)
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    learned = np.append(0, np.cumsum((x & np.uint64(1)) == 0))
+    return key[starts], np.diff(learned[np.append(starts, len(key))]).astype(np.uint64)
+
+
+def part_edges(keys: np.ndarray, bits: int, parts: int) -> np.ndarray:
+    """Where the keys of each of ``parts`` equal ranges begin, and the end; parts are a power of two."""
+    width = bits - (parts.bit_length() - 1)
+    return np.append(np.searchsorted(keys, np.arange(parts, dtype=np.uint64) << np.uint64(width)), len(keys)) if parts > 1 else np.array([0, len(keys)])
 
-    For orders 1 and 2; a word's prefix is 0, and START and END are no words here.
-    """
+
+def joint_counts(keys: list[np.ndarray], counts: list[np.ndarray]) -> list[np.ndarray]:
+    """The sum of the counts of each key over all lists, in the order of each list."""
+    every = np.concatenate(keys)
+    order = np.argsort(every)
+    ranked = every[order]
+    starts = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(every) else np.zeros(0, np.int64)
+    if not len(every):
+        return counts
+    sums = np.add.reduceat(np.concatenate(counts)[order], starts)
+    out = np.empty(len(every), np.uint64)
+    out[order] = np.repeat(sums, np.diff(np.append(starts, len(every))))
+    return np.split(out, np.cumsum([len(k) for k in keys])[:-1])
+
+
+# -- over the corpus -----------------------------------------------------------------
+
+
+def _vocabulary(docs: DataFrame, parts: int) -> tuple[int, int]:
+    """(words, distinct words) of the texts."""
 
     def run(batches):
-        held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def out():
-            for chunk, parts in held.items():
-                yield from _request_batches(chunk, parts)
-            held.clear()
+            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([n for _, n in held]), minlength=len(keys)).astype(np.int64)
+            edges = part_edges(keys, WORD_BITS, parts)
+            some = np.flatnonzero(np.diff(edges))
+            width = np.uint64(WORD_BITS - (parts.bit_length() - 1))
+            blobs = [packed_keys(keys[edges[p] : edges[p + 1]] - (np.uint64(p) << width)) for p in some]
+            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(blobs, pa.binary()), pa.array([int(n[edges[p] : edges[p + 1]].sum()) for p in some], pa.int64())], names=["part", "keys", "n"])
 
         for batch in batches:
-            chunk, hold = batch.column("chunk").to_numpy(), batch.column("held_out").to_numpy(zero_copy_only=False)
-            kind = chunk.astype(np.int64) * 2 + hold
-            for a, b, words, before in sequences(batch.column("text")):
-                seq, starts = framed(words, before)
-                found = grams(seq, order)
-                keys, ok = found[-1]
-                if order == 1:
-                    ok = (seq != START) & (seq != END)
-                prefix = np.append(np.uint64(0), found[-2][0][:-1]) if order > 1 else np.zeros(len(seq), np.uint64)
-                ends = np.append(starts, len(seq))
-                edges = np.append(0, np.flatnonzero(np.diff(kind[a:b])) + 1)
-                here: dict[int, list[np.ndarray]] = {}
-                for x, y in zip(edges, np.append(edges[1:], b - a)):
-                    here.setdefault(int(kind[a + x]), []).append(ends[x] + np.flatnonzero(ok[ends[x] : ends[y]]))
-                for k, at in here.items():  # counted slice by slice, so that no batch's words are held at once
-                    at = np.concatenate(at)
-                    some, first, n = np.unique(keys[at], return_index=True, return_counts=True)
-                    held.setdefault(k // 2, []).append((some, prefix[at[first]], n * (1 - k % 2)))
-                    size += len(some)
-            if size > HELD:
-                yield from out()
-                size = 0
-        yield from out()
-
-    return map_arrow(docs.select("chunk", "held_out", "text"), run, _REQUEST)
-
-
-def _longer_requests(docs: DataFrame, shorter: DataFrame, order: int) -> DataFrame:
-    """The same for grams both of whose parts, one word shorter, are in ``shorter`` (chunk, gram): no others can be kept."""
-
-    def ask(texts: pa.Table, known: pa.Table) -> pa.Table:
-        kept = np.sort(known["gram"].to_numpy().view(np.uint64))
-        hold = texts["held_out"].to_numpy()
-        parts = []
-        for a, b, words, before in sequences(texts["text"]):
-            seq, starts = framed(words, before)
-            (part, _), (keys, ok) = grams(seq, order)[-2:]
-            there = find(kept, part) >= 0
-            ok[1:] &= there[1:] & there[:-1]
-            at = np.flatnonzero(ok)
-            n = np.repeat(~hold[a:b], np.diff(np.append(starts, len(seq))))[at]
-            some, first, back = np.unique(keys[at], return_index=True, return_inverse=True)
-            parts.append((some, part[at[first] - 1], np.bincount(back, n, minlength=len(some)).astype(np.int64)))
-        chunk = int(texts["chunk"][0].as_py()) if len(texts) else 0
-        out = list(_request_batches(chunk, parts)) if parts else []
-        return pa.Table.from_batches(out, _request_schema())
-
-    return docs.groupBy("chunk").cogroup(shorter.select("chunk", "gram").groupBy("chunk")).applyInArrow(ask, _REQUEST)
-
-
-def _request_schema() -> pa.Schema:
-    return pa.schema([("gram", pa.int64()), ("prefix", pa.int64()), ("chunk", pa.int32()), ("n", pa.int32())])
-
-
-def _answers(requests: DataFrame, least: int) -> DataFrame:
-    """(chunk, gram, prefix, c, head): the corpus count of each requested gram, if that is ``least``; head marks one row of each gram."""
-    ordered = requests.repartition("gram").sortWithinPartitions("gram")
-
-    def emit(gram, prefix, chunk, n):
-        first = np.append(True, gram[1:] != gram[:-1])
-        run_of = np.cumsum(first) - 1
-        c = np.bincount(run_of, n).astype(np.int64)
-        enough = np.flatnonzero(c[run_of] >= least)
-        #: a chunk may have asked more than once
-        order = enough[np.lexsort((chunk[enough], run_of[enough]))]
-        same = (chunk[order][1:] == chunk[order][:-1]) & (run_of[order][1:] == run_of[order][:-1])
-        at = order[np.append(True, ~same)] if len(order) else order
-        head = np.append(True, run_of[at][1:] != run_of[at][:-1]) if len(at) else np.zeros(0, bool)
-        return pa.RecordBatch.from_arrays([pa.array(chunk[at]), pa.array(gram[at]), pa.array(prefix[at]), pa.array(c[run_of[at]]), pa.array(head)], names=["chunk", "gram", "prefix", "c", "head"])
+            for _, _, words, _ in sequences(batch.column("text")):
+                if len(words):
+                    held.append(np.unique(words >> np.uint64(1), return_counts=True))
+                    size += len(held[-1][0])
+                if size > HELD:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
 
-    def run(batches):
-        rest: list[np.ndarray] | None = None
-        for batch in batches:
-            cols = [batch.column(c).to_numpy() for c in ("gram", "prefix", "chunk", "n")]
-            if rest is not None:
-                cols = [np.concatenate(x) for x in zip(rest, cols)]
-            if not len(cols[0]):
-                continue
-            cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last gram may go on
-            rest = [c[cut:] for c in cols]
-            if cut:
-                yield emit(*(c[:cut] for c in cols))
-        if rest is not None and len(rest[0]):
-            yield emit(*rest)
+    def distinct(t: pa.Table) -> pa.Table:
+        keys = np.unique(np.concatenate([unpacked_keys(x.as_py()) for x in t["keys"]]))
+        return pa.table([pa.array([sum(t["n"].to_pylist())], pa.int64()), pa.array([len(keys)], pa.int64())], names=["n", "v"])
+
+    each = map_arrow(docs.select("text"), run, "part long, keys binary, n long").groupBy("part").applyInArrow(distinct, "n long, v long")
+    return tuple(each.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first())
 
-    return map_arrow(ordered, run, "chunk int, gram long, prefix long, c long, head boolean")
 
+def _of_chunk(docs: pa.Table, order: int, bits: int):
+    """(framed words, places of STARTs, whether each place is held out, its grams) slice by slice, keys cut to their bits."""
+    hold = docs["held_out"].to_numpy(zero_copy_only=False)
+    for a, b, words, before in sequences(docs["text"]):
+        seq, starts = framed(words, before)
+        found = [(k >> np.uint64(64 - (bits if level else WORD_BITS)), ok) for level, (k, ok) in enumerate(grams(seq, order))]
+        yield seq, starts, np.repeat(hold[a:b], np.diff(np.append(starts, len(seq)))), found
 
-def score_documents(docs: DataFrame, held_out, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
+
+def _joined(found: list, levels: range) -> np.ndarray:
+    """The keys of those levels that are there, level by level within each slice."""
+    return np.concatenate([k[ok] for slice_ in found for k, ok in (slice_[i] for i in levels)] or [np.zeros(0, np.uint64)])
+
+
+_ASKED = "chunk int, part long, words binary, word_n binary, grams binary, gram_n binary"
+
+
+def _asked(chunked: DataFrame, order: int, bits: int, parts: int) -> DataFrame:
+    """The keys of each chunk's words and longer grams, part by part, with the chunk's own training counts."""
+
+    def ask(docs: pa.Table) -> pa.Table:
+        slices = list(_of_chunk(docs, order, bits))
+        cols: list[list] = [[], [], [], []]
+        some = np.zeros(parts, bool)
+        for i, (levels, width) in enumerate(((range(1), WORD_BITS), (range(1, order), bits))):
+            hold = np.concatenate([h[s[k][1]] for _, _, h, s in slices for k in levels] or [np.zeros(0, bool)])
+            keys, n = tally(_joined([s for *_, s in slices], levels), hold)
+            edges = part_edges(keys, width, parts)
+            some |= np.diff(edges) > 0
+            shift = np.uint64(width - (parts.bit_length() - 1))
+            cols[2 * i] = [packed_keys(keys[a:b] - (np.uint64(p) << shift)) if b > a else b"" for p, (a, b) in enumerate(zip(edges, edges[1:]))]
+            cols[2 * i + 1] = [packed(n[a:b]) for a, b in zip(edges, edges[1:])]
+        at = np.flatnonzero(some)
+        arrays = [pa.array([docs["chunk"][0].as_py()] * len(at), pa.int32()), pa.array(at.astype(np.int64)), *(pa.array([c[p] for p in at], pa.binary()) for c in cols)]
+        return pa.Table.from_arrays(arrays, names=["chunk", "part", "words", "word_n", "grams", "gram_n"])
+
+    return chunked.groupBy("chunk").applyInArrow(ask, _ASKED)
+
+
+def _answered(asked: DataFrame) -> DataFrame:
+    """(chunk, part, word_c, gram_c): the corpus counts of what a chunk asked for, in its order."""
+
+    def answer(t: pa.Table) -> pa.Table:
+        out = []
+        for keys, n in (("words", "word_n"), ("grams", "gram_n")):
+            got = joint_counts([unpacked_keys(x.as_py()) for x in t[keys]], [unpacked(x.as_py()) for x in t[n]])
+            out.append(pa.array([packed(c) for c in got], pa.binary()))
+        return pa.Table.from_arrays([t["chunk"].combine_chunks(), t["part"].combine_chunks(), *out], names=["chunk", "part", "word_c", "gram_c"])
+
+    return asked.groupBy("part").applyInArrow(answer, "chunk int, part long, word_c binary, gram_c binary")
+
+
+def walked(seq, starts, found, counts, total: int, distinct: int, texts: int, prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(whether the token is known, log10 of its base probability, log10 of its probability) at each place.
+
+    ``counts`` has the corpus count of the gram of each order that ends at each place.  The
+    state before a token is its longest context; a context that never
+    occurred passes all weight on.
+    """
+    n = counts[0].astype(np.float64)
+    n[seq == END], n[starts] = texts, 0
+    known = n > 0
+    p = (n + 1.0) / (total + distinct + 1.0)
+    base = np.log10(p)
+    n[starts] = texts
+    for level in range(1, len(found)):
+        c, ok = counts[level].astype(np.float64), found[level][1]
+        p[1:] = np.where(ok[1:], (c[1:] + prior * p[1:]) / (n[:-1] + prior), p[1:])
+        n = c
+    score = np.log10(p)
+    base[starts] = score[starts] = 0
+    return known, base, score
+
+
+def score_documents(docs: DataFrame, held_out, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", prior: float = PRIOR) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, gain of every row.
 
     Learns from the rows that are not held out, all of them; ``held_out`` is a
-    boolean column of ``docs``.  Tokens are the words (A-Z lowered) and one
-    end.  base_score is the sum of log10((c + 1) / (N + V + 1)).  score is the
-    model's log10 probability: interpolated absolute discounting over all
-    grams seen at least LEAST_COUNT times, down to that base.  A null text is empty and has one
-    token, the end.  Repeated rows are scored and counted each for itself.
+    boolean column of ``docs``, null counts as false.  Tokens are the words
+    (A-Z lowered) and one end.  base_score is the sum of log10((c + 1) / (N +
+    V + 1)).  score is the model's log10 probability: from a context seen n
+    times, a token seen c times behind it has (c + prior * q) / (n + prior), q
+    being its probability from the context one word shorter, and the base at
+    the end; every gram counts, however rare.  gain is (score - base_score)
+    per token.  A null text is empty and has one token, the end.  Repeated
+    rows are scored and counted each for itself, rows without an id as well.
     Nothing to learn from: every token has probability 1.  An empty table
     stays empty; other columns are not looked at.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held_out.alias("held_out"))
-    rows, texts = docs.agg(F.count("*"), F.count_if(~F.col("held_out"))).first()
-    chunked = _chunked(docs, F.col("held_out"), max(1, -(-rows // CHUNK_IDS)))
-    answers = [staged(_answers(_requests(chunked, 1), 0))]
-    total, distinct = answers[0].where("head and c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    texts, size = docs.agg(F.count_if(~F.col("held_out")), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    chunks, parts = max(1, -(-size // CHUNK_BYTES)), 1 << max(0, math.ceil(math.log2(max(1, size / PART_BYTES))))
+    bits = min(WORD_BITS, max(1, size).bit_length() + SPARE_BITS)
+    total, distinct = _vocabulary(docs.where(~F.col("held_out")), parts)
     total, distinct = total + texts, distinct + (texts > 0)
-    for k in range(2, order + 1):
-        answers.append(staged(_answers(_requests(chunked, 2) if k == 2 else _longer_requests(chunked, answers[-1], k), LEAST_COUNT)))
-
-    #: what the kept grams that go on from a context take of its weight
-    taken = [a.where("head").groupBy(F.col("prefix").alias("gram")).agg((F.sum("c") - F.lit(DISCOUNT) * F.count("*")).alias("taken")) for a in answers[1:]]
-    after_start = taken[0].where(F.col("gram") == F.lit(int(START))).first() if taken else None
-    start_taken = after_start["taken"] if after_start else 0.0
-    known = None
-    for k, a in enumerate(answers):
-        a = a.select("chunk", "gram", "c")
-        a = a.join(taken[k], "gram", "left") if k < len(taken) else a.withColumn("taken", F.lit(0.0))
-        a = a.select("chunk", F.lit(k).alias("level"), "gram", "c", F.coalesce("taken", F.lit(0.0)).alias("taken"))
-        known = a if known is None else known.union(a)
 
-    def score(docs: pa.Table, known: pa.Table) -> pa.Table:
-        level, gram, count, gone = (known[c].to_numpy() for c in ("level", "gram", "c", "taken"))
-        tables = []
-        for k in range(order):
-            at = np.flatnonzero(level == k)
-            at = at[np.argsort(gram[at].view(np.uint64))]
-            tables.append((gram[at].view(np.uint64), count[at], gone[at]))
-
-        def look(k: int, keys: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            have, c, t = tables[k]
-            at = np.where(ok, find(have, keys), -1)
-            return (np.where(at >= 0, c[at], 0), np.where(at >= 0, t[at], 0.0)) if len(have) else (np.zeros(len(keys), np.int64), np.zeros(len(keys)))
+    #: rows without an id or with one id may be many, so the place of a row deals as well
+    chunked = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(chunks)).cast("int")).repartition("chunk")
+    answers = _answered(_asked(chunked, order, bits, parts))
 
+    def score(docs: pa.Table, known: pa.Table) -> pa.Table:
+        slices = list(_of_chunk(docs, order, bits))
+        known = known.sort_by("part")
+        everywhere = []
+        for name, levels in (("word_c", range(1)), ("gram_c", range(1, order))):
+            keys = _joined([s for *_, s in slices], levels)
+            by = np.argsort(keys)
+            ranked = keys[by]
+            nth = np.cumsum(np.append(False, ranked[1:] != ranked[:-1])) if len(keys) else np.zeros(0, np.int64)
+            count = np.concatenate([unpacked(x.as_py()) for x in known[name]] or [np.zeros(0, np.uint64)])
+            at = np.empty(len(keys), np.uint64)
+            at[by] = count[nth]
+            everywhere.append(at)
+        taken = [0, 0]
         cols: list[list[np.ndarray]] = [[], [], [], []]
-        for _, _, got, before in sequences(docs["text"]):
-            seq, starts = framed(got, before)
-            found = grams(seq, order)
-            n, t = look(0, *found[0])
-            n[seq == END], n[starts] = texts, 0
-            p = (n + 1.0) / (total + distinct + 1.0)
-            base = np.log10(p)
-            base[starts] = 0
-            known_here = n > 0
-            n[starts], t[starts] = max(1, texts), start_taken
-            for k in range(1, order):
-                keys, ok = found[k]
-                back = np.where(n > 0, np.maximum(1.0 - t / np.maximum(n, 1), 1e-12), 1.0)
-                c, t = look(k, keys, ok)
-                seen = np.where(c[1:] > 0, (c[1:] - DISCOUNT) / np.maximum(n[:-1], 1), 0.0)
-                p[1:] = np.where(ok[1:], seen + back[:-1] * p[1:], p[1:])
-                n = c
-            weight = np.log10(p)
-            weight[starts] = 0
-            cols[0].append(np.diff(before) + 1)
-            cols[1].append(np.add.reduceat(known_here.astype(np.int64), starts))
-            cols[2].append(np.add.reduceat(base, starts))
-            cols[3].append(np.add.reduceat(weight, starts))
-        out = [np.concatenate(x) if x else np.zeros(0) for x in cols]
+        for seq, starts, _, found in slices:
+            counts = []
+            for level, (_, ok) in enumerate(found):
+                kind, m = min(level, 1), int(ok.sum())
+                c = np.zeros(len(seq), np.uint64)
+                c[ok] = everywhere[kind][taken[kind] : taken[kind] + m]
+                taken[kind] += m
+                counts.append(c)
+            seen, base, weight = walked(seq, starts, found, counts, total, distinct, texts, prior)
+            cols[0].append(np.diff(np.append(starts, len(seq))) - 1)
+            for to, v in zip(cols[1:], (seen.astype(np.int64), base, weight)):
+                to.append(np.add.reduceat(v, starts))
+        n, seen, base, weight = (np.concatenate(x) if x else np.zeros(0) for x in cols)
         return pa.table(
-            [docs["doc_id"].combine_chunks(), docs["held_out"].combine_chunks(), pa.array(out[0].astype(np.int64)), pa.array(out[1].astype(np.int64)), pa.array(np.full(len(docs), total, np.int64)), pa.array(out[2].astype(np.float64)), pa.array(out[3].astype(np.float64))],
-            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            [docs["doc_id"].combine_chunks(), docs["held_out"].combine_chunks(), pa.array(n.astype(np.int64)), pa.array(seen.astype(np.int64)), pa.array(np.full(len(docs), total, np.int64)), *(pa.array(x.astype(np.float64)) for x in (base, weight, (weight - base) / np.maximum(n, 1)))],
+            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "gain"],
         )
 
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return chunked.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(score, schema)
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, gain double"
+    return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, schema)
 
 
 def op10_lm_scoring(spark, sf_dir: str) -> DataFrame:

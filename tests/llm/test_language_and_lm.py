@@ -5,6 +5,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docloom.llm import language_id, lm_scoring
@@ -57,32 +59,23 @@ def tokens(t):
     return [*WORD.findall((t or "").translate(LOWER)), "\n"]
 
 
-def plain_scores(corpus, order, least=2, discount=lm_scoring.DISCOUNT):
+def plain_scores(corpus, order, prior=lm_scoring.PRIOR):
     """The same model with dictionaries, by recursion over contexts."""
     train = [tokens(t) for i, t, *_ in corpus if not held_out(i)]
     c = Counter(w for x in train for w in x)
     total, distinct = sum(c.values()), len(c)
-    grams = Counter()
+    grams, contexts = Counter(), Counter()
     for x in train:
         s = ["<s>", *x]
         for n in range(2, order + 1):
-            grams.update(tuple(s[k : k + n]) for k in range(len(s) - n + 1))
-    count1 = dict(c) | {"<s>": len(train)}
-    frequent = {w for w, k in c.items() if k >= least} | {"<s>", "\n"}
-    kept = {g: k for g, k in grams.items() if k >= least and all(w in frequent for w in g)}
-    back = {}
-    for g, k in kept.items():
-        h = g[:-1]
-        back[h] = back.get(h, 1.0) - (k - discount) / (count1[h[0]] if len(h) == 1 else kept[h])
+            for k in range(len(s) - n + 1):
+                grams[tuple(s[k : k + n])] += 1
+                contexts[tuple(s[k : k + n - 1])] += 1
 
     def p(w, h):
         if not h:
             return (c[w] + 1) / (total + distinct + 1)
-        low = p(w, h[1:])
-        if h not in back:
-            return low
-        seen = (kept[h + (w,)] - discount) / (count1[h[0]] if len(h) == 1 else kept[h]) if h + (w,) in kept else 0
-        return seen + back[h] * low
+        return (grams[h + (w,)] + prior * p(w, h[1:])) / (contexts[h] + prior)
 
     out = {}
     for i, t, *_ in corpus:
@@ -101,6 +94,27 @@ def test_scores_agree_with_dictionaries(documents, corpus, order):
         w = tokens(texts[r.doc_id])
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held_out(r.doc_id), len(w), sum(c[x] > 0 for x in w), total)
         assert r.base_score == pytest.approx(want[r.doc_id][0]) and r.score == pytest.approx(want[r.doc_id][1])
+        assert r.gain == pytest.approx((r.score - r.base_score) / r.n_tokens)
+
+
+def test_many_chunks_and_parts(documents, corpus, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 9_000)
+    monkeypatch.setattr(lm_scoring, "PART_BYTES", 3_000)
+    monkeypatch.setattr(lm_scoring, "HELD", 50)
+    want = plain_scores(corpus, 3)[0]
+    rows = lm_scoring.score_documents(documents, crc_mod("doc_id", 7) == 2).collect()
+    assert len(rows) == len(corpus)
+    for r in rows:
+        assert (r.base_score, r.score) == (pytest.approx(want[r.doc_id][0]), pytest.approx(want[r.doc_id][1]))
+
+
+@given(st.lists(st.integers(0, 2**63 - 1), max_size=60))
+def test_keys_come_back(keys):
+    keys = np.unique(np.array(keys, np.uint64))
+    assert np.array_equal(lm_scoring.unpacked_keys(lm_scoring.packed_keys(keys)), keys)
+    assert np.array_equal(lm_scoring.unpacked(lm_scoring.packed(keys)), keys)
+    edges = lm_scoring.part_edges(keys, 63, 8)
+    assert len(edges) == 9 and edges[-1] == len(keys) and all(set((keys[a:b] >> np.uint64(60)).tolist()) <= {p} for p, (a, b) in enumerate(zip(edges, edges[1:])))
 
 
 def test_probabilities_sum_to_one(corpus):
@@ -122,15 +136,21 @@ def test_lm_with_frequent_words_only(spark):
     assert len({(r.base_score, r.score) for r in rows}) == 1 and rows[0].score > rows[0].base_score
 
 
-def test_rare_grams_of_a_large_corpus_are_kept(spark):
+def test_rare_grams_of_a_large_corpus_count(spark):
     """Grams seen twice count among 13 million tokens as they do among a few."""
     many = spark.range(13).select("id", F.expr("repeat('a ', 1000000)").alias("text"))
     few = spark.createDataFrame([(100 + i, "x y z") for i in range(3)], "id long, text string")
-    rows = lm_scoring.score_documents(many.union(few), F.col("id") == 102, id_col="id").where("held_out").collect()
+    rows = lm_scoring.score_documents(many.union(few), F.col("id") == 102, id_col="id", prior=4.0).where("held_out").collect()
     n, v = 13_000_000 + 6 + 15, 5
     assert [r.train_tokens for r in rows] == [n]
     low = [3 / (n + v + 1)] * 3 + [16 / (n + v + 1)]
-    first = 1.25 / 15 + (1 - (12.25 + 1.25) / 15) * low[0]  # of START, x
-    two = [1.25 / 2 + 0.75 / 2 * p for p in low[1:]]
-    three = [1.25 / 2 + 0.75 / 2 * p for p in two]
+    first = (2 + 4 * low[0]) / (15 + 4)  # of START, x
+    two = [(2 + 4 * p) / (2 + 4) for p in low[1:]]
+    three = [(2 + 4 * p) / (2 + 4) for p in two]
     assert rows[0].score == pytest.approx(math.log10(first) + sum(map(math.log10, three)))
+
+
+def test_repeated_rows_without_an_id_are_dealt_out(spark):
+    docs = spark.createDataFrame([(None, "a b c")] * 40 + [(1, "a b d")], "doc_id long, text string")
+    rows = lm_scoring.score_documents(docs, F.col("doc_id") == 1).collect()
+    assert len(rows) == 41 and {(r.doc_id, r.held_out, r.n_known, r.train_tokens) for r in rows} == {(None, False, 4, 160), (1, True, 3, 160)}
