@@ -28,7 +28,7 @@ PRIOR = 30.0
 #: Bytes of text that one task scores at a time, and that give the keys which one task counts at a time, about.
 CHUNK_BYTES, PART_BYTES = 8 << 20, 4 << 20
 #: Bits of a word's key; a longer gram's has so many more than the corpus has bytes, so the chance that it shares its key stays the same.
-WORD_BITS, SPARE_BITS = 63, 18
+WORD_BITS, SPARE_BITS = 63, 16
 #: Distinct words that one task holds before it hands on what it has.
 HELD = 3_000_000
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
@@ -78,20 +78,24 @@ def grams(seq: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Unsigned values as planes of their bytes, from the lowest to the highest that any of them has."""
-    if not len(values):
-        return b""
-    planes = max(1, -(-int(values.max()).bit_length() // 8))
-    return bytes([planes]) + values.astype("<u8").view(np.uint8).reshape(-1, 8).T[:planes].tobytes()
+    """Unsigned values as planes of their bits, as many as the greatest needs; short lists as they are."""
+    if len(values) < 64:
+        return b"\0" * (len(values) > 0) + values.astype("<u8").tobytes()
+    planes = max(1, int(values.max()).bit_length())
+    bits = np.unpackbits(values.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)[:, 64 - planes :]
+    return bytes([planes]) + len(values).to_bytes(4, "little") + np.packbits(np.ascontiguousarray(bits.T), axis=1).tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:
     if not data:
         return np.zeros(0, np.uint64)
-    flat = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
-    out = np.zeros((flat.shape[1], 8), np.uint8)
-    out[:, : data[0]] = flat.T
-    return out.reshape(-1).view("<u8")
+    planes = data[0]
+    if not planes:
+        return np.frombuffer(data, "<u8", offset=1).astype(np.uint64)
+    n = int.from_bytes(data[1:5], "little")
+    bits = np.zeros((n, 64), np.uint8)
+    bits[:, 64 - planes :] = np.unpackbits(np.frombuffer(data, np.uint8, offset=5).reshape(planes, -1), axis=1)[:, :n].T
+    return np.packbits(bits, axis=1).view(">u8").ravel().astype(np.uint64)
 
 
 def packed_keys(keys: np.ndarray) -> bytes:

@@ -108,7 +108,7 @@ def test_many_chunks_and_parts(documents, corpus, monkeypatch):
         assert (r.base_score, r.score) == (pytest.approx(want[r.doc_id][0]), pytest.approx(want[r.doc_id][1]))
 
 
-@given(st.lists(st.integers(0, 2**63 - 1), max_size=60))
+@given(st.lists(st.integers(0, 2**63 - 1), max_size=200))
 def test_keys_come_back(keys):
     keys = np.unique(np.array(keys, np.uint64))
     assert np.array_equal(lm_scoring.unpacked_keys(lm_scoring.packed_keys(keys)), keys)
