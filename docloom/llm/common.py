@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import components  # noqa: F401
-from ..plans.staging import staged  # noqa: F401
+from ..plans.staging import release, staged  # noqa: F401
 
 #: Texts are handled in slices of about so many bytes, whatever the batch holds.
 SLICE_BYTES = 4 << 20

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, staged, table, text_slices
+from .common import map_arrow, release, staged, table, text_slices
 from .shingles import _LETTER, _SPACE, _power, mixed, word_hashes
 
 LENGTH, GRAM = 400, 100
@@ -29,8 +29,8 @@ SHALLOW = 32
 SEGMENT, SORTED_TOGETHER = 1 << 20, 12 << 20
 #: Distinct contexts of one gram that are sorted as one group; larger groups are divided by half a context.
 MOST_CONTEXTS = 10_000
-#: Words of the grams that stand for a run of words.
-WORD_GRAM = 8
+#: Words of a passage that may not stand in two places, and of the grams that anchor a run of words.
+PASSAGE, WORD_GRAM = 51, 8
 _SLICE = 2 << 20
 _EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
@@ -143,15 +143,34 @@ def thinned(position: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, list[t
     return keep, spans
 
 
-def _anchor_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, tid, grams, positions, spans) per row (doc_id, tid, text)."""
+def least_of_windows(values: np.ndarray, span: int) -> np.ndarray:
+    """The place of the least of each ``span`` values in a row, the leftmost of equal ones (all but their lowest bits)."""
+    n = len(values) - span + 1
+    out = [np.zeros(0, np.int64)]
+    low = np.uint64((1 << 22) - 1)
+    for start in range(0, max(0, n), SEGMENT):
+        part = values[start : start + SEGMENT + span - 1]
+        least = (part & ~low) | np.arange(len(part), dtype=np.uint64)
+        width = 1
+        while 2 * width <= span:
+            least = np.minimum(least[:-width], least[width:])
+            width *= 2
+        if width < span:
+            least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
+        out.append((least[:SEGMENT] & low).astype(np.int64) + start)
+    return np.concatenate(out)
+
+
+def _anchor_rows(docs: DataFrame, words: int | None) -> DataFrame:
+    """(doc_id, tid, grams, positions, spans, keys) per row (doc_id, tid, text); keys are the grams of words that anchor its runs of ``words`` words."""
 
     def run(batches):
         for batch in batches:
-            grams, positions, lows, highs = [], [], [], []
+            grams, positions, lows, highs, keys = [], [], [], [], []
             for a, b, raw, off in text_slices(batch.column("text"), _SLICE):
                 position, value = anchors(raw, off)
                 cut = np.searchsorted(position, off)
+                key, before = word_anchors(*word_hashes(raw, off), words) if words else (np.zeros(0, np.uint64), np.zeros(len(off), np.int64))
                 for i in range(b - a):
                     p, v = position[cut[i] : cut[i + 1]] - off[i], value[cut[i] : cut[i + 1]]
                     keep, spans = thinned(p, v)
@@ -159,10 +178,11 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
                     positions.append(p[keep].astype(np.int32))
                     lows.append([s[0] for s in spans])
                     highs.append([s[1] for s in spans])
-            lists = [pa.array(grams, pa.list_(pa.int64())), pa.array(positions, pa.list_(pa.int32())), pa.array(lows, pa.list_(pa.int32())), pa.array(highs, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tid"), *lists], names=["doc_id", "tid", "grams", "positions", "lows", "highs"])
+                    keys.append(key[before[i] : before[i + 1]].view(np.int64))
+            lists = [pa.array(grams, pa.list_(pa.int64())), pa.array(positions, pa.list_(pa.int32())), pa.array(lows, pa.list_(pa.int32())), pa.array(highs, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tid"), *lists], names=["doc_id", "tid", "grams", "positions", "lows", "highs", "keys"])
 
-    return map_arrow(docs, run, "doc_id long, tid long, grams array<long>, positions array<int>, lows array<int>, highs array<int>")
+    return map_arrow(docs, run, "doc_id long, tid long, grams array<long>, positions array<int>, lows array<int>, highs array<int>, keys array<long>")
 
 
 # -- deep-shallow sorting -------------------------------------------------------
@@ -398,132 +418,191 @@ def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 # -- runs of words --------------------------------------------------------------
 
 
-def word_runs(words: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of the run of ``length`` words that starts at each word of a text, the least hash of a gram in it)."""
-    n = len(words) - length + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+def _hashes_of(words: np.ndarray, length: int) -> np.ndarray:
+    """The hash of the ``length`` words that start at each word."""
     up, down = _power(len(words))
     total = np.append(np.uint64(0), np.cumsum(words * up, dtype=np.uint64))
-    of = lambda k: mixed((total[k:] - total[:-k]) * down[: len(words) - k + 1])
-    gram = min(WORD_GRAM, length)
-    return of(length), np.lib.stride_tricks.sliding_window_view(of(gram), length - gram + 1).min(1)
+    return mixed((total[length:] - total[:-length]) * down[: len(words) - length + 1])
 
 
-def _words_of(text: str) -> np.ndarray:
-    raw = np.frombuffer((text or "").encode("utf-8"), np.uint8)
-    return word_hashes(raw, np.array([0, len(raw)]))[0]
+def word_anchors(words: np.ndarray, before: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of the gram of words that anchors a run of ``length`` words, one for each place; how many stand before each text) for texts end to end.
+
+    A run's anchor is its least gram, the leftmost of equal ones, so equal
+    runs have equal anchors, and a run that occurs twice has two.
+    """
+    n = len(words) - length + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(len(before), np.int64)
+    inside = np.zeros(len(words) + 1, np.int32)
+    full = np.flatnonzero(np.diff(before) >= length)
+    inside[before[full]] += 1
+    np.add.at(inside, before[full + 1] - length + 1, -1)
+    gram = min(WORD_GRAM, length)
+    hashes = _hashes_of(words, gram)
+    at = least_of_windows(hashes, length - gram + 1)[np.cumsum(inside)[:n] > 0]
+    at = np.unique(at[np.append(True, at[1:] != at[:-1])]) if len(at) else at
+    return hashes[at], np.searchsorted(at, before)
 
 
-def word_spans(raw: bytes, repeated: list[int], length: int) -> list[dict]:
-    """The bytes from the first to the last word of each repeated run."""
+def _sequence(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, grams, place of the anchor of each run of ``length`` words) of a text."""
     data = np.frombuffer(raw, np.uint8)
-    runs, _ = word_runs(word_hashes(data, np.array([0, len(data)]))[0], length)
-    at = np.flatnonzero(np.isin(runs, np.array(repeated, np.int64).view(np.uint64)))
-    word = np.concatenate([[False], ~_SPACE[data], [False]])
-    starts, ends = np.flatnonzero(word[1:] & ~word[:-1]), np.flatnonzero(~word[1:] & word[:-1])
-    return [{"lo": int(starts[i]), "hi": int(ends[i + length - 1])} for i in at]
+    words, _ = word_hashes(data, np.array([0, len(data)]))
+    if len(words) < length:
+        return words, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    gram = min(WORD_GRAM, length)
+    hashes = _hashes_of(words, gram)
+    return words, hashes, least_of_windows(hashes, length - gram + 1)
 
 
-def _repeated_runs(texts: DataFrame, classes: DataFrame, length: int) -> DataFrame:
-    """(rep, tid, runs): hashes of the runs of ``length`` words of texts (rep, tid, text) that occur again.
+def run_contexts(raw: bytes, length: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor's gram, hash of the context, its first word, how many runs) of the anchors among the wanted.
 
-    Equal runs have the same least gram, so only runs whose gram is that of
-    another are looked at.
+    The context of an anchor is all words of the runs that have it; equal
+    contexts hold the same runs.
     """
+    words, hashes, place = _sequence(raw, length)
+    at = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(place) else place
+    runs = np.diff(np.append(at, len(place)))
+    key = hashes[place[at]]
+    some = np.isin(key, wanted)
+    key, at, runs = key[some], at[some], runs[some]
+    up, down = _power(len(words))
+    total = np.append(np.uint64(0), np.cumsum(words * up, dtype=np.uint64))
+    whole = mixed((total[at + runs + length - 1] - total[at]) * down[at]) if len(at) else key
+    return key, mixed(whole + runs.astype(np.uint64)), at, runs
+
+
+def _repeated_runs(marked: DataFrame, length: int) -> DataFrame:
+    """(rep, tid, lo, hi): words of texts (rep, tid, n, text, keys) covered by runs of ``length`` words that occur again; n copies of a text count n times.
 
-    def keys(batches):
+    A context that occurs again holds nothing but repeated runs.  Single runs
+    are compared only of anchors that stand in several contexts, and once for
+    each of these.  All runs of an anchor hold it, so the first and the last
+    repeated one tell what they cover.
+    """
+
+    def contexts_of(batches):
         for batch in batches:
-            out, times = [], []
-            for text in batch.column("text"):
-                runs, least = word_runs(_words_of(text.as_py()), length)
-                some, at, n = np.unique(runs, return_index=True, return_counts=True)
-                key, back = np.unique(least[at], return_inverse=True)
-                most = np.ones(len(key), np.int64)
-                np.maximum.at(most, back, n)
-                out.append(key.view(np.int64))
-                times.append(most)
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("tid"), pa.array(out, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))], names=["rep", "tid", "keys", "times"])
+            for i in range(batch.num_rows):
+                wanted = np.array(batch.column("keys")[i].as_py(), np.int64).view(np.uint64)
+                key, ctx, at, runs = run_contexts(batch.column("text")[i].as_py().encode("utf-8"), length, wanted)
+                ids = [pa.array([batch.column(c)[i].as_py()] * len(key), pa.int64()) for c in ("rep", "tid", "n")]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(key.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(runs.astype(np.int32))], names=["rep", "tid", "n", "key", "ctx", "at", "runs"])
 
     def runs_of(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                runs, least = word_runs(_words_of(batch.column("text")[i].as_py()), length)
-                some, n = np.unique(runs[np.isin(least, np.array(batch.column("keys")[i].as_py(), np.int64).view(np.uint64))], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(c)[i].as_py()] * len(some), pa.int64()) for c in ("rep", "tid")] + [pa.array(some.view(np.int64)), pa.array(n * batch.column("n")[i].as_py())], names=["rep", "tid", "run", "n"])
+                words, *_ = _sequence(batch.column("text")[i].as_py().encode("utf-8"), length)
+                of, asked = _hashes_of(words, length), batch.column("asked")[i].as_py()
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate([of[x["at"] : x["at"] + x["runs"]] for x in asked]).view(np.int64)),
+                    pa.array(np.repeat([x["ctx"] for x in asked], [x["runs"] for x in asked])),
+                    pa.array(np.concatenate([np.arange(x["runs"], dtype=np.int32) for x in asked])),
+                    pa.array(np.repeat([x["s"] for x in asked], [x["runs"] for x in asked])),
+                ], names=["run", "ctx", "nth", "s"])
+
+    held = staged(map_arrow(marked.select("rep", "tid", "n", "text", "keys"), contexts_of, "rep long, tid long, n long, key long, ctx long, at int, runs int"))
+    kinds = staged(held.groupBy("ctx").agg(F.sum("n").alias("s"), F.first("key").alias("key"), F.first("runs").alias("runs"), F.min(F.struct("rep", "tid", "at")).alias("who")))
+    several = kinds.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    asked = kinds.join(several, "key", "left_semi").groupBy("who.rep", "who.tid").agg(F.collect_list(F.struct("ctx", "who.at", "runs", "s")).alias("asked"))
+    each = marked.select("rep", "tid", "text").join(asked.hint("shuffle_hash"), ["rep", "tid"]).select("text", "asked")
+    each = staged(map_arrow(each, runs_of, "run long, ctx long, nth int, s long"), tidy=True)
+    twice = each.groupBy("run").agg(F.sum("s").alias("t")).where("t > 1").select("run")
+    some = each.where("s = 1").join(twice, "run", "left_semi").groupBy("ctx").agg(F.min("nth").alias("first"), F.max("nth").alias("last"))
+    told = kinds.where("s > 1").select("ctx", F.lit(0).alias("first"), (F.col("runs") - 1).alias("last")).union(some)
+    out = staged(held.select("rep", "tid", "ctx", "at").join(told, "ctx").select("rep", "tid", (F.col("at") + F.col("first")).alias("lo"), (F.col("at") + F.col("last") + length).alias("hi")), tidy=True)
+    for done in (held, kinds, each):
+        release(done)
+    return out
 
-    mine = classes.select("rep", F.xxhash64(F.lower(F.hex("sha"))).alias("tid"), "n")
-    each = map_arrow(texts, keys, "rep long, tid long, keys array<long>, times array<long>").dropDuplicates(["rep", "tid"]).join(mine, ["rep", "tid"])
-    each = staged(each.select("rep", "tid", "n", F.explode(F.arrays_zip("keys", "times")).alias("m")).select("rep", "tid", "n", F.col("m.keys").alias("key"), (F.col("m.times") * F.col("n")).alias("times")))
-    again = each.groupBy("key").agg(F.sum("times").alias("s")).where("s > 1").select("key")
-    wanted = each.join(again, "key", "left_semi").groupBy("rep", "tid").agg(F.first("n").alias("n"), F.collect_list("key").alias("keys"))
-    runs = staged(map_arrow(texts.join(wanted.hint("shuffle_hash"), ["rep", "tid"]), runs_of, "rep long, tid long, run long, n long").dropDuplicates(["rep", "tid", "run"]))
-    twice = runs.groupBy("run").agg(F.sum("n").alias("s")).where("s > 1").select("run")
-    return runs.join(twice, "run", "left_semi").groupBy("rep", "tid").agg(F.collect_list("run").alias("runs"))
+
+def word_spans(raw: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The bytes from the first to the last word of each run of words (first, end)."""
+    if not runs:
+        return []
+    word = np.concatenate([[False], ~_SPACE[np.frombuffer(raw, np.uint8)], [False]])
+    starts, ends = np.flatnonzero(word[1:] & ~word[:-1]), np.flatnonzero(~word[1:] & word[:-1])
+    return [(int(starts[lo]), int(ends[hi - 1])) for lo, hi in runs]
 
 
-def _without(texts: DataFrame, words: int | None = None) -> DataFrame:
-    """(rep, tid, n_removed, n_spans, kept, kept_sha256) of rows (rep, tid, text, spans), and runs if ``words`` is given."""
+def _without(texts: DataFrame, cut_runs: bool) -> DataFrame:
+    """(rep, tid, n_removed, n_spans, n_passage, kept, kept_sha256) of rows (rep, tid, text, spans, runs)."""
 
     def run(batches):
         for batch in batches:
-            cols: list[list] = [[], [], [], []]
-            runs = batch.column("runs").to_pylist() if words else [None] * batch.num_rows
-            for text, spans, again in zip(batch.column("text"), batch.column("spans"), runs):
+            cols: list[list] = [[], [], [], [], []]
+            for text, spans, runs in zip(batch.column("text"), batch.column("spans"), batch.column("runs")):
                 raw, at, kept = text.as_py().encode("utf-8"), 0, []
-                gone = merged_spans([(s["lo"], s["hi"]) for s in spans.as_py() + (word_spans(raw, again, words) if again else [])])
+                spans, runs = ([(s["lo"], s["hi"]) for s in x.as_py() or []] for x in (spans, runs))
+                runs = merged_spans(word_spans(raw, runs))
+                gone = merged_spans(spans + runs if cut_runs else spans)
                 for lo, hi in gone:
                     kept.append(raw[at:lo])
                     at = hi
                 rest = b"".join([*kept, raw[at:]])
-                for to, v in zip(cols, (len(raw) - len(rest), len(gone), rest.decode("utf-8", "ignore"), hashlib.sha256(rest).hexdigest())):
+                for to, v in zip(cols, (len(raw) - len(rest), len(gone), sum(hi - lo for lo, hi in runs), rest.decode("utf-8", "ignore"), hashlib.sha256(rest).hexdigest())):
                     to.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("tid"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], names=["rep", "tid", "n_removed", "n_spans", "kept", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("tid"), *(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.string()) for c in cols[3:])], names=["rep", "tid", "n_removed", "n_spans", "n_passage", "kept", "kept_sha256"])
 
-    return map_arrow(texts, run, "rep long, tid long, n_removed long, n_spans long, kept string, kept_sha256 string")
+    return map_arrow(texts, run, "rep long, tid long, n_removed long, n_spans long, n_passage long, kept string, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text", words: int | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row (and kept, if asked for).
+def remove_repeats(docs: DataFrame, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text", words: int | None = None, cut_runs: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row (n_passage if ``words`` is given, and kept, if asked for).
 
     Removes each byte covered by a string of LENGTH bytes that also starts
     anywhere else, in the same text or another; with ``words``, also each run
-    of so many words (A-Z lowered) that does.  Texts are UTF-8 bytes; null
-    is empty.  Strings are judged on the input.  ``kept`` is what remains of a
-    text that occurs once and from which something was removed, without
-    characters that were cut in two; it is null elsewhere: nothing removed, or
-    everything (texts of at least LENGTH bytes that occur more than once).  Repeated rows are copies of each other.  An
-    empty table stays empty; other columns are not looked at.
+    of so many words (A-Z lowered) that does, unless ``cut_runs`` is false.
+    n_passage is how many bytes such runs cover, from their first word to
+    their last, cut or not.  Texts are UTF-8 bytes; null is empty.  Strings
+    are judged on the input.  ``kept`` is what remains of a text that occurs
+    once and from which something was removed, without characters that were
+    cut in two; it is null elsewhere: nothing removed, or everything (texts of
+    at least LENGTH bytes that occur more than once).  Repeated rows are
+    copies of each other.  An empty table stays empty; other columns are not
+    looked at.
     """
     nobody = F.lit(-(1 << 63)).cast("long")
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), nobody).alias("doc_id"), text.alias("text")).withColumn("sha", F.sha2(F.col("text").cast("binary"), 256)).withColumn("tid", F.xxhash64("sha"))
     meta = staged(base.select("doc_id", "tid", F.unhex("sha").alias("sha"), F.octet_length("text").cast("long").alias("n_bytes")))
     classes = staged(meta.groupBy("sha", "n_bytes").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
-    reps = classes.where(F.col("n_bytes") >= LENGTH).select("rep", F.xxhash64(F.lower(F.hex("sha"))).alias("tid"))
+    #: the shortest text that can hold a repeated string, or run of one-letter words
+    shortest = min(LENGTH, 2 * words - 1) if words else LENGTH
+    reps = classes.where(F.col("n_bytes") >= shortest).select("rep", F.xxhash64(F.lower(F.hex("sha"))).alias("tid"), "n")
 
-    found = _anchor_rows(base.where(F.octet_length("text") >= LENGTH).select("doc_id", "tid", "text")).withColumnRenamed("doc_id", "rep")
-    found = staged(found.join(reps, ["rep", "tid"], "left_semi").dropDuplicates(["rep", "tid"]))
+    found = _anchor_rows(base.where(F.octet_length("text") >= shortest).select("doc_id", "tid", "text"), words).withColumnRenamed("doc_id", "rep")
+    found = staged(found.join(reps, ["rep", "tid"]).dropDuplicates(["rep", "tid"]))
     each = found.select("rep", "tid", F.explode(F.arrays_zip(F.col("grams").alias("gram"), F.col("positions").alias("pos"))).alias("m")).select("rep", "tid", "m.gram", "m.pos")
     again = staged(each.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
     marks = each.join(again, "gram", "left_semi").groupBy("rep", "tid").agg(F.collect_list(F.struct("pos", "gram")).alias("marks"))
     own = found.where(F.size("lows") > 0).select("rep", "tid", F.arrays_zip(F.col("lows").alias("lo"), F.col("highs").alias("hi")).alias("own"))
     wanted = marks.join(own, ["rep", "tid"], "full")
-    texts = base.withColumnRenamed("doc_id", "rep").select("rep", "tid", "text")
     if words:
-        wanted = wanted.join(_repeated_runs(texts, classes, words), ["rep", "tid"], "full")
-    marked = texts.join(wanted.hint("shuffle_hash"), ["rep", "tid"])
+        keyed = found.select("rep", "tid", "n", F.explode("keys").alias("key"))
+        twice = staged(keyed.groupBy("key").agg(F.sum("n").alias("s")).where("s > 1").select("key"))
+        keys = keyed.join(twice, "key", "left_semi").groupBy("rep", "tid").agg(F.first("n").alias("n"), F.collect_set("key").alias("keys"))
+        wanted = wanted.join(keys, ["rep", "tid"], "full")
+    marked = base.withColumnRenamed("doc_id", "rep").select("rep", "tid", "text").join(wanted.hint("shuffle_hash"), ["rep", "tid"])
     if not meta.groupBy("doc_id", "tid").count().where("count > 1").isEmpty():  # a row that is there twice
         marked = marked.dropDuplicates(["rep", "tid"])
-    marked = staged(marked)
+    marked = staged(marked, tidy=True)
 
     contexts = staged(_contexts(marked.where("marks is not null").select("rep", "tid", "text", "marks")))
     spans = contexts.select("rep", "tid", "pos", "gram", "ctx").join(_offsets(contexts), ["gram", "ctx"]).select("rep", "tid", F.struct((F.col("pos") - F.col("most")).cast("int").alias("lo"), (F.col("pos") + LENGTH - F.col("least")).cast("int").alias("hi")).alias("span"))
-    spans = spans.groupBy("rep", "tid").agg(F.collect_list("span").alias("spans"))
-    more = ["runs"] if words else []
+    spans = staged(spans.groupBy("rep", "tid").agg(F.collect_list("span").alias("spans")), tidy=True)
+    release(contexts)
+    release(found)
     none = F.array().cast("array<struct<lo:int,hi:int>>")
-    cut = marked.select("rep", "tid", "text", "own", *more).join(spans.hint("shuffle_hash"), ["rep", "tid"], "left").select("rep", "tid", "text", F.concat(F.coalesce("own", none), F.coalesce("spans", none)).alias("spans"), *more).where((F.size("spans") > 0) | (F.col("runs").isNotNull() if words else F.lit(False)))
-    cut = _without(cut, words)
+    runs = none.alias("runs")
+    if words:
+        again = _repeated_runs(marked.where("keys is not null"), words)
+        spans = spans.join(again.groupBy("rep", "tid").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), ["rep", "tid"], "full")
+        runs = F.coalesce("runs", none).alias("runs")
+    cut = marked.select("rep", "tid", "text", "own").join(spans.hint("shuffle_hash"), ["rep", "tid"], "left").select("rep", "tid", "text", F.concat(F.coalesce("own", none), F.coalesce("spans", none)).alias("spans"), runs).where((F.size("spans") > 0) | (F.size("runs") > 0))
+    cut = _without(cut, cut_runs)
     if not keep_text:
         cut = cut.drop("kept")
     cut = staged(cut)
@@ -534,12 +613,14 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, id_col: str = "doc_
         F.when(copied, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(copied, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(copied, F.lit(_EMPTY_SHA)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("sha")))).alias("kept_sha256"),
+        *([F.coalesce("n_passage", F.lit(0)).alias("n_passage")] if words else []),
         *([F.when(~copied, F.col("kept")).alias("kept")] if keep_text else []),
     )
     out = meta.select("doc_id", "sha", "n_bytes").join(by_class, ["sha", "n_bytes"])
-    extra = ["kept"] if keep_text else []
+    extra = ["n_passage"] * bool(words) + ["kept"] * keep_text
     return out.select(F.nullif(F.col("doc_id"), nobody).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", *extra)
 
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"))
+    """The rows of :func:`remove_repeats`; passages of over 50 words that stand in several places are told, not cut."""
+    return remove_repeats(table(spark, sf_dir, "documents"), words=PASSAGE, cut_runs=False)

@@ -204,6 +204,41 @@ def test_repeats_against_all_strings(spark, monkeypatch, crowded):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def plain_passages(texts, length):
+    """Bytes from the first to the last word of all runs of ``length`` words that occur twice."""
+    runs = {}
+    words = [[(m.group().lower(), *m.span()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)] for t in texts]
+    for w in words:
+        for i in range(len(w) - length + 1):
+            key = tuple(x[0] for x in w[i : i + length])
+            runs[key] = runs.get(key, 0) + 1
+    out = []
+    for t, w in zip(texts, words):
+        gone = np.zeros(len(t), bool)
+        for i in range(len(w) - length + 1):
+            if runs[tuple(x[0] for x in w[i : i + length])] > 1:
+                gone[w[i][1] : w[i + length - 1][2]] = True
+        out.append(gone)
+    return out
+
+
+@pytest.mark.parametrize("length", [1, 3, 9, 51])
+def test_passages_against_all_runs(spark, length):
+    rng = random.Random(length)
+    make = lambda n: " ".join(rng.choice(["a", "b", "C", "dé", "x"]) for _ in range(n))
+    passages = [make(80), make(51), make(50)]
+    texts = [make(rng.randrange(30)) + rng.choice([" ", "\n", "\t  "]) + rng.choice([*passages, ""]).upper() + " " + make(rng.randrange(30)) for _ in range(25)]
+    texts += [texts[3], texts[3], None, "", "  ", "a " * 700, "one two three " * 40, make(60)]
+    raw = [(t or "").encode() for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("keys", F.lit(1)).withColumn("runs", F.lit(1)).withColumn("n", F.lit(1))
+    want, strings = plain_passages(raw, length), plain_removal(raw)
+    told = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passage) for r in suffix_dedup.remove_repeats(docs, words=length, cut_runs=False).collect()}
+    assert [told[i] for i in range(len(texts))] == [(*s, int(g.sum())) for s, g in zip(strings, want)]
+    cut = {r.doc_id: (r.n_removed, r.n_passage) for r in suffix_dedup.remove_repeats(docs, words=length).collect()}
+    assert [cut[i][1] for i in range(len(texts))] == [int(g.sum()) for g in want]
+    assert all(cut[i][0] >= max(strings[i][1], cut[i][1]) for i in range(len(texts)))
+
+
 def test_repeats_across_the_end_of_a_repeated_line(spark):
     """Lines of 51 to 100 bytes; another text has the end of the stretch and what follows it."""
     texts = []
