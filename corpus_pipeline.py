@@ -15,10 +15,6 @@ from docloom.llm import language_id, minhash_dedup, mixing, packing, suffix_dedu
 from docloom.llm.common import crc_mod, staged
 
 
-#: Words of a passage that may not stand in two places.
-PASSAGE = 51
-
-
 def keep_known_languages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the classifier has; those without text or a letter go."""
     model = language_id.fit(docs.where(crc_mod("doc_id", 3) != 1))
@@ -41,7 +37,7 @@ def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def cut_repeated_passages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the byte strings and the passages of over 50 words that repeat; a character cut in two is dropped."""
-    found = suffix_dedup.remove_repeats(docs, keep_text=True, words=PASSAGE).where("n_removed > 0")
+    found = suffix_dedup.remove_repeats(docs, keep_text=True, words=suffix_dedup.PASSAGE).where("n_removed > 0")
     found = staged(found.groupBy(F.col("doc_id").alias("cut_id"), F.col("n_bytes").alias("cut_bytes"), "kept_sha256").agg(F.first("kept").alias("kept")))
     rows = docs.join(found.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.octet_length("text") == F.col("cut_bytes")), "left")
     text = F.when(F.col("cut_id").isNull(), F.col("text")).otherwise(F.coalesce("kept", F.lit("")))
