@@ -21,6 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def set_aside(docs: DataFrame, known) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with all columns but the known ones under names that clash with none, and what gives them their names back."""
+    names = docs.columns
+    safe = [c if c in known else f"aside_{i}" for i, c in enumerate(names)]
+    return docs.toDF(*safe), lambda out: out.select(*safe).toDF(*names)
+
+
 # -- batches ----------------------------------------------------------------
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import find_range, pick, staged, table, uniform
+from .common import find_range, pick, set_aside, staged, table, uniform
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -201,10 +201,11 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     drawn, and those without a word, are not in the mix.  Needs doc_id, source
     and text; the cases are those of :func:`mix`.
     """
+    docs, back = set_aside(docs, ("doc_id", "text", "source", "n_chars"))
     sized = staged(sized_rows(docs))
     sources = plan_sources(sized)
     if not sum(x.wanted for x in sources):
-        return docs.limit(0)
+        return back(docs.limit(0))
     laid = staged(laid_out(sized, sources).where("size > 0"))
     parts = parts_taken(laid, draw_blocks(docs.sparkSession, sources), sources)
     epochs = parts.groupBy("s", "start", "epoch").agg(F.sum("words").alias("words"), F.collect_list("block").alias("blocks"))
@@ -226,4 +227,4 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*docs.columns)
+    return back(out)

@@ -550,7 +550,7 @@ def _without(texts: DataFrame, cut_runs: bool) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text", words: int | None = None, cut_runs: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row (n_passage if ``words`` is given, and kept, if asked for).
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row (n_passage if ``words`` is given; kept and text_sha256, the bytes of the input's hash, if asked for).
 
     Removes each byte covered by a string of LENGTH bytes that also starts
     anywhere else, in the same text or another; with ``words``, also each run
@@ -617,7 +617,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, id_col: str = "doc_
         *([F.when(~copied, F.col("kept")).alias("kept")] if keep_text else []),
     )
     out = meta.select("doc_id", "sha", "n_bytes").join(by_class, ["sha", "n_bytes"])
-    extra = ["n_passage"] * bool(words) + ["kept"] * keep_text
+    extra = ["n_passage"] * bool(words) + ["kept", F.col("sha").alias("text_sha256")] * keep_text
     return out.select(F.nullif(F.col("doc_id"), nobody).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", *extra)
 
 

@@ -3,6 +3,8 @@ from collections import Counter
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
+
 from docloom.llm import minhash_dedup
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -26,7 +28,7 @@ def test_stage_by_stage(spark, folder, corpus, tmp_path):
         seen.append(docs.collect())
     texts = {i: t for i, t, *_ in corpus}
     assert {r.doc_id for r in seen[0]} == {i for i, t in texts.items() if t and any(c.isalpha() for c in t)}
-    found = {r.doc_id: r.kept for r in minhash_dedup.near_duplicates(spark.read.parquet(f"{tmp_path}/0")).collect()}
+    found = {r.doc_id: r.kept for r in minhash_dedup.near_duplicates(spark.read.parquet(f"{tmp_path}/0"), width=5).collect()}
     assert sorted(r.doc_id for r in seen[1]) == sorted(i for i, kept in found.items() if kept)
     assert all(texts[r.doc_id] == r.text for r in seen[1])
     assert sorted(r.doc_id for r in seen[2]) == sorted(r.doc_id for r in seen[1])
@@ -53,6 +55,37 @@ def test_repeated_rows_and_empty_table(spark, documents, empty, tmp_path):
         assert stage(spark, empty, "").count() == 0
 
 
+NAMES = ["s", "start", "kept", "take", "takes", "nth", "own_size", "cut_id", "cut_sha", "text_sha256", "score", "lang_pred", "TEXT", "Doc_Id", "aside_0", "n"]
+
+
+@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_clashing_columns(spark, documents, stage):
+    rows = documents.union(documents.limit(3))
+    more = rows.toDF(*rows.columns).select("*", *[F.lit(f"as it was {k}").alias(c) for k, c in enumerate(NAMES)])
+    plain, got = stage(spark, rows, ""), stage(spark, more, "")
+    if stage is not corpus_pipeline.pack_sequences:
+        assert got.columns == more.columns
+        assert all(tuple(r)[len(COLUMNS):] == tuple(f"as it was {k}" for k in range(len(NAMES))) for r in got.collect())
+        assert Counter(tuple(r)[: len(COLUMNS)] for r in got.collect()) == Counter(tuple(r) for r in plain.collect())
+    else:
+        assert got.columns == plain.columns and got.count() == plain.count()
+
+
+def test_rows_without_an_id_are_cut_each_for_itself(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [passage + " abc", passage + " xyz", None, None, "lone"]
+    docs = spark.createDataFrame([(None, t, "en", "a", None) for t in texts], ", ".join(f"{c} {'long' if c in ('doc_id', 'n_chars') else 'string'}" for c in COLUMNS))
+    got = corpus_pipeline.cut_repeated_passages(spark, docs, "").collect()
+    assert sorted((r.text is None, r.text) for r in got if r.text is not None) == [(False, " abc"), (False, " xyz"), (False, "lone")] and len(got) == 5
+
+
+def test_five_words_decide_near_copies(spark):
+    """A change of one word costs four shingles of four words and five of five."""
+    words = [f"w{i}" for i in range(34)]
+    docs = spark.createDataFrame([(1, " ".join(words), "en", "a", 1), (2, " ".join([*words[:15], "other", *words[16:]]), "en", "a", 1)], ", ".join(f"{c} {'long' if c in ('doc_id', 'n_chars') else 'string'}" for c in COLUMNS))
+    assert corpus_pipeline.drop_near_duplicates(spark, docs, "").count() == (1 if 25 / 35 >= 0.8 else 2)
+
+
 def test_passages_of_short_words_are_cut(spark):
     passage = [f"{chr(97 + i % 26)}{i % 10}" for i in range(52)]
     rows = [(1, "one " + " ".join(passage) + " two"), (2, "Three\n" + "  ".join(passage[:51]).upper() + " four"), (3, "five " + " ".join(passage[:50]) + " six"), (4, " ".join(["a b"] * 40)), (5, " ".join(f"n{i}" for i in range(60)))]
