@@ -111,7 +111,9 @@ def format_size(c: Column) -> Column:
     def scaled(shift: int, unit: str) -> Column:
         scale = 1 << shift
         hundred = c.cast("decimal(28,0)") * 100
-        whole, rest = F.floor(hundred / scale).cast("long"), (hundred % scale).cast("long")
+        #: a quotient of decimals would be rounded, so only what divides evenly is divided
+        rest = (hundred % scale).cast("long")
+        whole = ((hundred - rest) / scale).cast("long")
         up = (rest > scale // 2) | ((rest == scale // 2) & (whole % 2 == 1))
         n = whole + up.cast("int")
         return F.concat(F.floor(n / 100).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"), F.lit(unit))

@@ -69,6 +69,7 @@ def test_format_size(sizes):
         return f"{n} B"
 
     spark = SparkSession.getActiveSession()
+    sizes = [*sizes, 2_147_483_643, 3_221_225_471, (1 << 40) - 1, (1 << 20) - 1]
     assert values(spark, sizes, tx.format_size(F.col("n")), schema="n long") == [(want(n),) for n in sizes]
 
 
