@@ -17,6 +17,8 @@ NUMBER = r"[0-9０-９][0-9０-９,，.．]*\s*(%|％|件|人|時間|分|秒|日
 YEAR = r"(19|20)[0-9]{2}\s*(年|/|-)"
 COMPARE = r"(?i)(before|after|as[-\s]?is|to[-\s]?be|現行|現状|導入前|導入後|改善前|改善後|従来|新方式|旧|新)"
 KEY = ["page_id", "slide_no"]
+#: How many times the height of the lowest the tallest of several cards may have.
+CARD_RATIO = 1.6
 
 
 def plain_text(lines: Column) -> Column:
@@ -35,10 +37,15 @@ def word_kind(title: Column) -> Column:
 
 
 def slides(elements: DataFrame) -> DataFrame:
-    """One row per slide: title, lead, body lines, cards, counts; needs the columns of an element table."""
+    """One row per slide: title, lead, body lines, cards, counts; needs the columns of an element table.
+
+    Where no element is a card, two or more boxes with text are the cards; if
+    the table has their heights (``h``), only if the tallest is at most
+    CARD_RATIO times the lowest.
+    """
     filled = F.filter(F.transform("lines", tx.strip), lambda x: x != "")
-    e = elements.select(*KEY, "slide_title", "layout", "el_no", "type", "role", filled.alias("lines"), "src", "alt", "cells", "header_rows")
-    item = F.struct("el_no", "type", "role", "lines", "src", "alt", "cells", "header_rows")
+    e = elements.select(*KEY, "slide_title", "layout", "el_no", "type", "role", filled.alias("lines"), "src", "alt", "cells", "header_rows", (F.col("h") if "h" in elements.columns else F.lit(None).cast("double")).alias("h"))
+    item = F.struct("el_no", "type", "role", "lines", "src", "alt", "cells", "header_rows", "h")
     g = e.groupBy(*KEY).agg(F.first("slide_title").alias("slide_title"), F.first("layout").alias("layout"), F.array_sort(F.collect_list(item)).alias("els"))
     pick = lambda test: F.filter("els", test)
     text_of = lambda els: F.flatten(F.transform(els, lambda x: x["lines"]))
@@ -46,7 +53,9 @@ def slides(elements: DataFrame) -> DataFrame:
     g = g.withColumn("lead_no", lead["el_no"]).withColumn("lead", F.get(lead["lines"], F.lit(0)))
     cards = pick(lambda x: F.coalesce(x["role"] == "card", F.lit(False)))
     boxes = pick(lambda x: (x["type"] == "shape") & (F.size(x["lines"]) > 0))
-    g = g.withColumn("cards", F.when(F.size(cards) > 0, cards).when(F.size(boxes) >= 2, boxes).otherwise(F.slice(boxes, 1, 0)))
+    heights = F.transform(boxes, lambda x: F.coalesce(x["h"], F.lit(0.0)))
+    alike = (F.array_min(heights) == 0) | (F.array_max(heights) <= CARD_RATIO * F.array_min(heights))
+    g = g.withColumn("cards", F.when(F.size(cards) > 0, cards).when((F.size(boxes) >= 2) & alike, boxes).otherwise(F.slice(boxes, 1, 0)))
     body = pick(lambda x: (x["type"] == "text") & ~F.coalesce(x["role"] == "title", F.lit(False)) & ~F.coalesce(x["el_no"] == F.col("lead_no"), F.lit(False)))
     titled = F.get(text_of(pick(lambda x: F.coalesce(x["role"] == "title", F.lit(False)))), F.lit(0))
     any_text = F.substring(F.get(text_of(F.col("els")), F.lit(0)), 1, 40)

@@ -1,3 +1,4 @@
+import base64
 import datetime as dt
 import itertools
 import random
@@ -291,3 +292,29 @@ def test_pairing():
     got = html.slides_of('<section><p>before</p><img src=a><figcaption>no</figcaption><img src=b><p>behind</p></section>')[0]["elements"]
     rows = [(e["type"], e["pair_row"], e["side"]) for e in got]
     assert rows[0] == ("text", 1, "left") and rows[1] == ("image", 1, "right")
+
+
+def test_pairing_cases():
+    def rows(body):
+        return [(e["type"], e["pair_row"], e["side"]) for e in html.slides_of(f"<section>{body}</section>")[0]["elements"]]
+
+    assert rows("<img src=a><p>behind</p><img src=b>") == [("image", 1, "left"), ("text", 1, "right"), ("image", None, None)]
+    assert rows("<p>one</p><img src=a class=left><img src=b><p>two</p>") == [("text", 1, "right"), ("image", 1, "left"), ("image", 2, "left"), ("text", 2, "right")]
+    wide = "data:image/gif;base64," + base64.b64encode(b"GIF89a" + (711).to_bytes(2, "little") + b"\1\0").decode()
+    narrow = "data:image/gif;base64," + base64.b64encode(b"GIF89a" + (710).to_bytes(2, "little") + b"\1\0").decode()
+    assert rows(f"<p>one</p><img src='{wide}'>") == [("text", None, None), ("image", None, None)]
+    assert rows(f"<p>one</p><img src='{narrow}'>") == [("text", 1, "left"), ("image", 1, "right")]
+
+
+def test_picture_widths():
+    uri = lambda raw: "data:image/x;base64," + base64.b64encode(raw).decode()
+    assert html.picture_width(uri(b"\x89PNG\r\n\x1a\n" + bytes(8) + (640).to_bytes(4, "big") + bytes(4))) == 640
+    assert html.picture_width(uri(b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08\x00\x10\x00\x20\x03")) == 32
+    assert [html.picture_width(x) for x in ("", "a.png", "data:,abc", "data:image/png;base64,?", uri(b"\xff\xd8\xff"))] == [None] * 5
+
+
+def test_boxes_of_unlike_heights_are_no_cards(spark):
+    schema = "page_id int, slide_no int, slide_title string, layout string, el_no int, type string, role string, lines array<string>, src string, alt string, cells array<array<string>>, header_rows int, h double"
+    boxes = lambda page, *heights: [(page, 1, "t", "x", k, "shape", None, ["word"], None, None, None, None, h) for k, h in enumerate(heights)]
+    made = spark.createDataFrame(boxes(1, 10.0, 16.0) + boxes(2, 10.0, 16.1) + boxes(3, 10.0, None), schema)
+    assert {r.page_id: len(r.cards) for r in structure.slides(made).collect()} == {1: 2, 2: 0, 3: 2}

@@ -84,3 +84,10 @@ def test_prompt_drops_slides_from_the_end(spark):
     assert 0 < short.n_slides < 9 and short.n_slides + short.dropped == 10 and "S8" not in short.prompt and short.kinds == ["bullets"]
     none = prompts.prompts(rows, titles, 5).first()
     assert (none.n_slides, none.dropped) == (0, 10)
+
+
+def test_css_text():
+    assert theme.blocks("a, b { x: 1 } @media p { c { y: 2 } d{z:3} } e{") == [("a, b ", " x: 1 "), (" c ", " y: 2 "), (" d", "z:3")]
+    assert theme.without_comments("a/* b */c/* d").split() == ["a", "c/*", "d"]
+    assert theme.substituted("1px var(--a, red) var( --b ) var(--c)", {"--b": "#fff"}) == "1px red #fff "
+    assert [theme.hex_of(x) for x in ("#abc", "#A1B2C3", "#abcd", "abc", "rgb(1, 2, 300)", "rgba(1,2,3,0.0)", "rgba(1,2,3,.5)", "rgb(1.5,2,3)", "rgb(1%,2%,3%)", "red")] == ["#AABBCC", "#A1B2C3", None, None, "#0102FF", None, "#010203", None, None, None]
