@@ -28,8 +28,9 @@ END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
 #: Pieces of one length that are ranked by one task, about.
 RANKED_TOGETHER = 20_000
-#: Nodes of one search for a filling, and of the search over the last pieces.
-FILL_NODES, LAST_NODES, LAST_PIECES = 3000, 60_000, 72
+#: Nodes of one search for a filling; nodes, and fillings of a bin, of the search over the last pieces; how many those are.
+#: Beyond them the best that is known stands: no piece is lost, only the proof that fewer bins won't do.
+FILL_NODES, LAST_NODES, MOST_FILLINGS, LAST_PIECES = 3000, 1000, 400, 72
 
 
 # -- the search -------------------------------------------------------------
@@ -76,13 +77,20 @@ def best_filling(room: int, counts: list[int], there: bytearray) -> list[int]:
     return best
 
 
-def complete(counts: list[int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(filling, how often) for all pieces: the largest piece first, each with its best filling."""
+Patterns = list[tuple[tuple[int, ...], int]]
+
+
+def complete(counts: list[int], capacity: int, most: int) -> Patterns | None:
+    """(filling, how often) for all pieces in fewer than ``most`` bins: the largest piece first, each with its best filling.
+
+    None as soon as more is wasted than fewer bins could waste.
+    """
     counts = counts[:]
     there = bytearray(int(c > 0) for c in counts)
-    out = []
+    out: Patterns = []
     left = sum(counts)
-    while left > LAST_PIECES:
+    allowed = (most - 1) * capacity - sum(x * c for x, c in enumerate(counts))
+    while left > LAST_PIECES and allowed >= 0:
         top = there.rfind(1)
         counts[top] -= 1
         there[top] = counts[top] > 0
@@ -95,8 +103,79 @@ def complete(counts: list[int], capacity: int) -> list[tuple[tuple[int, ...], in
             there[x] = counts[x] > 0
         out.append((tuple(filling), times))
         left -= len(filling) * times
+        allowed -= times * (capacity - sum(filling))
+    if allowed < 0:
+        return None
     rest = [x for x in range(len(counts) - 1, 0, -1) for _ in range(counts[x])]
-    return out + [(b, 1) for b in last_bins(rest, capacity)]
+    out += [(b, 1) for b in last_bins(rest, capacity)]
+    return out if bins_of(out) < most else None
+
+
+def bins_of(patterns: Patterns) -> int:
+    return sum(n for _, n in patterns)
+
+
+def best_fit_patterns(counts: list[int], capacity: int) -> Patterns:
+    """Best-fit decreasing of all pieces, bins of one content together.
+
+    A bin that takes a piece becomes the fullest that takes the next of its
+    length, so it takes as many as it has room for before another does.
+    """
+    by_room: list[dict[tuple, int]] = [{} for _ in range(capacity + 1)]
+    there = bytearray(capacity + 1)
+
+    def put(content: tuple, room: int, n: int) -> None:
+        by_room[room][content] = by_room[room].get(content, 0) + n
+        there[room] = 1
+
+    for x in range(capacity, 0, -1):
+        left = counts[x] if x < len(counts) else 0
+        while left:
+            room = there.find(1, x)
+            if room < 0:  # as many new bins as these pieces fill, and one for the rest
+                room, content, n = capacity, (), -(-left // (capacity // x))
+            else:
+                content, n = by_room[room].popitem()
+                there[room] = bool(by_room[room])
+            per = room // x
+            full = min(n, left // per)
+            if full:
+                put((*content, (x, per)), room - per * x, full)
+                left -= full * per
+            if full < n and left:
+                put((*content, (x, left)), room - left * x, 1)
+                full, left = full + 1, 0
+            if content and full < n:
+                put(content, room, n - full)
+    return [(tuple(x for x, k in content for _ in range(k)), n) for row in by_room for content, n in row.items()]
+
+
+def repacked(patterns: Patterns, capacity: int) -> Patterns:
+    """The patterns with the emptiest bins, of LAST_PIECES pieces at most, packed anew if that takes fewer."""
+    rest, taken, pieces = [], [], 0
+    for filling, n in sorted(patterns, key=lambda p: sum(p[0])):
+        some = min(n, (LAST_PIECES - pieces) // max(1, len(filling))) if sum(filling) < capacity else 0
+        taken += [filling] * some
+        pieces += some * len(filling)
+        rest += [(filling, n - some)] if n > some else []
+    anew = last_bins([x for f in taken for x in f], capacity)
+    return rest + [(b, 1) for b in anew] if len(anew) < len(taken) else patterns
+
+
+def few_bins(counts: list[int], capacity: int) -> Patterns:
+    """Fillings of few bins for a histogram of lengths.
+
+    Best-fit decreasing of everything is the first incumbent.  Unless it
+    meets the bound by volume, bin completion tries to beat it, and the
+    emptiest bins of the better one are searched by branch and bound.
+    """
+    best = best_fit_patterns(counts, capacity)
+    bound = -(-sum(x * c for x, c in enumerate(counts)) // capacity)
+    if bins_of(best) > bound:
+        best = complete(counts, capacity, bins_of(best)) or best
+    if bins_of(best) > bound:
+        best = repacked(best, capacity)
+    return best
 
 
 def best_fit(pieces: list[int], capacity: int) -> list[tuple[int, ...]]:
@@ -126,7 +205,7 @@ def undominated(room: int, pieces: list[int]) -> list[tuple[int, ...]]:
     found: set[tuple[int, ...]] = set()
 
     def go(i: int, left: int, chosen: tuple[int, ...]) -> None:
-        if len(found) > 400:
+        if len(found) > MOST_FILLINGS:
             return
         if i == len(kinds):
             found.add(chosen)
@@ -166,7 +245,7 @@ def last_bins(pieces: list[int], capacity: int) -> list[tuple[int, ...]]:
                 best = bins
             return
         allowed = (len(best) - 1) * capacity - sum(pieces)
-        if nodes > LAST_NODES // 60 or waste > allowed or len(bins) + -(-sum(left) // capacity) >= len(best):
+        if nodes > LAST_NODES or waste > allowed or len(bins) + -(-sum(left) // capacity) >= len(best):
             return
         top, rest = left[0], left[1:]
         for f in undominated(capacity - top, rest):
@@ -200,7 +279,7 @@ def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
     full = counts[capacity]
     counts[capacity] = 0
     patterns = [((capacity,), full)] if full else []
-    patterns += complete(counts, capacity)
+    patterns += few_bins(counts, capacity)
     plan, rank = Plan(0), Counter()
     for filling, times in patterns:
         offset = 0
@@ -242,7 +321,7 @@ def tokens(path: str):
     def encode(text: str) -> list[int]:
         try:
             return encoding.encode(text, allowed_special="all")
-        except Exception:
+        except ValueError:  # a run of blanks too long for the pattern's stack
             if not slow:
                 slow.append(bpe.Encoder(bpe.Bpe(path), list))
             return [i for part in slow[0].parts(text) for i in part]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import math
 
@@ -14,6 +15,8 @@ from .common import find_range, pick, staged, table, uniform
 SHARDS = 8
 #: Ranges between splitters, and rows that the splitters are chosen from, about.
 RANGES, SAMPLES = 512, 16_384
+#: A text that is so many times a range's share has a range of its own; there are at most RANGES / CROWDED of them.
+CROWDED = 4
 #: Rows that one task numbers, about.
 NUMBERED_TOGETHER = 1_000
 
@@ -48,8 +51,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, ranges: int = RANGES, samples:
     The law is ``bytes``: shards have near-equal sums of size (UTF-8 bytes
     plus 1).  Records are keyed by a hash of the text, range-partitioned at
     the sampled splitters, and whole ranges go to the lightest shard, so equal
-    texts share a shard.  A range heavier than a shard (one group of copies)
-    is subdivided by id.  Slots number a shard's rows without gaps; they are
+    texts share a shard.  A text that fills several ranges gets one of its
+    own, and if its copies outweigh a shard they are subdivided by id; the
+    texts around it stay together.  Slots number a shard's rows without gaps; they are
     made of the sizes of the parts before and the rank within a part, where an
     overfull range is divided further, so no task numbers a whole shard.
 
@@ -71,9 +75,18 @@ def shard(docs: DataFrame, shards: int = SHARDS, ranges: int = RANGES, samples:
     ranged = rows.withColumn("range", find_range(bounds, F.col("key")))
     n_ranges = len(bounds) + 1
 
-    weight = {r["range"]: r["b"] for r in ranged.groupBy("range").agg(F.sum("size").alias("b")).collect()}
-    room = total / shards
-    pieces = [math.ceil(8 * weight[r] / room) if weight.get(r, 0) > 0.9 * room else 1 for r in range(n_ranges)]
+    room, much = total / shards, CROWDED * total / ranges
+    crowded = [r["range"] for r in ranged.groupBy("range").agg(F.sum("size").alias("b")).where(F.col("b") > much).collect()]
+    heavy = {}
+    if crowded:
+        by_key = ranged.where(F.col("range").isin(crowded)).groupBy("key").agg(F.sum("size").alias("b"))
+        heavy = {r["key"]: r["b"] for r in by_key.where(F.col("b") > much).collect()}
+        bounds = sorted({*bounds, *heavy, *(k + 1 for k in heavy)})
+        ranged, n_ranges = rows.withColumn("range", find_range(bounds, F.col("key"))), len(bounds) + 1
+    #: a heavy key has a range of its own, the one that begins with it
+    pieces = [1] * n_ranges
+    for k, b in heavy.items():
+        pieces[bisect.bisect_right(bounds, k)] = math.ceil(8 * b / room) if b > 0.9 * room else 1
     parted = ranged.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), pick(pieces, F.col("range"))).cast("int"))
     sums = parted.groupBy("range", "part").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()
     to = lightest([((r["range"], r["part"]), r["b"]) for r in sums], shards)

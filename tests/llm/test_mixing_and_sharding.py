@@ -108,3 +108,14 @@ def test_shards_are_even_and_split_a_heavy_group(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     size = check_shards(sharding.shard(docs).collect(), texts, 8)
     assert max(size.values()) < 1.15 * min(size.values())
+
+
+def test_light_groups_beside_a_heavy_text_stay_together(spark):
+    texts = {i: ("heavy text " * 9 if i < 6000 else f"group {i // 3} of three") for i in range(15_000)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = sharding.shard(docs).collect()
+    size = check_shards(rows, texts, 8)
+    where = defaultdict(set)
+    for r in rows:
+        where[texts[r.doc_id]].add(r.shard)
+    assert [len(s) for t, s in where.items() if len(s) > 1] == [8] and max(size.values()) < 1.15 * min(size.values())

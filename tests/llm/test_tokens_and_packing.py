@@ -135,3 +135,27 @@ def test_repeated_fillings_and_full_pieces():
 @pytest.mark.parametrize("n, want", [(1, [(0, 1)]), (2048, [(0, 2048)]), (2049, [(0, 1), (1, 2048)]), (4096, [(0, 2048), (2048, 2048)])])
 def test_cut(n, want):
     assert packing.cut(n, 2048) == want
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.integers(0, 10**6), st.sampled_from([(560, 900), (1, 2049), (300, 1100), (700, 1030), (30, 700)]), st.integers(1, 400))
+def test_never_more_than_plain_best_fit(seed, span, n):
+    sizes = np.random.default_rng(seed).integers(*span, n).tolist()
+    counts = [0] * 2049
+    for x in sizes:
+        counts[x] += 1
+    plain, grouped = packing.best_fit(sizes, 2048), packing.best_fit_patterns(counts, 2048)
+    #: bins of equal room may change places
+    assert sorted(sum(b) for b in plain) == sorted(sum(f) for f, m in grouped for _ in range(m))
+    few = packing.few_bins(counts, 2048)
+    assert Counter(x for f, m in few for _ in range(m) for x in f) == Counter(sizes) and all(sum(f) <= 2048 for f, _ in few)
+    assert -(-sum(sizes) // 2048) <= packing.bins_of(few) <= len(plain)
+
+
+def test_twenty_histograms_against_plain_best_fit():
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        sizes = rng.integers(*[(560, 900), (400, 1400), (1, 2049), (650, 1030)][seed % 4], 3000)
+        plan = packing.plan_bins(dict(Counter(sizes.tolist())))
+        counts = np.bincount(sizes, minlength=2049).tolist()
+        assert plan.n_bins <= packing.bins_of(packing.best_fit_patterns(counts, 2048))
