@@ -159,6 +159,38 @@ def test_near_duplicates_against_all_pairs(documents, corpus, clashing, empty, m
         assert minhash_dedup.near_duplicates(documents.union(documents)).count() == 2 * len(corpus)
 
 
+def test_crowded_regions_go_deeper(spark, monkeypatch):
+    """Texts that share many words, so that regions are crowded, and among them pairs around the threshold."""
+    rng = random.Random(11)
+    common = [f"c{i}" for i in range(150)]
+    texts = []
+    for _ in range(70):
+        own = [f"o{rng.randrange(10**6)}" for _ in range(rng.choice([90, 120, 150]))]
+        texts.append(common + own)
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            near = own[:]
+            for _ in range(rng.choice([1, 4, 7, 9, 30])):
+                near[rng.randrange(len(near))] = f"n{rng.randrange(10**6)}"
+            texts.append(common + near)
+    texts = [" ".join(t) for t in texts]
+    sets = {i: shingles(t, 4) for i, t in enumerate(texts)}
+    links = [(i, j) for i, j in itertools.combinations(sets, 2) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    want = components(sets, links)
+    assert 10 < len({c for c in want.values()}) < len(want)
+    depths, plain = [], minhash_dedup._deepened
+
+    def counted(placed, sigs):
+        out = plain(placed, sigs)
+        depths.append((placed.select("region").distinct().count(), out.select("region").distinct().count()))
+        return out
+
+    monkeypatch.setattr(minhash_dedup, "CROWDED", 4)
+    monkeypatch.setattr(minhash_dedup, "_deepened", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(docs).collect()}
+    assert got == want and depths[0][0] != depths[0][1]
+
+
 def plain_removal(texts):
     n = suffix_dedup.LENGTH
     count = {}
