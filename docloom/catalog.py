@@ -93,7 +93,17 @@ def summaries(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.md5(tx.plain_summary(t)).alias("summary"), tx.excerpt(t).alias("excerpt"), tx.one_line(t).alias("one_line"))
 
 
-@query()
+_HEADS = f"regexp_matches(x, '{tx.HEADING}')"
+
+
+@query(f"""
+with t as (select doc_id, text, {NORM} as n from documents),
+l as (select doc_id, text, {FILLED.format('n')} as f from t),
+p as (select doc_id, text, f, list_filter(f, lambda x: {_HEADS})[:30] as h, list_filter(f, lambda x: not {_HEADS})[:8] as b from l),
+q as (select *, list_transform(h, lambda x: {STRIP.format("regexp_replace(x, '^#+', '')")}) as heads, list_reduce(list_concat([''], b), lambda a, x: case when length(a) > 400 then a when a = '' then x else a || chr(10) || x end) as lead, right(text, 200) as r from p),
+s as (select *, concat_ws(chr(10), case when len(heads) > 0 then '見出し: ' || array_to_string(heads, ' / ') end, nullif(lead, '')) as s from q)
+select doc_id, case when len(f) = 0 then '{tx.NO_TEXT}' when length(s) > 1200 then left(s, 1200) || '...' else s end as summary,
+trim(substr(r, strpos(r, chr(10)) + 1), chr(10)) as tail, repeat('`', greatest(3, coalesce(list_max(list_transform(regexp_extract_all(text, '`+'), lambda x: length(x))) + 1, 3))) as fence from s""")
 def heading_summaries(spark, d):
     return _t(spark, d, "documents").select("doc_id", tx.heading_summary(C("text")).alias("summary"), tx.line_tail(C("text"), 200).alias("tail"), tx.code_fence(C("text")).alias("fence"))
 
@@ -172,9 +182,22 @@ def document_digest(spark, d):
     return got.select("doc_id", F.size("headings").alias("n_headings"), F.size("date_mentions").alias("n_dates"), "newest_year", F.size("broken_references").alias("n_broken"), F.size("repeated_lines").alias("n_repeated"), "avg_sentence_length", "char_count", "line_count", digest.is_stale(C("newest_year"), F.expr(DAY)).alias("stale"))
 
 
-@query()
+_ENDS = ("手順", "基準", "の注意点", "")
+_ASKED = "case " + " ".join(f"when regexp_matches(core, '{p}') then '{q}'" for p, q in digest.QUESTIONS) + f" else '{digest.OTHER_QUESTION}' end"
+
+
+@query(f"""
+with l as (select doc_id, unnest({LINES.format('text')}) as x, generate_subscripts({LINES.format('text')}, 1) as pos, ['{"', '".join(_ENDS)}'][doc_id % 4 + 1] as e from documents),
+h as (select doc_id, pos, {STRIP.format('(x || e)')} as title from l where length(x) between 1 and 40),
+c as (select *, {STRIP.format("regexp_replace(title, '^[0-9.]+[ ]*', '')")} as core from h where not regexp_matches(title, '{digest.MACHINE_TITLES}')),
+f as (select doc_id, core, min(pos) as pos, arg_min(title, pos) as title from c where length(core) >= 3 group by doc_id, core),
+r as (select *, row_number() over (partition by doc_id order by pos)::int as rank from f)
+select doc_id, rank, core || {_ASKED} as question, title from r where rank <= 12""")
 def document_questions(spark, d):
-    return digest.questions(_t(spark, d, "documents").select("doc_id", digest.headings(C("text")).alias("headings")))
+    """Short lines as headings, with endings that ask for different questions."""
+    end = F.element_at(F.array(*[F.lit(e) for e in _ENDS]), (C("doc_id") % 4 + 1).cast("int"))
+    as_headings = F.regexp_replace(C("text"), F.lit("(?m)^(.{1,40})$"), F.concat(F.lit("# $1"), end))
+    return digest.questions(_t(spark, d, "documents").select("doc_id", digest.headings(as_headings).alias("headings")))
 
 
 # -- duplicates -------------------------------------------------------------------
@@ -204,7 +227,16 @@ def near_dup_groups(spark, d):
 # -- chunks and parts ---------------------------------------------------------------
 
 
-@query()
+@query(f"""
+with t as (select doc_id, {NORM} as n from documents),
+l as (select doc_id, list_transform({LINES.format('n')}, lambda x: {{'done': []::varchar[], 'held': x, 'room': 0::bigint}}) as ls from t),
+r as (select doc_id, list_reduce(list_concat([{{'done': []::varchar[], 'held': null::varchar, 'room': 1000::bigint}}], ls), lambda a, x:
+  case when length(x.held) + 1 > 1000 then {{'done': list_concat(a.done, case when a.held is null then [] else [a.held] end, list_transform(range(0, length(x.held), 1000), lambda i: substr(x.held, i + 1, 1000))), 'held': null, 'room': 1000}}
+  when a.held is null then {{'done': a.done, 'held': x.held, 'room': a.room - length(x.held) - 1}}
+  when length(x.held) + 1 > a.room then {{'done': list_append(a.done, a.held), 'held': x.held, 'room': 1000 - length(x.held) - 1}}
+  else {{'done': a.done, 'held': a.held || chr(10) || x.held, 'room': a.room - length(x.held) - 1}} end) as s from l),
+c as (select doc_id, case when s.held is not null then list_append(s.done, s.held) when len(s.done) = 0 then [''] else s.done end as parts from r)
+select doc_id, unnest(range(1, len(parts) + 1))::int as chunk_index, len(parts)::int as chunk_count, md5(unnest(parts)) as text from c""")
 def chunks_by_lines(spark, d):
     return chunking.chunk(_t(spark, d, "documents"), "lines", 1000).select("doc_id", "chunk_index", "chunk_count", F.md5("text").alias("text"))
 
@@ -233,7 +265,14 @@ def parts_sequential(spark, d):
     return packing.pack(_sections(spark, d))
 
 
-@query()
+@query("""
+with recursive i as (select source as grp, doc_id as ord, n_chars + 2 as size, row_number() over (partition by source order by doc_id) as k from documents),
+r as (
+  select grp, ord, size, k, [size::bigint] as used, 1 as part from i where k = 1
+  union all
+  select grp, ord, size, k, case when j <= len(used) then list_concat(used[:j - 1], [used[j] + size], used[j + 1:]) when j <= 19 then list_append(used, size) else used end, case when j <= 19 then j end
+  from (select i.grp, i.ord, i.size, i.k, r.used, coalesce(list_position(r.used, list_max(list_filter(r.used, lambda u: u = 0 or u + i.size <= 30000))), len(r.used) + 1) as j from r join i on i.grp = r.grp and i.k = r.k + 1))
+select grp, ord, size, part::int as part from r""")
 def parts_bestfit(spark, d):
     return packing.pack(_sections(spark, d), "bestfit")
 
@@ -650,11 +689,14 @@ with e as (select user_id, count(*) filter (where event_type = 'purchase') as do
 r as (select user_id, [done >= 5, views >= 3, n > 60, best > 90] as ok from e)
 select user_id::varchar as quest_id, len(list_filter(ok, lambda x: x))::bigint as satisfied, 4::bigint as total, len(list_filter(ok, lambda x: x)) = 4 as reportable from r""")
 def quest_progress(spark, d):
+    atoms = [("doneCount", ">=", 5, None), ("listCount", None, 3, "view"), ("streak", ">", 60, None), ("newRecord", None, None, None)]
     kind = C("event_type")
     entry = F.struct(kind.alias("kind"), kind.alias("tag"), F.when(kind == "purchase", "x").alias("done_key"), F.array().cast("array<string>").alias("flags"))
-    g = _t(spark, d, "events").groupBy(C("user_id").cast("string").alias("quest_id")).agg(F.collect_list(entry).alias("entries"), F.count("*").cast("int").alias("streak"), F.array(F.struct(F.max("value").cast("string").alias("text"))).alias("attempts"))
+    #: a rule on entries asks for five at most, so a kind needs no more than six of them, however many events there are
+    needed = max(v for a, _, v, _ in atoms if a in ("doneCount", "listCount")) + 1
+    kinds_of = _t(spark, d, "events").groupBy(C("user_id").cast("string").alias("quest_id"), kind).agg(F.count("*").alias("n"), F.max("value").alias("best"))
+    g = kinds_of.groupBy("quest_id").agg(F.flatten(F.collect_list(F.array_repeat(entry, F.least("n", F.lit(needed)).cast("int")))).alias("entries"), F.sum("n").cast("int").alias("streak"), F.array(F.struct(F.max("best").cast("string").alias("text"))).alias("attempts"))
     states = g.select("*", F.lit("").alias("lesson"), F.lit(None).cast("date").alias("declared_start"), F.lit("").alias("declared_reason"), F.array(F.lit("")).alias("through"), F.create_map(F.lit("record"), F.lit("90")).alias("extras"), F.lit(0).alias("timer_done"))
-    atoms = [("doneCount", ">=", 5, None), ("listCount", None, 3, "view"), ("streak", ">", 60, None), ("newRecord", None, None, None)]
     rules = spark.createDataFrame([(a, op, v, t, a) for a, op, v, t in atoms], "atom string, op string, value int, text string, label string")
     every = g.select("quest_id").crossJoin(F.broadcast(rules))
     return streaks.progress(streaks.evaluate(states, every))
