@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, language_id, lm_scoring, minhash_dedup, mixing, packing, sharding, suffix_dedup, token_counts, topk_search
+from . import embedding_dedup, importance_resampling, language_id, lm_scoring, minhash_dedup, mixing, packing, sharding, suffix_dedup, token_counts, topk_search
 
 QUERIES = {
+    "op11_importance_resampling": importance_resampling.op11_importance_resampling,
     "op10_lm_scoring": lm_scoring.op10_lm_scoring,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op8_minhash_dedup": minhash_dedup.op8_minhash_dedup,
@@ -18,6 +19,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_importance_resampling": importance_resampling.ORACLE_SQL,
     "op1_embedding_dedup": embedding_dedup.ORACLE_SQL,
     "op2_topk_search": topk_search.ORACLE_SQL,
 }
