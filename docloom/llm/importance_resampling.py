@@ -18,13 +18,14 @@ LEAST_WORDS, PERCENT = 20, 10
 SEED = 2024
 #: A text with more than one row in so many joins by a broadcast; there are fewer such texts than this number.
 HEAVY = 1000
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What parts words, once A-Z are lowered: ASCII but digits and a-z.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
     """The words of a text with A-Z lowered; null has none."""
     lowered = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(lowered, BETWEEN), "")  # one pass; extracting match by match is several times slower
 
 
 def buckets_of(words: Column, longest: int = LONGEST, buckets: int = BUCKETS) -> Column:
