@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, importance_resampling, language_id, lm_scoring, minhash_dedup, mixing, packing, sharding, suffix_dedup, token_counts, topk_search
+from . import collocations, embedding_dedup, importance_resampling, language_id, lm_scoring, minhash_dedup, mixing, packing, quality_rules, sharding, suffix_dedup, token_counts, topk_search
 
 QUERIES = {
+    "op12_quality_rules": quality_rules.op12_quality_rules,
+    "op13_phrase_collocations": collocations.op13_phrase_collocations,
     "op11_importance_resampling": importance_resampling.op11_importance_resampling,
     "op10_lm_scoring": lm_scoring.op10_lm_scoring,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
@@ -19,6 +21,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op13_phrase_collocations": collocations.ORACLE_SQL,
     "op11_importance_resampling": importance_resampling.ORACLE_SQL,
     "op1_embedding_dedup": embedding_dedup.ORACLE_SQL,
     "op2_topk_search": topk_search.ORACLE_SQL,

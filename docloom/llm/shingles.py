@@ -14,6 +14,8 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _LETTER_LOWER = _LETTER[LOWER]
+#: For hashes that tell A-Z from a-z.
+CASED = _LETTER
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -37,29 +39,38 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, number of words before each document) for texts laid end to end.
-
-    A word is a run of bytes other than space and 0x09-0x0D; A-Z are lowered.
-    """
+def word_spans(raw: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, end) of every word of texts laid end to end; ``apart`` tells which bytes separate words."""
     n = len(raw)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     word = np.zeros(n + 1, bool)
-    np.logical_not(_SPACE[raw], out=word[:n])
+    np.logical_not(apart[raw], out=word[:n])
     first = word[:n].copy()
     first[1:] &= ~word[: n - 1]
     edges = offsets[offsets < n]
     first[edges] = word[edges]
-    starts = np.flatnonzero(first)
     last = word[:n] & ~word[1:]
     inner = edges[edges > 0] - 1
     last[inner] = word[inner]
-    ends = np.flatnonzero(last) + 1
-    up, down = _power(n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_LETTER_LOWER[raw] * up, out=total[1:])
-    return mixed((total[ends] - total[starts]) * down[starts]), np.searchsorted(starts, offsets)
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, letters: np.ndarray = _LETTER_LOWER) -> np.ndarray:
+    """A hash of each span of bytes; A-Z are lowered unless ``letters`` is CASED."""
+    up, down = _power(max(len(raw), 1))
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(letters[raw] * up[: len(raw)], out=total[1:])
+    return mixed((total[ends] - total[starts]) * down[starts])
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, number of words before each document) for texts laid end to end.
+
+    A word is a run of bytes other than space and 0x09-0x0D; A-Z are lowered.
+    """
+    if not len(raw):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    starts, ends = word_spans(raw, offsets)
+    return span_hashes(raw, starts, ends), np.searchsorted(starts, offsets)
 
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
