@@ -7,7 +7,6 @@ import string
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -24,6 +23,8 @@ UNKNOWN = "und"
 LEAST_BITS, MOST_BITS = 16, 28
 #: A key that many rows may share is dealt to so many parts.
 SALTS = 16
+#: Bytes of text that a task looks at together, about.
+SLICE = 2 << 20
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".,;:!?"] + [0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -44,8 +45,8 @@ class Tokens:
         hashes = span_hashes(raw, self.starts, self.ends)
         own = np.uint64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
         piece = np.cumsum(_BREAK[raw])[self.starts] if len(raw) else self.starts
-        text = np.searchsorted(offsets, self.starts, "right")
-        self.linked = (piece[1:] == piece[:-1]) & (text[1:] == text[:-1])
+        self.texts, self.text = len(offsets) - 1, np.searchsorted(offsets, self.starts, "right") - 1
+        self.linked = (piece[1:] == piece[:-1]) & (self.text[1:] == self.text[:-1])
         self.words = mixed(hashes ^ own)
         self.pairs = mixed((hashes[:-1] * _PAIR + hashes[1:]) ^ own)
 
@@ -55,7 +56,7 @@ def of_languages(batch: pa.RecordBatch):
     langs = batch.column(0).dictionary_encode()
     which = langs.indices.to_numpy(zero_copy_only=False)
     for i, lang in enumerate(langs.dictionary.to_pylist()):
-        for _, _, raw, offsets in text_slices(batch.column(1).take(pa.array(np.flatnonzero(which == i)))):
+        for _, _, raw, offsets in text_slices(batch.column(1).take(pa.array(np.flatnonzero(which == i))), SLICE):
             yield lang, Tokens(lang, raw, offsets)
 
 
@@ -95,8 +96,8 @@ def frequent_keys(counted: DataFrame) -> Frequent:
     return Frequent(1 << size, masks)
 
 
-def runs_of(t: Tokens, frequent: Frequent) -> pa.StringArray:
-    """The runs of words, joined by one space, that are left when pieces are cut at rare words and between the words of rare pairs."""
+def runs_of(t: Tokens, frequent: Frequent) -> pa.ListArray:
+    """Each text's runs of words, joined by one space, that are left when pieces are cut at rare words and between the words of rare pairs."""
     keep = frequent.has(t.words)
     bond = t.linked & keep[:-1] & keep[1:]
     at = np.flatnonzero(bond)
@@ -108,7 +109,9 @@ def runs_of(t: Tokens, frequent: Frequent) -> pa.StringArray:
     out = LOWER[t.raw[np.minimum(np.arange(edge[-1]) + np.repeat(t.starts[kept] - edge[:-1], length), max(len(t.raw) - 1, 0))]] if edge[-1] else np.zeros(0, np.uint8)
     out[edge[1:][~ends_run] - 1] = 0x20
     offsets = np.concatenate([[0], edge[1:][ends_run]]).astype(np.int32)
-    return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(out)))
+    runs = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(out)))
+    before = np.searchsorted(t.text[kept[ends_run]], np.arange(t.texts + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(before), runs)
 
 
 # -- counts -----------------------------------------------------------------------------
@@ -131,12 +134,11 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, l
     def runs(batches):
         for batch in batches:
             for lang, t in of_languages(batch):
-                seen = pc.value_counts(runs_of(t, held.value))
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), seen.field("values"), seen.field("counts")], names=["lang", "run", "copies"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * t.texts, pa.string()), runs_of(t, held.value)], names=["lang", "runs"])
 
-    words = map_arrow(texts, runs, "lang string, run string, copies long").select("lang", F.split("run", " ").alias("words"), "copies")
-    grams = words.select("lang", F.explode(ngrams(F.col("words"), longest)).alias("phrase"), "copies")
-    counts = grams.groupBy("lang", "phrase").agg(F.sum("copies").alias("a")).where(F.col("a") >= least)
+    every = F.flatten(F.transform("runs", lambda run: ngrams(F.split(run, " "), longest)))
+    grams = map_arrow(texts, runs, "lang string, runs array<string>").select("lang", F.explode(every).alias("phrase"))
+    counts = grams.groupBy("lang", "phrase").agg(F.count(F.lit(1)).alias("a")).where(F.col("a") >= least)
     counts = staged(counts.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("words"), "a"), tidy=True)
     return counts, counted.where(F.col("key").isNull()).select("lang", "n")
 
