@@ -31,11 +31,14 @@ def words_of(text: Column) -> Column:
 def buckets_of(words: Column, longest: int = LONGEST, buckets: int = BUCKETS) -> Column:
     """The bucket of every run of 1 to ``longest`` consecutive words, repeats included."""
     bucket = lambda run: (F.crc32(run.cast("binary")) % buckets).cast("int")
-    runs = [F.transform(words, bucket)]
-    for n in range(2, longest + 1):
-        places = F.slice(F.sequence(F.lit(0), F.size(words)), F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(0)))
-        runs.append(F.transform(places, lambda at, n=n: bucket(F.array_join(F.slice(words, at + 1, F.lit(n)), " "))))
-    return F.concat(*runs) if longest > 1 else runs[0]
+
+    def of_length(n: int) -> Column:
+        if n == 1:
+            return F.transform(words, bucket)
+        places = F.slice(F.sequence(F.lit(1), F.size(words) + 1), F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(0)))
+        return F.transform(places, lambda at: bucket(F.array_join(F.slice(words, at, F.lit(n)), " ")))
+
+    return F.concat(*[of_length(n) for n in range(1, longest + 1)]) if longest > 1 else of_length(1)
 
 
 def featured(docs: DataFrame, longest: int, buckets: int, text_col: str) -> DataFrame:

@@ -200,8 +200,8 @@ def expected(model: Model, lines: np.ndarray, chains: Chains) -> tuple[np.ndarra
 
 
 def trained(lines: np.ndarray, lengths: np.ndarray, labels: np.ndarray, steps: int = STEPS) -> Model:
-    """The model of greatest likelihood with a ridge, by gradient ascent with adapted steps; ``labels`` are of chains."""
-    chains, of_line = Chains(lengths), np.repeat(labels, lengths)
+    """The model of greatest likelihood with a ridge, by gradient ascent with adapted steps; ``labels`` are of lines."""
+    chains = Chains(lengths)
     model = Model(np.zeros((_FIRST[-1], 2)), np.zeros((2, 2)), np.zeros(2))
     parts = ("bins", "after", "first")
 
@@ -209,9 +209,13 @@ def trained(lines: np.ndarray, lengths: np.ndarray, labels: np.ndarray, steps: i
         bins = np.stack([np.bincount(lines.ravel(), np.repeat(chance[:, k], lines.shape[1]), _FIRST[-1]) for k in range(2)], axis=1)
         return {"bins": bins, "after": pairs, "first": first}
 
-    chosen = np.eye(2)[of_line]
-    same = np.diag(np.bincount(labels, np.maximum(lengths - 1, 0), 2))
-    seen = counts(chosen, same, np.bincount(labels, lengths > 0, 2))
+    chosen = np.eye(2)[labels]
+    begins = np.zeros(len(lines), bool)
+    begins[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
+    onward = ~begins[1:]
+    pairs = np.zeros((2, 2))
+    np.add.at(pairs, (labels[:-1][onward], labels[1:][onward]), 1)
+    seen = counts(chosen, pairs, chosen[begins].sum(0))
     mean = {k: np.zeros_like(getattr(model, k)) for k in parts}
     spread = {k: np.zeros_like(getattr(model, k)) for k in parts}
     for step in range(1, steps + 1):
@@ -225,11 +229,22 @@ def trained(lines: np.ndarray, lengths: np.ndarray, labels: np.ndarray, steps: i
     return model
 
 
+def labelled_lines(lines: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Labels of lines from those of their documents: what a line's own bins say, learned from all lines alone.
+
+    A bad document can hold good lines; told apart, they show the model where
+    labels change.  If all lines came out alike, documents' labels stay.
+    """
+    alone = np.ones(len(lines), np.int64)
+    own = viterbi(trained(lines, alone, labels), lines, alone)
+    return own if 0 < own.sum() < len(own) else labels
+
+
 def fit(docs: DataFrame, labels: DataFrame, documents: int = FIT_DOCUMENTS, segments: int = FIT_SEGMENTS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model | None:
     """Learn from about ``documents`` labelled documents of either quality, ``segments`` segments of their lines.
 
-    Every line of a document takes its label: above 0 content, else
-    boilerplate.  Documents and segments are taken by a hash of the id, so
+    A label above 0 is content, else boilerplate; lines get theirs by
+    :func:`labelled_lines`.  Documents and segments are taken by a hash of the id, so
     reruns agree.  A null label or id is not used; without labels, or with
     one kind only, there is no model.
     """
@@ -262,7 +277,8 @@ def fit(docs: DataFrame, labels: DataFrame, documents: int = FIT_DOCUMENTS, segm
     got = sorted(pieces.where(about(segments, of, "id", "at", "lines")).select("good", "lines").collect())
     lengths = np.array([len(r["lines"]) // len(BINS) for r in got], np.int64)
     lines = np.frombuffer(b"".join(bytes(r["lines"]) for r in got), np.uint8).reshape(-1, len(BINS))
-    return trained(lines, lengths, np.array([CONTENT if r["good"] else BOILERPLATE for r in got]))
+    of_line = np.repeat([CONTENT if r["good"] else BOILERPLATE for r in got], lengths)
+    return trained(lines, lengths, labelled_lines(lines, of_line))
 
 
 # -- documents ----------------------------------------------------------------------------
