@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from .functions import calendar as cal
 from .functions import codec, color, digest, pii, records
 from .functions import text as tx
-from .operators import chunking, health, packing, prompts, publish, reports, scenario, search, similarity, snapshot, streaks, structure
-from .sources import html, kinds, theme
+from .operators import chunking, diagrams, health, layers, packing, prompts, publish, reports, scenario, search, similarity, snapshot, streaks, structure
+from .sources import decks, html, kinds, theme
 
 FLAGSHIP = "pii_email_by_lang"
 QUERIES: dict = {}
@@ -134,7 +134,26 @@ def pii_long_digits(spark, d):
     return _t(spark, d, "documents").select("doc_id", count(r"(?<!\d)\d{15,16}(?!\d)").alias("long_runs"), count(r"(?<![\d-])\d{12}(?!\d)").alias("twelve"))
 
 
-@query()
+def _masked_sql(expr: str, *shapes: tuple[str, str, str]) -> str:
+    """SQL that masks shapes (before, itself, behind); a neighbour may be shared by two, so every shape is looked for twice."""
+    for before, own, behind in shapes:
+        for _ in range(2):
+            expr = f"regexp_replace({expr}, '({before})(?:{own})({behind})', '\\1＜伏字＞\\2', 'g')"
+    return expr
+
+
+_KINDS_SQL = {
+    "card": _masked_sql("text", ("^|[^0-9-]", "[0-9]{4}[- ][0-9]{4}[- ][0-9]{4}[- ][0-9]{4}", "$|[^0-9-]"), ("^|[^0-9]", "[0-9]{15,16}", "$|[^0-9]")),
+    "my_number": _masked_sql("card", ("^|[^0-9-]", "[0-9]{12}", "$|[^0-9]"), ("^|[^0-9-]", "[0-9]{4}-[0-9]{4}-[0-9]{4}", "$|[^0-9-]|-$|-[^0-9]")),
+    "phone": _masked_sql("my_number", ("^|[^0-9-]", "0[0-9]{1,4}-[0-9]{1,4}-[0-9]{4}", "$|[^0-9-]")),
+    "email": "regexp_replace(phone, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '＜伏字＞', 'g')",
+}
+_SEEN_SQL = {k: f"(length({k}) - length(replace({k}, '＜伏字＞', ''))) // 4 - (length({b}) - length(replace({b}, '＜伏字＞', ''))) // 4" for b, k in zip(("text", *_KINDS_SQL), _KINDS_SQL)}
+
+
+@query(f"""
+with {', '.join(f"m{i} as (select *, {sql} as {k} from {'documents' if i == 0 else f'm{i - 1}'})" for i, (k, sql) in enumerate(_KINDS_SQL.items()))}
+select doc_id, md5(email) as masked, '{{' || concat_ws(',', {', '.join(f"case when {n} > 0 then '{chr(34)}{k}{chr(34)}:' || ({n}) end" for k, n in _SEEN_SQL.items())}) || '}}' as counts from m3""")
 def pii_masked(spark, d):
     t = C("text")
     return _t(spark, d, "documents").select("doc_id", F.md5(pii.mask(t)).alias("masked"), F.to_json(pii.mask_counts(t)).alias("counts"))
@@ -241,7 +260,34 @@ def chunks_by_lines(spark, d):
     return chunking.chunk(_t(spark, d, "documents"), "lines", 1000).select("doc_id", "chunk_index", "chunk_count", F.md5("text").alias("text"))
 
 
-@query()
+#: A text's lines packed into at most 1000 characters with their line ends, longer ones cut.
+_BY_LINES = """list_filter(list_transform([list_reduce(list_concat([{{'done': []::varchar[], 'held': null::varchar, 'room': 1000::bigint}}], list_transform({list_lines}, lambda x: {{'done': []::varchar[], 'held': x, 'room': 0::bigint}})), lambda a, x:
+  case when length(x.held) + 1 > 1000 then {{'done': list_concat(a.done, case when a.held is null then [] else [a.held] end, list_transform(range(0, length(x.held), 1000), lambda i: substr(x.held, i + 1, 1000))), 'held': null, 'room': 1000}}
+  when a.held is null then {{'done': a.done, 'held': x.held, 'room': a.room - length(x.held) - 1}}
+  when length(x.held) + 1 > a.room then {{'done': list_append(a.done, a.held), 'held': x.held, 'room': 1000 - length(x.held) - 1}}
+  else {{'done': a.done, 'held': a.held || chr(10) || x.held, 'room': a.room - length(x.held) - 1}} end)], lambda r: case when r.held is null then r.done else list_append(r.done, r.held) end)[1], lambda x: true)"""
+#: A chunk is full; then the next begins with the whole lines of its last 120 characters.
+_FULL = "a.held <> '' and length(a.held) + 1 + length(x.held) > 1000"
+_TAIL = "trim(case when contains(right(a.held, 120), chr(10)) then substr(right(a.held, 120), strpos(right(a.held, 120), chr(10)) + 1) else right(a.held, 120) end, chr(10))"
+_TAILED = f"(case when {_TAIL} = '' then x.held else {_TAIL} || chr(10) || x.held end)"
+
+
+@query(f"""
+with t as (select doc_id, {NORM} as n from documents),
+l as (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as pos from (select doc_id, {LINES.format('n')} as ls from t)),
+h as (select *, sum((pos = 1 or regexp_matches(line, '^#{{1,4}} '))::int) over (partition by doc_id order by pos) as section from l),
+s as (select doc_id, section, string_agg(line, chr(10) order by pos) as body from h group by doc_id, section),
+p as (select doc_id, section, case when length(body) <= 1000 then [body] else list_transform(string_split(body, chr(10) || chr(10)), lambda x: x) end as ps, length(body) <= 1000 as whole from s),
+g as (select doc_id, section, case when whole then ps else list_filter(list_append(r.done, r.held), lambda x: x <> '') end as ps from (select *, list_reduce(list_transform(ps, lambda x: {{'done': []::varchar[], 'held': x}}), lambda a, x:
+  case when a.held = '' then {{'done': a.done, 'held': x.held}} when length(a.held) + 2 + length(x.held) <= 1000 then {{'done': a.done, 'held': a.held || chr(10) || chr(10) || x.held}} else {{'done': list_append(a.done, a.held), 'held': x.held}} end) as r from p)),
+q as (select doc_id, section, unnest(ps) as para, generate_subscripts(ps, 1) as nth from g),
+c as (select doc_id, section, nth, case when length(para) <= 1000 then [para] else {_BY_LINES.format(list_lines=LINES.format('para'))} end as bs from q),
+b as (select doc_id, list(block order by section, nth, k) as bs from (select doc_id, section, nth, unnest(bs) as block, generate_subscripts(bs, 1) as k from c) group by doc_id),
+f as (select doc_id, list_reduce(list_concat([{{'done': []::varchar[], 'held': ''}}], list_transform(bs, lambda x: {{'done': []::varchar[], 'held': x}})), lambda a, x:
+  case when {_FULL} then case when length({_TAILED}) > 1000 then {{'done': list_concat(a.done, [a.held, left({_TAILED}, 1000)]), 'held': substr({_TAILED}, 1001)}} else {{'done': list_append(a.done, a.held), 'held': {_TAILED}}} end
+  when a.held = '' then {{'done': a.done, 'held': x.held}} else {{'done': a.done, 'held': a.held || chr(10) || x.held}} end) as r from b),
+o as (select t.doc_id, case when r.held <> '' then list_append(r.done, r.held) when len(r.done) > 0 then r.done else [''] end as parts from t left join f using (doc_id))
+select doc_id, unnest(range(1, len(parts) + 1))::int as chunk_index, len(parts)::int as chunk_count, md5(unnest(parts)) as text from o""")
 def chunks_by_sections(spark, d):
     return chunking.chunk(_t(spark, d, "documents"), "sections", 1000).select("doc_id", "chunk_index", "chunk_count", F.md5("text").alias("text"))
 
@@ -589,6 +635,107 @@ def colors(spark, d):
     return rows.select("p_partkey", "color", color.is_dark(c).alias("dark"), F.round(color.luma(c), 6).alias("luma"), F.round(color.chroma(c), 6).alias("chroma"), color.px_to_pt(F.concat((C("p_size") * 7).cast("string"), F.lit("px"))).alias("pt"))
 
 
+# -- presentations --------------------------------------------------------------------------------
+
+_OPS = ["lumMod", "lumOff", "satMod", "satOff", "hueMod", "hueOff", "shade", "tint", "gray", "inv"]
+_VALUES = [0.37, 0.11, 0.61, 0.17, 0.83, 47.0, 0.53, 0.29, 0.0, 0.0]
+
+
+def _step_sql(n: int, op: str, value: str) -> str:
+    """Common table expressions that take colours (p_partkey, r, g, b) of c{n} to c{n + 1} by one step."""
+    linear = lambda c: f"case when {c} <= 0.04045 then {c} / 12.92 else pow(({c} + 0.055) / 1.055, 2.4) end"
+    shown = lambda c: f"case when {c} <= 0.0031308 then {c} * 12.92 else 1.055 * pow({c}, 1 / 2.4) - 0.055 end"
+    mixed = lambda c: f"least(1, greatest(0, ({linear(c)}) * v + case when op = 'tint' then 1 - v else 0 end))"
+    wheel = lambda c, most, some: f"m + case when floor(hp) in ({most}) then ch when floor(hp) in ({some}) then x else 0 end as w{c}"
+    picked = lambda c: f"case when op like 'lum%' or op like 'sat%' or op like 'hue%' then w{c} when op in ('shade', 'tint') then {shown('x' + c)} when op = 'gray' then 0.299 * r + 0.587 * g + 0.114 * b when op = 'inv' then 1 - {c} else {c} end as {c}"
+    return f"""
+a{n} as (select *, {op} as op, {value} as v, greatest(r, g, b) as hi, least(r, g, b) as lo from c{n}),
+b{n} as (select *, (hi + lo) / 2 as l, case when hi = lo then 0 when hi + lo > 1 then (hi - lo) / (2 - hi - lo) else (hi - lo) / (hi + lo) end as s,
+  60 * case when hi = lo then 0 when hi = r then (((g - b) / (hi - lo)) + 6) % 6 when hi = g then (b - r) / (hi - lo) + 2 else (r - g) / (hi - lo) + 4 end as h from a{n}),
+d{n} as (select *, case op when 'lumMod' then least(1, l * v) when 'lumOff' then least(1, l + v) else l end as l2, case op when 'satMod' then least(1, s * v) when 'satOff' then least(1, s + v) else s end as s2,
+  case op when 'hueMod' then h * v when 'hueOff' then h + v else h end as h2 from b{n}),
+e{n} as (select *, (1 - abs(2 * l2 - 1)) * s2 as ch, (h2 % 360) / 60 as hp from d{n}),
+f{n} as (select *, ch * (1 - abs(hp % 2 - 1)) as x, l2 - ch / 2 as m, {', '.join(f'{mixed(c)} as x{c}' for c in 'rgb')} from e{n}),
+g{n} as (select *, {wheel('r', '0, 5', '1, 4')}, {wheel('g', '1, 2', '0, 3')}, {wheel('b', '3, 4', '2, 5')} from f{n}),
+c{n + 1} as (select p_partkey, {', '.join(picked(c) for c in 'rgb')} from g{n})"""
+
+
+def _case(key: str, values: list) -> str:
+    return f"case {key} " + " ".join(f"when {i} then {v!r}" for i, v in enumerate(values)) + " end"
+
+
+@query(f"""
+with k as (select p_partkey, p_size % 4 as tag, (p_partkey * 7919) % 16777216 as n, case p_partkey % 3 when 0 then 0x1F2A3B when 1 then 0xC05A11 end as slot from part),
+c0 as (select p_partkey, {', '.join(f"case when tag = 2 then round_even(((p_partkey * {k}) % 1000) / 1000.0 * 255, 0) / 255 when tag = 3 then ((slot >> {z}) & 255) / 255.0::double else ((n >> {z}) & 255) / 255.0::double end as {c}" for c, k, z in (('r', 3, 16), ('g', 7, 8), ('b', 11, 0)))} from k),
+{_step_sql(0, _case('p_partkey % 10', _OPS), _case('p_partkey % 10', _VALUES))},
+{_step_sql(1, _case('(p_partkey // 10) % 10', _OPS), _case('(p_partkey // 10) % 10', _VALUES))}
+select p_partkey, '#' || {" || ".join(f"upper(lpad(format('{{:x}}', round_even(least(1, greatest(0, {c})) * 255, 0)::bigint), 2, '0'))" for c in 'rgb')} as color from c2""")
+def theme_colors(spark, d):
+    """Colour elements of all four kinds on a theme with a map and a missing slot, each after two steps."""
+    key = C("p_partkey")
+    pick = lambda i, values: F.element_at(F.array(*[F.lit(v) for v in values]), (i + 1).cast("int"))
+    rgb = F.lpad(F.lower(F.hex((key * 7919) % 16777216)), 6, "0")
+    slot = decks.scheme_slot(pick(key % 3, ["tx1", "accent1", "phClr"]), F.create_map(F.lit("tx1"), F.lit("dk1")), F.create_map(*[F.lit(x) for x in ("dk1", "#1F2A3B", "accent1", "#C05A11")]))
+    base = decks.base_color(pick(C("p_size") % 4, ["srgbClr", "sysClr", "scrgbClr", "schemeClr"]), rgb, [((key * k) % 1000) / 1000.0 for k in (3, 7, 11)], slot)
+    step = lambda i: F.struct(pick(i, _OPS).alias("op"), pick(i, _VALUES).alias("value"))
+    steps = F.array(step(key % 10), step(F.floor(key / 10) % 10))
+    return _t(spark, d, "part").select("p_partkey", color.transformed(base, steps).alias("color"))
+
+
+@query("""
+select c_custkey, case when c_acctbal > 5000 then c_acctbal when n_nationkey % 3 = 0 then length(n_name) else r_regionkey end::double as value,
+case when c_acctbal > 5000 then 0 when n_nationkey % 3 = 0 then 1 else 2 end::int as rank
+from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey""")
+def inherited_values(spark, d):
+    """A customer's value by the first layer that knows one: its own, its nation's, its region's."""
+    nation, region = _t(spark, d, "nation"), _t(spark, d, "region")
+    base = _t(spark, d, "customer").select("c_custkey", "c_acctbal", C("c_nationkey").alias("n_nationkey")).join(nation, "n_nationkey").join(region, C("n_regionkey") == C("r_regionkey"))
+    values = [F.when(C("c_acctbal") > 5000, C("c_acctbal")), F.when(C("n_nationkey") % 3 == 0, F.length("n_name")), C("r_regionkey")]
+    rows = base.select("c_custkey", F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), v.cast("double").alias("value")) for i, v in enumerate(values)])).alias("x")).select("c_custkey", "x.*")
+    return layers.first_known(rows, ["c_custkey"])
+
+
+@query("""
+with recursive b as (select l_orderkey as slide, l_orderkey * 10 + l_linenumber as node, (l_partkey * 37 % 900)::double as x, (l_suppkey * 53 % 500)::double as y, 10.0 + l_quantity * 6 as w, 20.0 + l_linenumber * 9 as h from lineitem),
+e as (select p.node as a, q.node as b from b p join b q on p.slide = q.slide and p.node <> q.node where p.x - q.x - q.w <= 12 and q.x - p.x - p.w <= 12 and p.y - q.y - q.h <= 12 and q.y - p.y - p.h <= 12),
+r as (select node, node as root from b union select e.b, r.root from r join e on r.node = e.a),
+g as (select node, min(root) as grp from r group by node)
+select slide, grp, count(*) as n, min(x) as x, min(y) as y, max(x + w) as right_x, max(y + h) as bottom_y from b join g using (node) group by slide, grp""")
+def box_groups(spark, d):
+    """Boxes of a slide at most 12 points apart, over others too, with the box around each group."""
+    row = _t(spark, d, "lineitem")
+    boxes = row.select(
+        C("l_orderkey").alias("slide"), (C("l_orderkey") * 10 + C("l_linenumber")).alias("node"), (C("l_partkey") * 37 % 900).cast("double").alias("x"), (C("l_suppkey") * 53 % 500).cast("double").alias("y"),
+        (10.0 + C("l_quantity") * 6).cast("double").alias("w"), (20.0 + C("l_linenumber") * 9).cast("double").alias("h"),
+    )
+    g = diagrams.groups_of_boxes(boxes, ["slide"], 12.0)
+    return g.groupBy("slide", "grp").agg(F.count("*").alias("n"), F.min("x").alias("x"), F.min("y").alias("y"), F.max(C("x") + C("w")).alias("right_x"), F.max(C("y") + C("h")).alias("bottom_y"))
+
+
+_KINDS = ["kpi", "timeline", "compare", "flow"]
+
+
+@query(f"""
+with e as (select l_orderkey as page_id, l_linenumber as el_no, {_case('l_orderkey % 4', _KINDS)} as kind, 'd' || (l_linenumber % 2) as diagram, 's' || l_suppkey as head, l_returnflag as flag, l_linestatus as mark,
+  (l_partkey % 3) * 100.0 + l_suppkey % 2 as x, (l_quantity * 3)::double as y from lineitem),
+c as (select *, (l_part)::int as col from (select *, floor(x / 100) as l_part from e)),
+n as (select *, row_number() over (partition by page_id, kind, diagram, col order by floor(y / 20), x, el_no) as nth, lead(head) over (partition by page_id, kind, diagram, col order by floor(y / 20), x, el_no) as below from c),
+f as (select * from n where kind = 'flow' or nth % 2 = 1),
+i as (select *, row_number() over (partition by page_id, kind, diagram order by floor(y / 20), x, el_no) as item_no from f)
+select page_id, kind, diagram, item_no::int as item_no, case when kind = 'kpi' then coalesce(below, head) else head end as title, case when kind = 'kpi' then head end as value,
+case when kind = 'flow' then flag || ' ' || mark else below end as text from i where kind <> 'compare' or item_no <= 2""")
+def diagram_items(spark, d):
+    """Items of diagrams told by the names of their boxes: pairs by columns, comparisons of two, boxes of one item each."""
+    order = C("l_orderkey")
+    kind = F.element_at(F.array(*[F.lit(k) for k in _KINDS]), (order % 4 + 1).cast("int"))
+    name = F.concat_ws(":", F.lit("diagram"), kind, F.concat(F.lit("d"), (C("l_linenumber") % 2).cast("string")), C("l_linenumber").cast("string"))
+    boxes = _t(spark, d, "lineitem").select(
+        order.alias("page_id"), F.lit(1).alias("slide_no"), C("l_linenumber").alias("el_no"), name.alias("name"), F.array(F.concat(F.lit("s"), C("l_suppkey").cast("string")), F.lit(" "), "l_returnflag", "l_linestatus").alias("lines"),
+        ((C("l_partkey") % 3) * 100.0 + C("l_suppkey") % 2).alias("x"), (C("l_quantity") * 3).cast("double").alias("y"), F.lit(50.0).alias("w"), F.lit(10.0).alias("h"),
+    )
+    return diagrams.items(diagrams.members(boxes)).drop("slide_no")
+
+
 # -- conversations ------------------------------------------------------------------------------
 
 

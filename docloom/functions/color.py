@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,39 +68,75 @@ def inline_style(c: Column) -> Column:
     return F.map_from_entries(F.transform(F.array_distinct(F.transform(good, lambda p: p["k"])), lambda k: F.struct(k, F.element_at(F.filter(good, lambda p: p["k"] == k), -1)["v"])))
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once; null for null."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _unit(c: Column) -> Column:
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
+
+
+def _rgb(parts: list[Column]) -> Column:
+    return F.struct(*[p.cast("double").alias(n) for p, n in zip(parts, "rgb")])
+
+
+def _hsl(rgb: Column) -> Column:
+    """(hue in degrees, saturation, lightness) of shares of red, green and blue."""
+    r, g, b = (rgb[c] for c in "rgb")
+    ends = F.struct(F.greatest(r, g, b).alias("hi"), F.least(r, g, b).alias("lo"))
+
+    def of(e: Column) -> Column:
+        spread, total = e["hi"] - e["lo"], e["hi"] + e["lo"]
+        turn = F.when(spread == 0, 0.0).when(e["hi"] == r, F.pmod((g - b) / spread, F.lit(6.0))).when(e["hi"] == g, (b - r) / spread + 2).otherwise((r - g) / spread + 4)
+        share = F.when(spread == 0, 0.0).when(total > 1, spread / (2 - total)).otherwise(spread / total)
+        return F.struct((turn * 60).alias("h"), share.alias("s"), (total / 2).alias("l"))
+
+    return bound(ends, of)
+
+
+def _from_hsl(hsl: Column) -> Column:
+    def of(x: Column) -> Column:
+        chroma = (1 - F.abs(2 * x["l"] - 1)) * x["s"]
+        turn = F.pmod(x["h"], F.lit(360.0)) / 60
+        second = chroma * (1 - F.abs(turn % 2 - 1))
+        sixth, least = F.floor(turn), x["l"] - chroma / 2
+        #: the sixths of the wheel in which a channel is strongest, and second
+        part = lambda most, some: least + F.when(sixth.isin(*most), chroma).when(sixth.isin(*some), second).otherwise(0.0)
+        return _rgb([part((0, 5), (1, 4)), part((1, 2), (0, 3)), part((3, 4), (2, 5))])
+
+    return bound(hsl, of)
+
+
+def _step(rgb: Column, op: Column, value: Column) -> Column:
+    """One step of :func:`transformed`; an unknown one changes nothing."""
+    moved = lambda old, mod, off: F.when(op == mod, old * value).when(op == off, old + value).otherwise(old)
+    wheel = lambda x: F.struct(moved(x["h"], "hueMod", "hueOff").alias("h"), _within(x["s"], moved(x["s"], "satMod", "satOff")).alias("s"), _within(x["l"], moved(x["l"], "lumMod", "lumOff")).alias("l"))
+    linear = lambda v: F.when(v <= 0.04045, v / 12.92).otherwise(F.pow((v + 0.055) / 1.055, F.lit(2.4)))
+    shown = lambda v: F.when(v <= 0.0031308, v * 12.92).otherwise(1.055 * F.pow(v, F.lit(1 / 2.4)) - 0.055)
+    goal = F.when(op == "tint", 1 - value).otherwise(0.0)
+    gray = 0.299 * rgb["r"] + 0.587 * rgb["g"] + 0.114 * rgb["b"]
+    return (
+        F.when(op.rlike("^(lum|sat|hue)(Mod|Off)$"), _from_hsl(bound(_hsl(rgb), wheel)))
+        .when(op.isin("shade", "tint"), _rgb([bound(_unit(linear(_unit(rgb[c])) * value + goal), shown) for c in "rgb"]))
+        .when(op == "gray", bound(gray, lambda v: _rgb([v, v, v])))
+        .when(op == "inv", _rgb([1 - rgb[c] for c in "rgb"]))
+        .otherwise(rgb)
+    )
+
+
+def _within(old: Column, new: Column) -> Column:
+    return F.when(old == new, old).otherwise(_unit(new))
+
+
 def transformed(c: Column, steps: Column) -> Column:
-    """A colour after steps (op, value) in order: lum, sat and hue mod or off, shade, tint, gray, inv.
+    """A ``#RRGGBB`` colour after an array of steps (op, value) in order: lum, sat and hue Mod or Off, shade, tint, gray, inv.
 
-    Values are fractions, of hueOff degrees.  Lightness steps work in HLS,
-    shade and tint in linear light toward black and white.
+    Values are fractions, of hueOff degrees.  Lightness steps work in HSL,
+    shade and tint in linear light toward black and white.  Null steps change
+    nothing, a null colour stays null; halves round to even.
     """
-    @F.pandas_udf("string")
-    def run(colors: pd.Series, all_steps: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else transform_color(x, [(s["op"], s["value"]) for s in (y if y is not None else [])]) for x, y in zip(colors, all_steps)], dtype=object)
-
-    return run(c, steps)
-
-
-def transform_color(color: str, steps: list[tuple[str, float]]) -> str:
-    import colorsys
-
-    unit = lambda v: min(1.0, max(0.0, v))
-    linear = lambda v: v / 12.92 if v <= 0.04045 else ((v + 0.055) / 1.055) ** 2.4
-    display = lambda v: v * 12.92 if v <= 0.0031308 else 1.055 * v ** (1 / 2.4) - 0.055
-    rgb = [int(color[i : i + 2], 16) / 255 for i in (1, 3, 5)]
-    for op, value in steps:
-        what, how = op[:3], op[3:]
-        if what in ("lum", "sat", "hue"):
-            h, l, s = colorsys.rgb_to_hls(*rgb)  # noqa: E741
-            now = {"hue": h, "lum": l, "sat": s}[what]
-            moved = now * value if how == "Mod" else now + (value / 360 if what == "hue" else value)
-            h, l, s = (moved % 1 if what == "hue" else h, unit(moved) if what == "lum" else l, unit(moved) if what == "sat" else s)  # noqa: E741
-            rgb = list(colorsys.hls_to_rgb(h, l, s))
-        elif op in ("shade", "tint"):
-            goal = float(op == "tint")
-            rgb = [display(unit(goal + (linear(unit(v)) - goal) * value)) for v in rgb]
-        elif op == "gray":
-            rgb = [0.299 * rgb[0] + 0.587 * rgb[1] + 0.114 * rgb[2]] * 3
-        elif op == "inv":
-            rgb = [1 - v for v in rgb]
-    return "#" + "".join(f"{round(unit(v) * 255):02X}" for v in rgb)
+    start = _rgb([channel(c, i) / 255.0 for i in range(3)])
+    to_hex = lambda rgb: F.concat(F.lit("#"), *[F.lpad(F.hex(F.bround(_unit(rgb[p]) * 255).cast("long")), 2, "0") for p in "rgb"])
+    end = F.aggregate(F.coalesce(steps, F.array().cast("array<struct<op:string,value:double>>")), start, lambda rgb, s: _step(rgb, s["op"], s["value"]))
+    return F.when(c.isNotNull(), bound(end, to_hex))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 import numpy as np
@@ -16,6 +17,8 @@ from ..plans.staging import staged
 from .components import components
 
 SHINGLE, SKETCH, THRESHOLD = 5, 200, 0.9
+#: Lengths may differ by this share of the threshold; rows of a sketch value that one cell compares, about.
+LENGTHS, BLOCK = 0.9, 1000
 _SPACES = re.compile(r"\s+")
 
 
@@ -59,33 +62,92 @@ def estimate(a: Column, b: Column, k: int = SKETCH) -> Column:
     return F.when(F.size(least) > 0, F.size(F.array_intersect(F.array_intersect(least, a), b)) / F.size(least)).otherwise(F.lit(0.0))
 
 
-def similar_pairs(signed: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id") -> DataFrame:
-    """(a, b, similarity), a < b, between the first documents of each exact text.
+def first_texts(signed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, sketch, length) of the first document of each exact text that is not empty."""
+    first = signed.where("length > 0").groupBy("sha").agg(F.min_by(F.struct(id_col, "sketch", "length"), id_col).alias("x"))
+    return first.select(F.col(f"x.{id_col}").alias("id"), "x.sketch", "x.length")
+
+
+def prefixes(firsts: DataFrame, threshold: float) -> DataFrame:
+    """(id, length, h, band, slot, part, parts): the sketch values by which a document can meet others.
 
     Two sketches at the threshold share that part of the larger one, so they
     share one of the ``size - ceil(threshold * size) + 1`` values of each that
     come first in any order common to all; the rarest values come first here,
-    so frequent ones pair nothing.  Pairs whose lengths differ too much and
-    empty texts are no pairs, as the rule wants it.
+    so frequent ones pair nothing.  Lengths at the threshold differ by so
+    little that their bands are equal or neighbours: a row stands in the slot
+    of its band and in the next.  A value that many rows share is cut into
+    parts of about BLOCK rows.
     """
-    firsts = staged(signed.where("length > 0").groupBy("sha").agg(F.min_by(F.struct(id_col, "sketch", "length"), id_col).alias("x")).select(f"x.{id_col}", "x.sketch", "x.length"))
-    each = firsts.select(F.col(id_col).alias("id"), F.explode("sketch").alias("h"), F.size("sketch").alias("n"))
+    each = firsts.select("id", "length", F.explode("sketch").alias("h"), F.size("sketch").alias("n"))
     freq = each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = each.join(freq, "h").withColumn("missing", F.col("n") - F.count("*").over(W.partitionBy("id")))
-    ranked = ranked.withColumn("nth", F.row_number().over(W.partitionBy("id").orderBy("df", "h")) + F.col("missing"))
-    prefix = ranked.where(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("id", "h")
-    pairs = prefix.alias("p").join(prefix.alias("q"), (F.col("p.h") == F.col("q.h")) & (F.col("p.id") < F.col("q.id"))).select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
-    side = lambda c: firsts.select(F.col(id_col).alias(c), F.col("sketch").alias(f"s_{c}"), F.col("length").alias(f"l_{c}"))
+    known = each.join(freq, "h").groupBy("id", "length", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("known"))  # SKETCH values at most
+    wanted = F.col("n") - F.ceil(F.col("n") * threshold) + 1 - (F.col("n") - F.size("known"))
+    band = F.floor(F.ln(F.col("length").cast("double")) / -math.log(0.999 * threshold * LENGTHS)).cast("int")
+    rows = known.select("id", "length", band.alias("band"), F.explode(F.slice("known", F.lit(1), F.greatest(wanted, F.lit(0)).cast("int"))).alias("x"))
+    rows = rows.select("id", "length", "band", F.explode(F.array("band", F.col("band") + 1)).alias("slot"), F.col("x.h").alias("h"))
+    sizes = rows.groupBy("h", "slot").agg(F.count("*").alias("rows")).where("rows > 1").select("h", "slot", F.ceil(F.col("rows") / BLOCK).cast("int").alias("parts"))
+    return rows.join(sizes, ["h", "slot"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+
+
+def candidates(rows: DataFrame, apart: str | None = None) -> DataFrame:
+    """(a, b), a < b, of the rows of :func:`prefixes` that meet in a slot and a value; with ``apart``, only if that column differs.
+
+    Each part of a value meets each part in a cell of its own.
+    """
+    cells = F.sequence(F.lit(0), F.col("parts") - 1)
+    p = rows.select("*", F.col("part").alias("pa"), F.explode(cells).alias("pb")).alias("p")
+    q = rows.select("*", F.explode(cells).alias("pa"), F.col("part").alias("pb")).alias("q")
+    on = F.col("p.id") < F.col("q.id")
+    for c in ("h", "slot", "pa", "pb"):
+        on = on & (F.col(f"p.{c}") == F.col(f"q.{c}"))
+    #: documents of one band meet in two slots, and count in the first
+    on = on & (F.greatest("p.band", "q.band") == F.col("p.slot"))
+    if apart:
+        on = on & (F.col(f"p.{apart}") != F.col(f"q.{apart}"))
+    return p.join(q, on).select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
+
+
+def confirmed(pairs: DataFrame, firsts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) of the pairs whose lengths and sketches are at the threshold."""
+    side = lambda c: firsts.select(F.col("id").alias(c), F.col("sketch").alias(f"s_{c}"), F.col("length").alias(f"l_{c}"))
     full = pairs.join(side("a"), "a").join(side("b"), "b")
     ratio = F.least("l_a", "l_b") / F.greatest("l_a", "l_b")
-    return full.where(ratio >= threshold * 0.9).select("a", "b", estimate(F.col("s_a"), F.col("s_b")).alias("similarity")).where(F.col("similarity") >= threshold)
+    return full.where(ratio >= threshold * LENGTHS).select("a", "b", estimate(F.col("s_a"), F.col("s_b")).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def similar_pairs(signed: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id") -> DataFrame:
+    """(a, b, similarity), a < b, between the first documents of each exact text.
+
+    Pairs whose lengths differ too much and empty texts are no pairs, as the
+    rule wants it.
+    """
+    firsts = staged(first_texts(signed, id_col))
+    return confirmed(candidates(prefixes(firsts, threshold)), firsts, threshold)
+
+
+def near_links(firsts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b): similar pairs that connect what :func:`similar_pairs` connects, without listing all pairs of a group.
+
+    Neighbours by length in a value's part are compared first.  Values whose
+    rows are all connected then are done; of the others, only documents of
+    different groups are compared.
+    """
+    rows = staged(prefixes(firsts, threshold))
+    along = W.partitionBy("h", "slot", "part").orderBy("length", "id")
+    near = rows.select("id", F.lag("id").over(along).alias("before")).where("before is not null")
+    chained = staged(confirmed(near.select(F.least("id", "before").alias("a"), F.greatest("id", "before").alias("b")).distinct(), firsts, threshold).select("a", "b"))
+    named = rows.join(components(chained), "id", "left").withColumn("grp", F.coalesce("component", "id")).drop("component")
+    mixed = named.groupBy("h", "slot").agg(F.min("grp").alias("least"), F.max("grp").alias("most")).where("least <> most").select("h", "slot")
+    rest = candidates(staged(named.join(mixed, ["h", "slot"])), "grp")
+    return chained.union(confirmed(rest, firsts, threshold).select("a", "b"))
 
 
 def similar_groups(signed: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id") -> DataFrame:
     """(id, group): the documents of groups of two or more; a group is named by its first document."""
     first = signed.where("length > 0").groupBy("sha").agg(F.min(id_col).alias("first"))
     exact = signed.join(first, "sha").select(F.col(id_col).alias("a"), F.col("first").alias("b")).where("a <> b")
-    near = similar_pairs(signed, threshold, id_col).select("a", "b")
+    near = near_links(staged(first_texts(signed, id_col)), threshold)
     return components(exact.union(near)).select(F.col("id").alias(id_col), F.col("component").alias("grp"))
 
 

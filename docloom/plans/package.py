@@ -6,7 +6,6 @@ branches read them.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +16,9 @@ from ..functions import text as tx
 from ..operators import chunking, health, packing, publish, similarity, snapshot
 from ..operators.ordering import numbered
 from ..sources import files
+from . import extraction
+from .progress import Progress
+from .publication import Store
 from .staging import staged
 
 
@@ -44,6 +46,7 @@ class Options:
     newest_first: bool = False
     force: bool = False
     least_ratio: float = publish.LEAST_RATIO
+    cache: str | None = None  # a folder that keeps extracted texts between runs
     extra: dict[str, str] = field(default_factory=dict)
 
     def legacy(self) -> Options:
@@ -115,15 +118,20 @@ def packed(chunks: DataFrame, options: Options) -> DataFrame:
     return chunks.join(placed, "index")
 
 
-def build(spark: SparkSession, options: Options) -> Package:
+def build(spark: SparkSession, options: Options, progress: Progress | None = None) -> Package:
+    """The tables of a run; ``progress`` is told rows and characters of each stage by the jobs that compute them."""
+    progress = progress or Progress()
     scanned = files.scan(files.listed(spark, options.root), options.root)
-    read = staged(files.extracted(scanned))
+    read = extraction.extracted(scanned, options.root, options.cache, progress) if options.cache else files.extracted(scanned)
+    read = staged(progress.watch("extract", read, ok=F.count_if(F.col("status") == "ok"), chars=F.coalesce(F.sum(F.length("text")), F.lit(0))))
+    progress.done("extract")
     texts, groups = deduplicated(read, options)
     ordered = files.order_files(texts, options.priority, options.newest_first)
     readable = ordered.where(F.col("keep"))
     found = pii.scan(tx.normalize_text(F.col("text")), options.dictionary) if options.sensitive != "off" else F.create_map().cast("map<string,bigint>")
     findings = pii.merge_findings(readable.select(found.alias("findings")))
-    chunks = staged(records(readable, options))
+    chunks = staged(progress.watch("chunk", records(readable, options), chars=F.coalesce(F.sum("text_length"), F.lit(0))))
+    progress.done("chunk")
     outcomes = ordered.select(
         "relative_path", "extension", "size", F.when(F.col("keep"), F.col("status")).otherwise("dedupe_excluded").alias("status"), "reason", "units_total", "units_ok", "failures",
         F.when(F.col("keep"), F.col("modified")).alias("modified"), F.length(tx.normalize_text(F.col("text"))).alias("text_length"), tx.token_estimate(tx.normalize_text(F.col("text"))).alias("token_estimate"),
@@ -153,39 +161,42 @@ def report(package: Package, today) -> DataFrame:
     return health.health_score(package.outcomes, today, F.lit(one), F.lit(over), F.lit(hits))
 
 
+def published(spark: SparkSession, out: str) -> str | None:
+    """The folder of the package that readers see; None before the first."""
+    return Store(spark, out).current()
+
+
 def publish_package(spark: SparkSession, package: Package, options: Options, stopped: bool = False) -> dict:
-    """Write to a staging folder, judge, and rename: readers see the old package or the new one.
+    """Judge, write a new version and point readers to it: at any moment they see one whole package.
 
     A held package leaves the published one as it is and only writes a notice.
+    Folders that crashed runs left behind and versions past the last few go.
     """
-    jvm = spark.sparkContext._jvm
-    path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs = path(options.out).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    now, state, notice = (f"{options.out}/{x}" for x in ("package", "state", "hold_notice"))
+    store = Store(spark, options.out)
+    now, notice = store.current(), f"{options.out}/hold_notice"
     new = package.chunks.count()
-    previous = spark.read.parquet(f"{now}/index").count() if fs.exists(path(f"{now}/index")) else None
+    previous = spark.read.parquet(f"{now}/index").count() if now else None
     had_source = not package.outcomes.isEmpty()
     row = publish.decide(spark.range(1), F.lit(options.force), F.lit(stopped), F.lit(had_source), F.lit(previous).cast("long"), F.lit(new), options.least_ratio).first()
+    told = {"publish": row["publish"], "reason": row["reason"], "previous": previous, "new": new}
     if not row["publish"]:
         spark.range(1).select(F.lit(row["reason"]).alias("reason"), F.lit(previous).cast("long").alias("previous"), F.lit(new).alias("new")).write.mode("overwrite").json(notice)
-        return {"publish": False, "reason": row["reason"], "previous": previous, "new": new}
+        return told
     texts = staged(part_texts(package.parts))
     hashes = texts.select(F.concat_ws("_", "grp", F.lpad(F.col("part").cast("string"), 3, "0")).alias("file_name"), tx.content_hash(F.col("text")).alias("sha"))
-    before = spark.read.parquet(state) if fs.exists(path(state)) else hashes.limit(0)
-    note = staged(snapshot.upload_note(before, hashes))
-    temp = f"{options.out}/.staging-{uuid.uuid4().hex}"
-    texts.write.json(f"{temp}/parts")
-    package.chunks.write.json(f"{temp}/chunks")
-    package.parts.where("part is not null").select("index", "relative_path", "chunk_index", "grp", "part").write.parquet(f"{temp}/index")
-    note.write.json(f"{temp}/upload_note")
-    old = f"{options.out}/archive/{uuid.uuid4().hex}"
-    if fs.exists(path(now)):
-        fs.mkdirs(path(f"{options.out}/archive"))
-        fs.rename(path(now), path(old))
-    fs.rename(path(temp), path(now))
-    hashes.write.mode("overwrite").parquet(state)
-    fs.delete(path(notice), True)
-    return {"publish": True, "reason": row["reason"], "previous": previous, "new": new}
+    before = spark.read.parquet(f"{now}/state") if now else hashes.limit(0)
+
+    def write(folder: str) -> None:
+        texts.write.json(f"{folder}/parts")
+        package.chunks.write.json(f"{folder}/chunks")
+        package.parts.where("part is not null").select("index", "relative_path", "chunk_index", "grp", "part").write.parquet(f"{folder}/index")
+        snapshot.upload_note(before, hashes).write.json(f"{folder}/upload_note")
+        hashes.write.parquet(f"{folder}/state")
+
+    told["folder"] = store.publish(write)
+    store.clean()
+    store.fs.delete(store._path(notice), True)
+    return told
 
 
 def dry_run(package: Package) -> DataFrame:

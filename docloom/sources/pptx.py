@@ -21,11 +21,14 @@ from .html import COLUMNS as PAGE_COLUMNS
 from .readers import A, P, R, _relations, _xml
 
 EMU = 12_700
-# What is left out, which placeholders have which role, and how shapes are called.
+DGM, CHART = "{http://schemas.openxmlformats.org/drawingml/2006/diagram}", "{http://schemas.openxmlformats.org/drawingml/2006/chart}"
+# What is left out, which placeholders have which role, how shapes are called, and codes of warnings.
 SKIPPED = ("ftr", "dt", "sldNum")
+DECOR = ("footer", "page_number", "confidential", "logo", "bar", "cover_background", "decor")
 ROLES = {"title": "title", "ctrTitle": "title", "subTitle": "subtitle", "body": "body", "obj": "body"}
 NAMED = ("title", "subtitle", "body", "caption", "card", "footer", "header")
 SHAPES = {"rect": "rect", "roundRect": "rounded_rect", "ellipse": "ellipse", "flowChartProcess": "rect", "flowChartAlternateProcess": "rounded_rect", "snip1Rect": "rect", "triangle": "triangle", "diamond": "diamond", "rightArrow": "arrow_right", "parallelogram": "parallelogram"}
+APPROXIMATED, NO_IMAGE, CROPPED, TEXT_ONLY, NO_SMARTART, NO_CHART, UNSUPPORTED = "SHAPE_APPROXIMATED", "IMAGE_READ_FAILED", "IMAGE_CROP_IGNORED", "SMARTART_TEXT_ONLY", "SMARTART_UNSUPPORTED", "CHART_UNSUPPORTED", "ELEMENT_UNSUPPORTED"
 TITLE_SHARE, TITLE_CHARS, TITLE_POINTS = 0.25, 80, 20.0
 
 Frame = tuple[float, float, float, float]
@@ -58,6 +61,19 @@ def _box(shape: ET.Element, frame) -> Frame | None:
     return None
 
 
+def _cropped(picture: ET.Element) -> bool:
+    """Whether more than a thousandth of a side is cut off."""
+    cut = picture.find(f"{P}blipFill/{A}srcRect")
+    return cut is not None and any(abs(int(cut.get(side, 0))) > 100 for side in "ltrb")
+
+
+def _turned(shape: ET.Element) -> float | None:
+    """Degrees that a shape is turned by, two decimals."""
+    at = shape.find(f"{P}spPr/{A}xfrm")
+    turn = int(at.get("rot", 0)) / 60_000 if at is not None else 0.0
+    return round(turn, 2) if abs(turn) > 0.01 else None
+
+
 def _paragraphs(body: ET.Element | None) -> list[tuple[str, int, float]]:
     """(text, level, largest size) of the paragraphs that have text."""
     out = []
@@ -96,9 +112,11 @@ class _Deck:
             kind = ph.get("type", "obj") if ph is not None else None
             if kind in SKIPPED:
                 continue
+            if name.rstrip("0123456789") in DECOR:
+                continue
             named = name.split(":")[0].strip().lower()
             role = named if named in NAMED else ROLES.get(kind or "")
-            base = {"role": role, "lines": [], "box": _box(s, frame), "size": 0.0, "columns": None, "column": None, "side": None, "pair_row": None, "header_rows": 0, "cells": None, "src": None, "alt": None, "keep_with_next": False, "shape": None}
+            base = {"role": role, "lines": [], "box": _box(s, frame), "size": 0.0, "columns": None, "column": None, "side": None, "pair_row": None, "header_rows": 0, "cells": None, "src": None, "alt": None, "keep_with_next": False, "asset": None, "shape": None, "name": name, "turned": _turned(s), "xml": s, "warn": None, "points": None}
             if s.tag == P + "grpSp":
                 inner, outer = s.find(f"{P}grpSpPr/{A}xfrm"), None
                 outer, child = _frame(inner), _frame(inner, "chOff", "chExt")
@@ -108,11 +126,12 @@ class _Deck:
                 blip = s.find(f".//{A}blip")
                 part = relations.get(blip.get(R + "embed", ""), ("", ""))[1] if blip is not None else ""
                 alt = next((n.get("descr", "") for n in s.iter(P + "cNvPr")), "")
-                yield base | {"type": "image", "src": self.asset(part), "alt": alt}
+                found = self.asset(part)
+                yield base | {"type": "image" if found else "unsupported", "src": found, "alt": alt, "warn": NO_IMAGE if not found else CROPPED if _cropped(s) else None}
             elif s.tag == P + "graphicFrame":
                 table = s.find(f".//{A}tbl")
                 if table is None:
-                    yield base | {"type": "unsupported"}
+                    yield base | self.framed(s, relations)
                     continue
                 rows = [["\n".join(t for t, *_ in _paragraphs(c.find(A + "txBody"))) for c in tr.findall(A + "tc")] for tr in table.findall(A + "tr")]
                 pr = table.find(A + "tblPr")
@@ -123,14 +142,41 @@ class _Deck:
                 paragraphs = _paragraphs(s.find(P + "txBody"))
                 geometry = s.find(f"{P}spPr/{A}prstGeom")
                 drawn = ph is None and geometry is not None and not (s.find(f"{P}nvSpPr/{P}cNvSpPr") is not None and s.find(f"{P}nvSpPr/{P}cNvSpPr").get("txBox") == "1")
-                filled = s.find(f"{P}spPr/{A}noFill") is None
                 if not paragraphs and not drawn:
                     continue
                 base |= {"lines": [t for t, *_ in paragraphs], "size": max((z for *_, z in paragraphs), default=0.0)}
-                if drawn and filled:
-                    yield base | {"type": "shape", "shape": SHAPES.get(geometry.get("prst", ""), "rect")}
+                painted = s.find(f"{P}spPr/{A}solidFill") is not None or s.find(f"{P}spPr/{A}ln/{A}solidFill") is not None
+                if drawn and (painted or not paragraphs):
+                    preset = geometry.get("prst", "")
+                    yield base | {"type": "shape", "shape": SHAPES.get(preset, "rect"), "warn": None if preset in SHAPES else APPROXIMATED}
                 else:
-                    yield base | {"type": "text"}
+                    yield base | {"type": "text", "role": role or "body", "warn": APPROXIMATED if drawn and geometry.get("prst", "") not in SHAPES else None}
+
+    def framed(self, frame: ET.Element, relations: dict) -> dict:
+        """What is known of a frame that holds no table: texts of SmartArt with their points, the title of a chart."""
+        ids, chart = frame.find(f".//{DGM}relIds"), frame.find(f".//{CHART}chart")
+        if ids is not None:
+            points = self.points(relations.get(ids.get(R + "dm", ""), ("", ""))[1])
+            texts = [t for _, kind, t in points[0] if kind not in ("doc", "pres") and t]
+            if texts:
+                return {"type": "text", "role": "body", "lines": texts, "points": points, "warn": TEXT_ONLY}
+            return {"type": "unsupported", "shape": "smartart", "warn": NO_SMARTART}
+        if chart is not None:
+            try:
+                title = _xml(self.z, relations.get(chart.get(R + "id", ""), ("", ""))[1]).find(f".//{CHART}title")
+            except (KeyError, ET.ParseError):
+                title = None
+            return {"type": "unsupported", "shape": "chart", "alt": "".join(t.text or "" for t in title.iter(A + "t")) if title is not None else None, "warn": NO_CHART}
+        return {"type": "unsupported", "warn": UNSUPPORTED}
+
+    def points(self, part: str) -> tuple[list[tuple[str, str, str]], list[tuple[str, str, int]]]:
+        """((id, type, text) of the points, (parent, child, place) of the connections) of a SmartArt part."""
+        try:
+            tree = _xml(self.z, part)
+        except (KeyError, ET.ParseError):
+            return [], []
+        points = [(p.get("modelId", ""), p.get("type", "node"), "".join(t.text or "" for t in p.iter(A + "t")).strip()) for p in tree.iter(DGM + "pt")]
+        return points, [(c.get("srcId", ""), c.get("destId", ""), int(c.get("srcOrd", 0))) for c in tree.iter(DGM + "cxn") if c.get("type", "parOf") == "parOf"]
 
     def slides(self) -> Iterator[dict]:
         deck, relations = _xml(self.z, "ppt/presentation.xml"), _relations(self.z, "ppt/presentation.xml")
@@ -142,7 +188,7 @@ class _Deck:
             infer_title(elements, page[1])
             title = next((e["lines"][0] for e in elements if e["role"] == "title" and e["lines"]), None)
             notes = [t for kind, target in own.values() if kind == "notesSlide" for x in _xml(self.z, target).iter(P + "sp") if (ph := x.find(f".//{P}ph")) is not None and ph.get("type") == "body" for t, *_ in _paragraphs(x.find(P + "txBody"))]
-            yield {"title": title, "layout": layout_of(elements, n), "elements": elements, "notes": "\n".join(notes)}
+            yield {"title": title, "layout": layout_of(elements, n), "elements": elements, "notes": "\n".join(notes), "part": part, "height": page[1]}
 
 
 def infer_title(elements: list[dict], height: float) -> None:
@@ -170,7 +216,7 @@ def slides_of(raw: bytes) -> list[dict]:
     return list(_Deck(raw).slides())
 
 
-COLUMNS = [*PAGE_COLUMNS, ("shape", pa.string(), "string"), ("x", pa.float64(), "double"), ("y", pa.float64(), "double"), ("w", pa.float64(), "double"), ("h", pa.float64(), "double"), ("size_pt", pa.float64(), "double"), ("notes", pa.string(), "string")]
+COLUMNS = [*PAGE_COLUMNS, ("shape", pa.string(), "string"), ("x", pa.float64(), "double"), ("y", pa.float64(), "double"), ("w", pa.float64(), "double"), ("h", pa.float64(), "double"), ("size_pt", pa.float64(), "double"), ("notes", pa.string(), "string"), ("name", pa.string(), "string"), ("turned", pa.float64(), "double")]
 
 
 def elements(decks: DataFrame, id_col: str = "page_id", content_col: str = "content") -> DataFrame:

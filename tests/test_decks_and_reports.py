@@ -40,7 +40,7 @@ def deck(*slides):
     return b.getvalue()
 
 
-RECT = '<a:prstGeom prst="roundRect"/>'
+RECT = '<a:prstGeom prst="roundRect"/><a:solidFill><a:srgbClr val="112233"/></a:solidFill>'
 GROUP = f'<p:grpSp><p:nvGrpSpPr><p:cNvPr id="9" name="g"/><p:nvPr/></p:nvGrpSpPr><p:grpSpPr>{at(100, 200, 400, 100, more=f"""<a:chOff x="0" y="0"/><a:chExt cx="{200 * 12700}" cy="{50 * 12700}"/>""")}</p:grpSpPr>{shape("1. one", at(0, 0, 50, 50), geometry=RECT)}{shape("2. two", at(100, 0, 50, 50), geometry=RECT)}</p:grpSp>'
 PICTURE = '<p:pic><p:nvPicPr><p:cNvPr id="3" name="x" descr="alt"/><p:nvPr/></p:nvPicPr><p:blipFill><a:blip r:embed="i1"/></p:blipFill></p:pic>'
 TABLE = '<p:graphicFrame><p:nvGraphicFramePr><p:cNvPr id="4" name="t"/><p:nvPr/></p:nvGraphicFramePr><a:graphic><a:graphicData><a:tbl><a:tblPr firstRow="1"/>' + "".join("<a:tr>" + "".join(f"<a:tc><a:txBody><a:p><a:r><a:t>{c}</a:t></a:r></a:p></a:txBody></a:tc>" for c in row) + "</a:tr>" for row in ("ab", "12")) + "</a:tbl></a:graphicData></a:graphic></p:graphicFrame>"
@@ -51,7 +51,7 @@ def test_deck(spark):
     decks = spark.createDataFrame([(1, raw), (2, b"broken"), (3, None)], "page_id int, content binary")
     rows = pptx.elements(decks).orderBy("slide_no", "el_no").collect()
     assert {r.page_id for r in rows} == {1}
-    assert [(r.slide_no, r.type, r.role, r.lines) for r in rows[:6]] == [(1, "text", "title", ["Deck"]), (1, "text", "subtitle", ["about"]), (2, "text", None, ["Small"]), (2, "text", "title", ["Work"]), (2, "shape", None, ["1. one"]), (2, "shape", None, ["2. two"])]
+    assert [(r.slide_no, r.type, r.role, r.lines) for r in rows[:6]] == [(1, "text", "title", ["Deck"]), (1, "text", "subtitle", ["about"]), (2, "text", "body", ["Small"]), (2, "text", "title", ["Work"]), (2, "shape", None, ["1. one"]), (2, "shape", None, ["2. two"])]
     assert (rows[5].x, rows[5].y, rows[5].w, rows[5].h, rows[5].shape) == (300.0, 200.0, 100.0, 100.0, "rounded_rect")
     assert rows[6].cells == [["a", "b"], ["1", "2"]] and rows[6].header_rows == 1 and [r.src for r in rows[7:]] == ["img001.png"] * 2 and rows[7].alt == "alt" and rows[0].notes == "say this"
     assert [r.layout for r in (rows[0], rows[2], rows[6])] == ["title", "title_body", "table"]

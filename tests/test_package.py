@@ -90,10 +90,10 @@ def test_package_end_to_end(spark, folder, tmp_path):
     first = pk.publish_package(spark, got, options)
     assert first["publish"] and first["reason"] == "first run"
     again = pk.publish_package(spark, got, options)
-    assert again["publish"] and spark.read.json(f"{options.out}/package/upload_note").select("state").distinct().collect()[0][0] == "unchanged"
+    assert again["publish"] and again["folder"] == pk.published(spark, options.out) and spark.read.json(f"{again['folder']}/upload_note").select("state").distinct().collect()[0][0] == "unchanged"
     held = pk.publish_package(spark, got, options, stopped=True)
     assert not held["publish"] and spark.read.json(f"{options.out}/hold_notice").first().reason == "hold: stopped"
-    assert spark.read.json(f"{options.out}/package/chunks").count() == len(chunks)
+    assert spark.read.json(f"{pk.published(spark, options.out)}/chunks").count() == len(chunks)
     assert pk.dry_run(got).first().n_chunks == len(chunks)
 
 

@@ -25,7 +25,6 @@ def test_theme(spark):
 
 @pytest.mark.parametrize("steps, want", [([("shade", 0.5)], "#00BC00"), ([], "#00FF00"), ([("lumMod", 0.5)], "#008000"), ([("inv", 0.0)], "#FF00FF"), ([("gray", 0.0)], "#969696"), ([("lumMod", 0.4), ("lumOff", 0.6)], "#99FF99"), ([("hueOff", 120.0)], "#0000FF"), ([("satMod", 0.0)], "#808080"), ([("tint", 0.0)], "#FFFFFF")])
 def test_colour_steps(spark, steps, want):
-    assert color.transform_color("#00FF00", steps) == want
     rows = spark.createDataFrame([("#00FF00", [{"op": a, "value": b} for a, b in steps]), (None, None)], "c string, s array<struct<op:string,value:double>>")
     assert [r[0] for r in rows.select(color.transformed(F.col("c"), F.col("s"))).collect()] == [want, None]
 
@@ -91,3 +90,29 @@ def test_css_text():
     assert theme.without_comments("a/* b */c/* d").split() == ["a", "c/*", "d"]
     assert theme.substituted("1px var(--a, red) var( --b ) var(--c)", {"--b": "#fff"}) == "1px red #fff "
     assert [theme.hex_of(x) for x in ("#abc", "#A1B2C3", "#abcd", "abc", "rgb(1, 2, 300)", "rgba(1,2,3,0.0)", "rgba(1,2,3,.5)", "rgb(1.5,2,3)", "rgb(1%,2%,3%)", "red")] == ["#AABBCC", "#A1B2C3", None, None, "#0102FF", None, "#010203", None, None, None]
+
+
+def png(width):
+    return b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + width.to_bytes(4, "big") + b"\0\0\0\x05"
+
+
+@pytest.mark.parametrize("src, want", [("img/a.png", "x/img/a.png"), ("../img/a.png", "x/img/a.png"), ("a.png?v=1", "x/img/a.png"), ("other/a.png", "x/img/a.png"), ("b%20c.gif", "b c.gif"), ("http://h/a.png", None), ("//h/a.png", None), ("data:,a.png", None), ("no.png", None), ("", None), ("W.JPG", "win\\W.JPG")])
+def test_asset_of(src, want):
+    assert html.asset_of(src, ["x/img/a.png", "b c.gif", "win\\W.JPG"]) == want
+
+
+def test_pictures_that_come_with_a_page(spark):
+    page = '<section><h2>T</h2><p>before</p><img src="{}"></section>'
+    pages = spark.createDataFrame([(1, page.format("img/wide.png")), (2, page.format("img/small.png")), (3, page.format("http://h/a.png")), (4, page.format("gone.png")), (5, "<section><h2>Only</h2></section>"), (6, ""), (7, page.format("data:,x")), (8, page.format("notes.txt"))], "page_id int, html string")
+    assets = spark.createDataFrame([(1, "img/wide.png", png(900)), (2, "img/small.png", png(300)), (2, "img/small.png", png(300)), (4, None, None), (8, "notes.txt", b"text"), (9, "z", b"")], "page_id int, path string, content binary")
+    found = html.elements(pages, assets=assets).cache()
+    rows = {r.page_id: (r.asset, r.pair_row, r.side) for r in found.where("type = 'image'").collect()}
+    assert rows == {1: ("img/wide.png", None, None), 2: ("img/small.png", 1, "right"), 3: (None, 1, "right"), 4: (None, 1, "right"), 7: (None, 1, "right"), 8: ("notes.txt", 1, "right")}
+    got = {(r.page_id, r.slide_no, r.code, r.detail) for r in html.warnings(pages, found).collect()}
+    assert got == {(3, 1, "REMOTE_IMAGE_SKIPPED", "http://h/a.png"), (4, 1, "IMAGE_NOT_FOUND", "gone.png"), (5, 1, "SLIDE_HAS_NO_CONTENT", "Only"), (6, None, "NO_CONTENT", None)}
+    assert {r.asset for r in html.elements(pages).collect()} == {None}
+
+
+@pytest.mark.parametrize("classes, want", [("card", True), ("my-card big", True), ("CARD_2", True), ("cards", False), ("discard", False), ("", False)])
+def test_names_of_classes(classes, want):
+    assert html.is_called(classes, html.CARD) is want
