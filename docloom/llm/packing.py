@@ -165,15 +165,14 @@ def repacked(patterns: Patterns, capacity: int) -> Patterns:
 def few_bins(counts: list[int], capacity: int) -> Patterns:
     """Fillings of few bins for a histogram of lengths.
 
-    Best-fit decreasing of everything is the first incumbent.  Unless it
-    meets the bound by volume, bin completion tries to beat it, and the
-    emptiest bins of the better one are searched by branch and bound.
+    Bin completion makes them: around the largest piece left, with a bound on
+    what may be wasted.  Best-fit decreasing of everything is the incumbent,
+    and stands only where completion needs more bins.  Above the bound by
+    volume, the emptiest bins are searched once more by branch and bound.
     """
-    best = best_fit_patterns(counts, capacity)
-    bound = -(-sum(x * c for x, c in enumerate(counts)) // capacity)
-    if bins_of(best) > bound:
-        best = complete(counts, capacity, bins_of(best)) or best
-    if bins_of(best) > bound:
+    incumbent = best_fit_patterns(counts, capacity)
+    best = complete(counts, capacity, bins_of(incumbent) + 1) or incumbent
+    if bins_of(best) > -(-sum(x * c for x, c in enumerate(counts)) // capacity):
         best = repacked(best, capacity)
     return best
 
