@@ -665,11 +665,11 @@ def _case(key: str, values: list) -> str:
 
 
 @query(f"""
-with k as (select p_partkey, p_size % 4 as tag, (p_partkey * 7919) % 16777216 as n, case p_partkey % 3 when 0 then 0x1F2A3B when 1 then 0xC05A11 end as slot from part),
+with k as (select p_partkey, p_size % 4 as tag, (p_partkey * 7919) % 16777216 as n, case p_partkey % 3 when 0 then '0x1F2A3B'::int when 1 then '0xC05A11'::int end as slot from part),
 c0 as (select p_partkey, {', '.join(f"case when tag = 2 then round_even(((p_partkey * {k}) % 1000) / 1000.0 * 255, 0) / 255 when tag = 3 then ((slot >> {z}) & 255) / 255.0::double else ((n >> {z}) & 255) / 255.0::double end as {c}" for c, k, z in (('r', 3, 16), ('g', 7, 8), ('b', 11, 0)))} from k),
 {_step_sql(0, _case('p_partkey % 10', _OPS), _case('p_partkey % 10', _VALUES))},
 {_step_sql(1, _case('(p_partkey // 10) % 10', _OPS), _case('(p_partkey // 10) % 10', _VALUES))}
-select p_partkey, '#' || {" || ".join(f"upper(lpad(format('{{:x}}', round_even(least(1, greatest(0, {c})) * 255, 0)::bigint), 2, '0'))" for c in 'rgb')} as color from c2""")
+select p_partkey, case when known then '#' || {" || ".join(f"upper(lpad(format('{{:x}}', round_even(least(1, greatest(0, {c})) * 255, 0)::bigint), 2, '0'))" for c in 'rgb')} end as color from c2 join (select p_partkey, r is not null as known from c0) using (p_partkey)""")
 def theme_colors(spark, d):
     """Colour elements of all four kinds on a theme with a map and a missing slot, each after two steps."""
     key = C("p_partkey")
@@ -716,7 +716,7 @@ _KINDS = ["kpi", "timeline", "compare", "flow"]
 
 
 @query(f"""
-with e as (select l_orderkey as page_id, l_linenumber as el_no, {_case('l_orderkey % 4', _KINDS)} as kind, 'd' || (l_linenumber % 2) as diagram, 's' || l_suppkey as head, l_returnflag as flag, l_linestatus as mark,
+with e as (select l_orderkey as page_id, l_linenumber * 1000000 + l_partkey as el_no, {_case('l_orderkey % 4', _KINDS)} as kind, 'd' || (l_linenumber % 2) as diagram, 's' || l_suppkey as head, l_returnflag as flag, l_linestatus as mark,
   (l_partkey % 3) * 100.0 + l_suppkey % 2 as x, (l_quantity * 3)::double as y from lineitem),
 c as (select *, (l_part)::int as col from (select *, floor(x / 100) as l_part from e)),
 n as (select *, row_number() over (partition by page_id, kind, diagram, col order by floor(y / 20), x, el_no) as nth, lead(head) over (partition by page_id, kind, diagram, col order by floor(y / 20), x, el_no) as below from c),
@@ -730,7 +730,7 @@ def diagram_items(spark, d):
     kind = F.element_at(F.array(*[F.lit(k) for k in _KINDS]), (order % 4 + 1).cast("int"))
     name = F.concat_ws(":", F.lit("diagram"), kind, F.concat(F.lit("d"), (C("l_linenumber") % 2).cast("string")), C("l_linenumber").cast("string"))
     boxes = _t(spark, d, "lineitem").select(
-        order.alias("page_id"), F.lit(1).alias("slide_no"), C("l_linenumber").alias("el_no"), name.alias("name"), F.array(F.concat(F.lit("s"), C("l_suppkey").cast("string")), F.lit(" "), "l_returnflag", "l_linestatus").alias("lines"),
+        order.alias("page_id"), F.lit(1).alias("slide_no"), (C("l_linenumber") * 1000000 + C("l_partkey")).alias("el_no"), name.alias("name"), F.array(F.concat(F.lit("s"), C("l_suppkey").cast("string")), F.lit(" "), "l_returnflag", "l_linestatus").alias("lines"),
         ((C("l_partkey") % 3) * 100.0 + C("l_suppkey") % 2).alias("x"), (C("l_quantity") * 3).cast("double").alias("y"), F.lit(50.0).alias("w"), F.lit(10.0).alias("h"),
     )
     return diagrams.items(diagrams.members(boxes)).drop("slide_no")

@@ -17,8 +17,8 @@ from ..plans.staging import staged
 from .components import components
 
 SHINGLE, SKETCH, THRESHOLD = 5, 200, 0.9
-#: Lengths may differ by this share of the threshold; rows of a sketch value that one cell compares, about.
-LENGTHS, BLOCK = 0.9, 1000
+#: Lengths may differ by this share of the threshold; rows of a sketch value that one cell compares, about; values that candidates share at least.
+LENGTHS, BLOCK, SHARED = 0.9, 1000, 8
 _SPACES = re.compile(r"\s+")
 
 
@@ -69,12 +69,13 @@ def first_texts(signed: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def prefixes(firsts: DataFrame, threshold: float) -> DataFrame:
-    """(id, length, h, band, slot, part, parts): the sketch values by which a document can meet others.
+    """(id, length, n, h, band, slot, part, parts): the sketch values by which a document can meet others.
 
-    Two sketches at the threshold share that part of the larger one, so they
-    share one of the ``size - ceil(threshold * size) + 1`` values of each that
-    come first in any order common to all; the rarest values come first here,
-    so frequent ones pair nothing.  Lengths at the threshold differ by so
+    Two sketches at the threshold share that part of the larger one, so the
+    first SHARED values that they share are among the ``size -
+    ceil(threshold * size) + SHARED`` of each that come first in any order
+    common to all; the rarest values come first here, so frequent ones pair
+    little.  Lengths at the threshold differ by so
     little that their bands are equal or neighbours: a row stands in the slot
     of its band and in the next.  A value that many rows share is cut into
     parts of about BLOCK rows.
@@ -82,16 +83,16 @@ def prefixes(firsts: DataFrame, threshold: float) -> DataFrame:
     each = firsts.select("id", "length", F.explode("sketch").alias("h"), F.size("sketch").alias("n"))
     freq = each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     known = each.join(freq, "h").groupBy("id", "length", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("known"))  # SKETCH values at most
-    wanted = F.col("n") - F.ceil(F.col("n") * threshold) + 1 - (F.col("n") - F.size("known"))
+    wanted = F.col("n") - F.ceil(F.col("n") * threshold) + SHARED - (F.col("n") - F.size("known"))
     band = F.floor(F.ln(F.col("length").cast("double")) / -math.log(0.999 * threshold * LENGTHS)).cast("int")
-    rows = known.select("id", "length", band.alias("band"), F.explode(F.slice("known", F.lit(1), F.greatest(wanted, F.lit(0)).cast("int"))).alias("x"))
-    rows = rows.select("id", "length", "band", F.explode(F.array("band", F.col("band") + 1)).alias("slot"), F.col("x.h").alias("h"))
+    rows = known.select("id", "length", "n", band.alias("band"), F.explode(F.slice("known", F.lit(1), F.greatest(wanted, F.lit(0)).cast("int"))).alias("x"))
+    rows = staged(rows.select("id", "length", "n", "band", F.explode(F.array("band", F.col("band") + 1)).alias("slot"), F.col("x.h").alias("h")))
     sizes = rows.groupBy("h", "slot").agg(F.count("*").alias("rows")).where("rows > 1").select("h", "slot", F.ceil(F.col("rows") / BLOCK).cast("int").alias("parts"))
     return rows.join(sizes, ["h", "slot"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
 
 
-def candidates(rows: DataFrame, apart: str | None = None) -> DataFrame:
-    """(a, b), a < b, of the rows of :func:`prefixes` that meet in a slot and a value; with ``apart``, only if that column differs.
+def candidates(rows: DataFrame, threshold: float, apart: str | None = None) -> DataFrame:
+    """(a, b), a < b, of the rows of :func:`prefixes` that meet in as many values as they must; with ``apart``, only if that column differs.
 
     Each part of a value meets each part in a cell of its own.
     """
@@ -105,7 +106,8 @@ def candidates(rows: DataFrame, apart: str | None = None) -> DataFrame:
     on = on & (F.greatest("p.band", "q.band") == F.col("p.slot"))
     if apart:
         on = on & (F.col(f"p.{apart}") != F.col(f"q.{apart}"))
-    return p.join(q, on).select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
+    met = p.join(q, on).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), F.ceil(F.greatest("p.n", "q.n") * threshold).alias("least"))
+    return met.groupBy("a", "b").agg(F.count("*").alias("met"), F.first("least").alias("least")).where(F.col("met") >= F.least(F.lit(SHARED), F.col("least"))).select("a", "b")
 
 
 def confirmed(pairs: DataFrame, firsts: DataFrame, threshold: float) -> DataFrame:
@@ -123,28 +125,33 @@ def similar_pairs(signed: DataFrame, threshold: float = THRESHOLD, id_col: str =
     rule wants it.
     """
     firsts = staged(first_texts(signed, id_col))
-    return confirmed(candidates(prefixes(firsts, threshold)), firsts, threshold)
+    return confirmed(candidates(staged(prefixes(firsts, threshold)), threshold), firsts, threshold)
 
 
 def near_links(firsts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b): similar pairs that connect what :func:`similar_pairs` connects, without listing all pairs of a group.
 
-    Neighbours by length in a value's part are compared first.  Values whose
-    rows are all connected then are done; of the others, only documents of
+    Where a value has so many rows that it is cut into parts, neighbours by
+    length that meet in several values are compared first.  Values whose rows
+    are all connected then are done; of the others, only documents of
     different groups are compared.
     """
     rows = staged(prefixes(firsts, threshold))
+    if rows.where("parts > 1").isEmpty():
+        return confirmed(candidates(rows, threshold), firsts, threshold).select("a", "b")
     along = W.partitionBy("h", "slot", "part").orderBy("length", "id")
     near = rows.select("id", F.lag("id").over(along).alias("before")).where("before is not null")
-    chained = staged(confirmed(near.select(F.least("id", "before").alias("a"), F.greatest("id", "before").alias("b")).distinct(), firsts, threshold).select("a", "b"))
-    named = rows.join(components(chained), "id", "left").withColumn("grp", F.coalesce("component", "id")).drop("component")
+    often = near.groupBy(F.least("id", "before").alias("a"), F.greatest("id", "before").alias("b")).count().where(F.col("count") >= SHARED).select("a", "b")
+    chained = staged(confirmed(often, firsts, threshold).select("a", "b"))
+    named = staged(rows.join(components(chained), "id", "left").withColumn("grp", F.coalesce("component", "id")).drop("component"))
     mixed = named.groupBy("h", "slot").agg(F.min("grp").alias("least"), F.max("grp").alias("most")).where("least <> most").select("h", "slot")
-    rest = candidates(staged(named.join(mixed, ["h", "slot"])), "grp")
+    rest = candidates(staged(named.join(mixed, ["h", "slot"])), threshold, "grp")
     return chained.union(confirmed(rest, firsts, threshold).select("a", "b"))
 
 
 def similar_groups(signed: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id") -> DataFrame:
     """(id, group): the documents of groups of two or more; a group is named by its first document."""
+    signed = staged(signed)
     first = signed.where("length > 0").groupBy("sha").agg(F.min(id_col).alias("first"))
     exact = signed.join(first, "sha").select(F.col(id_col).alias("a"), F.col("first").alias("b")).where("a <> b")
     near = near_links(staged(first_texts(signed, id_col)), threshold)

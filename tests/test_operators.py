@@ -87,12 +87,17 @@ def test_best_fit_choice(sizes, limit):
 # -- similarity ---------------------------------------------------------------------
 
 
-def test_similar_pairs_against_all_pairs(spark):
+@pytest.mark.parametrize("block, shared", [(1000, 8), (5, 8), (3, 1)])
+def test_similar_pairs_against_all_pairs(spark, monkeypatch, block, shared):
+    """Also where values are so crowded that they are cut into parts."""
+    monkeypatch.setattr(similarity, "BLOCK", block)
+    monkeypatch.setattr(similarity, "SHARED", shared)
     rng = random.Random(2)
     base = " ".join(f"word{rng.randrange(60)}" for _ in range(120))
     texts = [base, base + " one more line", base.replace("word1 ", "WORD1  "), base[:-40], "xyz " * 60, "", "  ", "abc", "ABC ", base + base[::-1]]
     texts += [" ".join(f"w{rng.randrange(30)}" for _ in range(rng.randrange(1, 80))) for _ in range(25)]
     texts += [t + "!" for t in texts[12:20]]
+    texts += [base + f" tail {rng.randrange(1000)}" * rng.randrange(1, 4) for _ in range(24)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     signed = similarity.signatures(docs)
     s = {i: (similarity.folded(t), similarity.sketch_of(similarity.folded(t))) for i, t in enumerate(texts)}
