@@ -1,13 +1,17 @@
 """Language-model scores by a weighted backoff automaton over n-grams.
 
-The states are the n-grams of the training texts, all of them.  A state's arc
-for a seen word carries the word's share of the state's count, and its failure
-arc carries PRIOR occurrences' worth of weight to the state one word shorter,
-down to smoothed word counts.  Every text is read once from left to right.
+A state is a gram of the training texts that can be a context.  Its arc for a
+word seen behind it carries the log-probability of that word and leads to the
+longest known context then; its failure arc carries the weight that is left to
+unseen words and leads to the state one word shorter, down to the root, whose
+arcs are smoothed word counts.  Every text is read once from left to right: a
+state is carried along, and the weights of the arcs taken are added up.
 
 Counts grow with the corpus, so they never leave the executors: texts are dealt
 into chunks of bounded bytes, a chunk sends the sorted keys of its own grams,
-and the corpus counts come back in the order in which they were asked for.
+and the corpus counts come back in the order in which they were asked for.  A
+slice of a chunk then builds the part of the automaton that its own texts can
+reach, and walks it.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ WORD_BITS, SPARE_BITS = 63, 16
 HELD = 3_000_000
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 _SLICE = 1 << 20
+#: Words of a text that are read one after the other; longer texts are read in several stretches.
+STRETCH = 512
 
 
 # -- sequences ---------------------------------------------------------------------
@@ -226,26 +232,101 @@ def _answered(asked: DataFrame) -> DataFrame:
     return asked.groupBy("part").applyInArrow(answer, "chunk int, part long, word_c binary, gram_c binary")
 
 
-def walked(seq, starts, found, counts, total: int, distinct: int, texts: int, prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(whether the token is known, log10 of its base probability, log10 of its probability) at each place.
+class Automaton:
+    """The states and arcs that the texts of a slice can reach.
 
-    ``counts`` has the corpus count of the gram of each order that ends at each place.  The
-    state before a token is its longest context; a context that never
-    occurred passes all weight on.
+    ``counts`` has the corpus count of the gram of each order that ends at each
+    place.  State 0 is the root; then come words, then longer grams, order by
+    order.  Arcs are kept by (state, word), ascending.
     """
-    n = counts[0].astype(np.float64)
-    n[seq == END], n[starts] = texts, 0
-    known = n > 0
-    p = (n + 1.0) / (total + distinct + 1.0)
-    base = np.log10(p)
-    n[starts] = texts
-    for level in range(1, len(found)):
-        c, ok = counts[level].astype(np.float64), found[level][1]
-        p[1:] = np.where(ok[1:], (c[1:] + prior * p[1:]) / (n[:-1] + prior), p[1:])
-        n = c
-    score = np.log10(p)
-    base[starts] = score[starts] = 0
-    return known, base, score
+
+    def __init__(self, seq, starts, found, counts, total: int, distinct: int, texts: int, prior: float):
+        vocabulary, self.word = np.unique(seq, return_inverse=True)
+        n = counts[0].astype(np.float64)
+        n[seq == END], n[starts] = texts, 0
+        self.known, self.words = n > 0, len(vocabulary)
+        p = (n + 1.0) / (total + distinct + 1.0)
+        self.base = np.log10(p)
+        n[starts] = texts
+        #: at each place: the state of the longest known context that ends there; words are contexts from order 2 on
+        at = np.where(n > 0, 1 + self.word, 0) * (len(found) > 1)
+        self.root_weight, self.root_to = (np.zeros(self.words, t) for t in (np.float64, np.int64))
+        self.root_weight[self.word], self.root_to[self.word] = self.base, at
+        fail, left = [np.zeros(1 + self.words, np.int64)], [np.zeros(1 + self.words)]
+        with np.errstate(divide="ignore"):
+            left[0][1 + self.word] = np.log10(prior / (n + prior))
+            size, of_level = 1 + self.words, np.where(n > 0, 1 + self.word, -1)
+            arcs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for level in range(1, len(found)):
+                keys, ok = found[level]
+                c = counts[level].astype(np.float64)
+                seen = np.flatnonzero(ok & (c > 0))
+                p[1:] = np.where(ok[1:], (c[1:] + prior * p[1:]) / (n[:-1] + prior), p[1:])
+                source = of_level[seen - 1]
+                own = np.full(len(seq), -1)  # the state of the gram that ends at each place
+                if level < len(found) - 1:  # these grams are contexts, too
+                    distinct_keys, first, which = np.unique(keys[seen], return_index=True, return_inverse=True)
+                    own[seen] = size + which
+                    fail.append(at[seen[first]])
+                    left.append(np.log10(prior / (c[seen[first]] + prior)))
+                    size += len(distinct_keys)
+                    at = np.where(own >= 0, own, at)
+                arcs.append((source * self.words + self.word[seen], np.log10(p[seen]), at[seen]))
+                n, of_level = c, own
+        self.fail, self.left = np.concatenate(fail), np.concatenate(left)
+        keys, weights, to = (np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(zip(*arcs) if arcs else ((), (), ()), (np.int64, np.float64, np.int64)))
+        self.arcs, first = np.unique(keys, return_index=True)
+        self.weights, self.to = weights[first], to[first]
+        self.begin = int(at[starts[0]]) if len(starts) else 0
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(weight, next state) of reading a word in each state: its arc, or the failure arcs down to a state that has one."""
+        weight, out = np.zeros(len(state)), np.empty(len(state), np.int64)
+        open_, state = np.arange(len(state)), state.copy()
+        while len(open_):
+            now = state[open_]
+            root = now == 0
+            done = open_[root]
+            weight[done] += self.root_weight[word[done]]
+            out[done] = self.root_to[word[done]]
+            open_, now = open_[~root], now[~root]
+            key = now * self.words + word[open_]
+            place = np.minimum(np.searchsorted(self.arcs, key), max(len(self.arcs) - 1, 0))
+            hit = self.arcs[place] == key if len(self.arcs) else np.zeros(len(key), bool)
+            done = open_[hit]
+            weight[done] += self.weights[place[hit]]
+            out[done] = self.to[place[hit]]
+            open_, now = open_[~hit], now[~hit]
+            weight[open_] += self.left[now]
+            state[open_] = self.fail[now]
+        return weight, out
+
+
+def walked(seq, starts, automaton: Automaton, order: int) -> np.ndarray:
+    """The log10 weight of each token, texts read from left to right, many at once.
+
+    A long text is read in stretches.  One that begins inside a text first
+    reads the ``order`` - 1 words before it, which decide the state there.
+    """
+    ends = np.append(starts, len(seq))[1:]
+    first = [np.arange(s + 1, e, STRETCH) for s, e in zip(starts, ends)]
+    begin = np.concatenate(first) if first else np.zeros(0, np.int64)
+    end = np.concatenate([np.append(f, e)[1:] for f, e in zip(first, ends)]) if first else begin
+    inside = np.ones(len(begin), bool)
+    inside[np.cumsum([0, *map(len, first)])[:-1]] = False
+    at = np.where(inside, begin - (order - 1), begin)
+    by = np.argsort(at - end, kind="stable")  # longest first
+    begin, end, at, inside = begin[by], end[by], at[by], inside[by]
+    state = np.where(inside, 0, automaton.begin)
+    out = np.zeros(len(seq))
+    while len(at):
+        weight, state = automaton.step(state, automaton.word[at])
+        told = at >= begin
+        out[at[told]] = weight[told]
+        at = at + 1
+        going = int(np.searchsorted(at - end, 0))
+        at, end, begin, state = at[:going], end[:going], begin[:going], state[:going]
+    return out
 
 
 def score_documents(docs: DataFrame, held_out, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", prior: float = PRIOR) -> DataFrame:
@@ -297,7 +378,9 @@ def score_documents(docs: DataFrame, held_out, order: int = ORDER, id_col: str =
                 c[ok] = everywhere[kind][taken[kind] : taken[kind] + m]
                 taken[kind] += m
                 counts.append(c)
-            seen, base, weight = walked(seq, starts, found, counts, total, distinct, texts, prior)
+            automaton = Automaton(seq, starts, found, counts, total, distinct, texts, prior)
+            seen, base, weight = automaton.known, automaton.base, walked(seq, starts, automaton, order)
+            base[starts] = 0
             cols[0].append(np.diff(np.append(starts, len(seq))) - 1)
             for to, v in zip(cols[1:], (seen.astype(np.int64), base, weight)):
                 to.append(np.add.reduceat(v, starts))
