@@ -695,6 +695,32 @@ def inherited_values(spark, d):
     return layers.first_known(rows, ["c_custkey"])
 
 
+@query("""
+with r as (select p_partkey, case when p_partkey % 4 = 0 then '#112233' end as color, case p_partkey % 3 when 0 then 12.5 end as size_pt, case p_partkey % 5 when 0 then true when 1 then false end as bold, case p_partkey % 7 when 0 then 'left' end as align,
+  case p_size % 5 when 0 then '#0a7' when 1 then 'rgb(16, 32, 48)' when 2 then 'red' when 3 then '#333333' end as css_color, case when p_size % 2 = 0 then p_size || 'px' when p_size % 3 = 0 then '2em' end as css_size,
+  case p_size % 4 when 0 then '700' when 1 then '500' when 2 then 'bold' end as css_weight, case p_size % 6 when 0 then 'center' when 1 then 'left' when 2 then 'justify' end as css_align from part),
+v as (select *, case css_color when '#0a7' then '#00AA77' when 'rgb(16, 32, 48)' then '#102030' end as shade, case when css_size like '%px' then nullif(round_even(replace(css_size, 'px', '')::double / (96 / 72.0), 1), 0) end as pt, css_weight in ('700', 'bold') as heavy from r),
+f as (select *, case when color is null then shade end as c, case when size_pt is null then pt end as s, case when not coalesce(bold, false) and heavy then true end as b from v)
+select p_partkey, coalesce(c, color) as color, coalesce(s, size_pt)::double as size_pt, coalesce(b, bold) as bold, coalesce(align, case when css_align in ('center', 'justify') then css_align end) as align,
+concat_ws(',', case when c is not null then 'color' end, case when s is not null then 'size_pt' end, case when b is not null then 'bold' end) as inherited from f""")
+def applied_styles(spark, d):
+    """Runs that say some of their style themselves, in surroundings that say some; the page's own colour is #333333."""
+    key, size = C("p_partkey"), C("p_size")
+    says = lambda k, v: F.when(v.isNotNull(), F.create_map(F.lit(k), v)).otherwise(F.create_map().cast("map<string,string>"))
+    css = {
+        "color": F.when(size % 5 == 0, "#0a7").when(size % 5 == 1, "rgb(16, 32, 48)").when(size % 5 == 2, "red").when(size % 5 == 3, "#333333"),
+        "font-size": F.when(size % 2 == 0, F.concat(size.cast("string"), F.lit("px"))).when(size % 3 == 0, "2em"),
+        "font-weight": F.when(size % 4 == 0, "700").when(size % 4 == 1, "500").when(size % 4 == 2, "bold"),
+        "text-align": F.when(size % 6 == 0, "center").when(size % 6 == 1, "left").when(size % 6 == 2, "justify"),
+    }
+    runs = _t(spark, d, "part").select(
+        "p_partkey", F.when(key % 4 == 0, "#112233").alias("color"), F.when(key % 3 == 0, 12.5).alias("size_pt"), F.when(key % 5 == 0, True).when(key % 5 == 1, False).alias("bold"),
+        F.when(key % 7 == 0, "left").alias("align"), F.lit(None).cast("array<string>").alias("inherited"), F.map_concat(*[says(k, v) for k, v in css.items()]).alias("css"),
+    )
+    got = layers.styled(runs, C("css"), F.create_map(F.lit("color"), F.lit("#333")))
+    return got.drop("css").withColumn("inherited", F.array_join("inherited", ","))
+
+
 @query("""
 with recursive b as (select l_orderkey as slide, l_orderkey * 10 + l_linenumber as node, (l_partkey * 37 % 900)::double as x, (l_suppkey * 53 % 500)::double as y, 10.0 + l_quantity * 6 as w, 20.0 + l_linenumber * 9 as h from lineitem),
 e as (select p.node as a, q.node as b from b p join b q on p.slide = q.slide and p.node <> q.node where p.x - q.x - q.w <= 12 and q.x - p.x - p.w <= 12 and p.y - q.y - q.h <= 12 and q.y - p.y - p.h <= 12),

@@ -47,3 +47,26 @@ def markdown_sections(chunks: DataFrame) -> DataFrame:
     head = F.format_string("## %s (%d/%d)\n- path: %s\n- size: %s\n", "file_name", "chunk_index", "chunk_count", "relative_path", "size_text")
     text = F.concat(head, fence, F.lit("text\n"), body, F.lit("\n"), fence, F.lit("\n"))
     return chunks.select("index", text.alias("text"), F.length(text).alias("size"))
+
+
+#: Fixed value: what a file name must not hold.
+UNSAFE = r'[\\/:*?"<>|\x00-\x1F]+'
+
+
+def image_manifest(elements: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """(id, slide_no, el_no, filename, alt, available) of the pictures that go along with a page's prompt, in the page's order by the numbers.
+
+    The name is that of the page's own file, else of the source; a picture
+    that is neither a file nor a data URI is not available.
+    """
+    src = F.coalesce("src", F.lit(""))
+    inline = src.startswith("data:")
+    name = F.coalesce(tx.base_name(F.col("asset")), F.when(inline, "").otherwise(tx.base_name(F.regexp_replace(src, "[?#].*$", ""))))
+    return elements.where("type = 'image'").select(id_col, "slide_no", "el_no", name.alias("filename"), F.coalesce("alt", F.lit("")).alias("alt"), (inline | F.col("asset").isNotNull()).alias("available"))
+
+
+def packed_images(manifest: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """(id, file_name, slide_no, el_no) of the available pictures, one per safe name; of equal names the last stands."""
+    named = F.when(F.col("filename") == "", F.concat(F.lit("image_"), F.col("slide_no").cast("string"), F.lit("_"), F.col("el_no").cast("string"), F.lit(".bin"))).otherwise(F.col("filename"))
+    rows = manifest.where("available").select(id_col, F.regexp_replace(named, UNSAFE, "_").alias("file_name"), F.struct("slide_no", "el_no").alias("at"))
+    return rows.groupBy(id_col, "file_name").agg(F.max("at").alias("at")).select(id_col, "file_name", "at.*")

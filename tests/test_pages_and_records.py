@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import color, records
-from docloom.operators import prompts, structure
+from docloom.operators import prompts, reports, structure
 from docloom.sources import html, kinds, theme
 
 CSS = """<style>/* x{} */ :root{--brand:#0a7; --loop:var(--loop)} body{background:#fff;color:rgb(1,2,3)} h1, h2.x {color: var(--brand)}
@@ -116,3 +116,14 @@ def test_pictures_that_come_with_a_page(spark):
 @pytest.mark.parametrize("classes, want", [("card", True), ("my-card big", True), ("CARD_2", True), ("cards", False), ("discard", False), ("", False)])
 def test_names_of_classes(classes, want):
     assert html.is_called(classes, html.CARD) is want
+
+
+def test_image_manifest(spark):
+    page = '<section><h2>T</h2><img src="img/a.png" alt="one"><p>x</p></section><section><h2>U</h2><img src="other/a.png?v=2"><img src="http://h/b:c.png"><img src="data:,x" alt="in"></section>'
+    pages = spark.createDataFrame([(1, page)], "page_id int, html string")
+    assets = spark.createDataFrame([(1, "x/img/a.png", png(10)), (1, "other/a.png", png(20))], "page_id int, path string, content binary")
+    manifest = reports.image_manifest(html.elements(pages, assets=assets)).cache()
+    rows = {(r.slide_no, r.filename, r.alt, r.available) for r in manifest.collect()}
+    assert rows == {(1, "a.png", "one", True), (2, "a.png", "", True), (2, "b:c.png", "", False), (2, "", "in", True)}
+    got = {(r.file_name, r.slide_no) for r in reports.packed_images(manifest).collect()}
+    assert {n for n, _ in got if n == "a.png"} and ("a.png", 2) in got and len(got) == 2 and any(n.startswith("image_2_") for n, _ in got)
