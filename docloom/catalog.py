@@ -632,7 +632,7 @@ def colors(spark, d):
     as_text = F.concat(F.lit("#"), F.lower(F.lpad(F.hex((C("p_partkey") * 7919) % 16777216), 6, "0")))
     rows = _t(spark, d, "part").select("p_partkey", "p_size", color.css_color(as_text).alias("color"))
     c = C("color")
-    return rows.select("p_partkey", "color", color.is_dark(c).alias("dark"), F.round(color.luma(c), 6).alias("luma"), F.round(color.chroma(c), 6).alias("chroma"), color.px_to_pt(F.concat((C("p_size") * 7).cast("string"), F.lit("px"))).alias("pt"))
+    return rows.select("p_partkey", "color", color.is_dark(c, exact=True).alias("dark"), F.round(color.luma(c), 6).alias("luma"), F.round(color.chroma(c), 6).alias("chroma"), color.px_to_pt(F.concat((C("p_size") * 7).cast("string"), F.lit("px"))).alias("pt"))
 
 
 # -- presentations --------------------------------------------------------------------------------

@@ -30,8 +30,10 @@ def channel(c: Column, i: int) -> Column:
     return F.conv(F.substring(c, 2 + 2 * i, 2), 16, 10).cast("int")
 
 
-def is_dark(c: Column) -> Column:
-    return 0.299 * channel(c, 0) + 0.587 * channel(c, 1) + 0.114 * channel(c, 2) < 128
+def is_dark(c: Column, exact: bool = False) -> Column:
+    """Whether the weighted brightness is below 128; in doubles, which put some colours of exactly 128 below it, or in whole thousandths."""
+    r, g, b = (channel(c, i) for i in range(3))
+    return 299 * r + 587 * g + 114 * b < 128_000 if exact else 0.299 * r + 0.587 * g + 0.114 * b < 128
 
 
 def luma(c: Column) -> Column:

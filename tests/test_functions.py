@@ -156,6 +156,8 @@ def test_colors(spark):
     assert [x[0] for x in values(spark, rows, color.css_color(c))] == ["#0B3D91", None, "#0102FF", "#AABBCC", "#A1B2C3", "#FFFFFF", None, None, None]
     assert [x[0] for x in values(spark, ["16px", "10.5px", "2em", None], color.px_to_pt(c))] == [12.0, 7.9, None, None]
     assert values(spark, ["#000000", "#FFFFFF", "#808080"], color.is_dark(c), color.brighter(c, 0.5), color.brighter(c, -0.5)) == [(True, "#808080", "#000000"), (False, "#FFFFFF", "#808080"), (0.299 * 128 + 0.587 * 128 + 0.114 * 128 < 128, "#C0C0C0", "#404040")]
+    #: 299 * 102 + 587 * 136 + 114 * 155 is 128,000, and doubles make less of it
+    assert values(spark, ["#66889B", "#26B656", "#66889A"], color.is_dark(c, exact=True)) == [(False,), (False,), (True,)]
     style = values(spark, ["color: red; background: url(x) #abc; font-size:12px; margin: 3px; color: #111; text-align:", ""], color.inline_style(c))
     assert style == [({"background-color": "#abc", "font-size": "12px", "color": "#111"},), ({},)]
 
