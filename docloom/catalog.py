@@ -215,7 +215,9 @@ select doc_id, rank, core || {_ASKED} as question, title from r where rank <= 12
 def document_questions(spark, d):
     """Short lines as headings, with endings that ask for different questions."""
     end = F.element_at(F.array(*[F.lit(e) for e in _ENDS]), (C("doc_id") % 4 + 1).cast("int"))
-    as_headings = F.regexp_replace(C("text"), F.lit("(?m)^(.{1,40})$"), F.concat(F.lit("# $1"), end))
+    #: other lines are no headings here, even if they are numbered
+    only = lambda x: F.when(F.length(x).between(1, 40), F.concat(F.lit("# "), x, end)).otherwise("")
+    as_headings = F.array_join(F.transform(F.split("text", "\n"), only), "\n")
     return digest.questions(_t(spark, d, "documents").select("doc_id", digest.headings(as_headings).alias("headings")))
 
 
