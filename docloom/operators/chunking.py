@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +12,8 @@ from ..functions import pii
 from ..functions import text as tx
 
 CHUNK_CHARS, OVERLAP = 12_000, 0.12
+#: Characters of text, about, that a task of Python has as objects at a time.
+SLICE_CHARS = 1_000_000
 _HEADING = re.compile(tx.HEADING)
 
 
@@ -83,11 +85,21 @@ def chunk(docs: DataFrame, mode: str = "sections", most: int = CHUNK_CHARS, over
     """(id, chunk_index from 1, chunk_count, text) of the normalized texts."""
     cutter = (lambda t: by_lines(t, most)) if mode == "lines" else (lambda t: by_sections(t, most, overlap))
 
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(cutter)
-
-    parts = docs.select(id_col, cut(tx.normalize_text(F.coalesce(F.col(text_col), F.lit("")))).alias("parts"))
+    def run(batches):
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1)
+            rows, parts, held = [], [], 0
+            for i, text in enumerate(texts):
+                rows.append(i)
+                parts.append(cutter(text.as_py()))
+                held += sum(map(len, parts[-1]))
+                if held >= SLICE_CHARS or i + 1 == len(texts):
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(parts, pa.list_(pa.string()))], names=[id_col, "parts"])
+                    rows, parts, held = [], [], 0
+
+    kind = dict(docs.dtypes)[id_col]
+    texts = docs.select(id_col, tx.normalize_text(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    parts = texts.mapInArrow(run, f"{id_col} {kind}, parts array<string>")
     return parts.select(id_col, F.size("parts").alias("chunk_count"), F.posexplode("parts").alias("pos", "text")).select(id_col, (F.col("pos") + 1).alias("chunk_index"), "chunk_count", "text")
 
 
