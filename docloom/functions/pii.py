@@ -17,6 +17,8 @@ BUILT_IN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
 }
 UNICODE = "(?U)"
+#: What every hit of the kinds of digits holds, also where others were masked before.
+DIGITS = UNICODE + r"\d{4}[- ]\d{4}|\d{12}|\d-\d{1,4}-\d"
 
 
 def dictionary(lines: Iterable[str]) -> list[str]:
@@ -45,11 +47,34 @@ def patterns(own: Iterable[str] = ()) -> list[tuple[str, str]]:
     return [(k, UNICODE + p) for k, p in BUILT_IN.items()] + [("dictionary", p) for p in own]
 
 
+def may_hold(c: Column, kind: str) -> Column:
+    """Whether a text can have hits of a kind at all; one short look tells it of most texts."""
+    if kind == "dictionary":
+        return c.isNotNull()
+    return c.contains("@") if kind == "email" else c.rlike(DIGITS)
+
+
+def masked_steps(c: Column, own: Iterable[str] = ()) -> list[tuple[str, str, Column]]:
+    """(kind, pattern, the text that it sees), in order, and the masked text behind the last."""
+    out, now, gate = [], c, None
+    every = patterns(own)
+    for at, (kind, p) in enumerate(every):
+        out.append((kind, p, now))
+        here = "email" if kind == "email" else "dictionary" if kind == "dictionary" else "digits"
+        if here != gate:
+            start, gate = now, here
+        now = F.regexp_replace(now, p, MASK)
+        after = every[at + 1][0] if at + 1 < len(every) else None
+        if here != "dictionary" and (here == "email" or after in ("email", "dictionary", None)):
+            now = F.when(may_hold(c, kind), now).otherwise(start)
+    return [*out, ("", "", now)]
+
+
 def scan(c: Column, own: Iterable[str] = ()) -> Column:
     """Map from kind to hits; kinds without a hit are left out.  Each pattern looks at the original text."""
     total: dict[str, Column] = {}
     for kind, p in patterns(own):
-        hits = F.regexp_count(c, F.lit(p))
+        hits = F.when(may_hold(c, kind), F.regexp_count(c, F.lit(p))).otherwise(0)
         total[kind] = total[kind] + hits if kind in total else hits
     every = F.create_map(*[x for kind, n in total.items() for x in (F.lit(kind), n)])
     return F.map_filter(every, lambda _, n: n > 0)
@@ -57,18 +82,15 @@ def scan(c: Column, own: Iterable[str] = ()) -> Column:
 
 def mask(c: Column, own: Iterable[str] = ()) -> Column:
     """The text with every hit replaced, pattern after pattern."""
-    for _, p in patterns(own):
-        c = F.regexp_replace(c, p, MASK)
-    return c
+    return masked_steps(c, own)[-1][2]
 
 
 def mask_counts(c: Column, own: Iterable[str] = ()) -> Column:
     """Map from kind to replacements; a pattern sees what the ones before have left."""
     total: dict[str, Column] = {}
-    for kind, p in patterns(own):
-        hits = F.regexp_count(c, F.lit(p))
+    for kind, p, seen in masked_steps(c, own)[:-1]:
+        hits = F.when(may_hold(c, kind), F.regexp_count(seen, F.lit(p))).otherwise(0)
         total[kind] = total[kind] + hits if kind in total else hits
-        c = F.regexp_replace(c, p, MASK)
     every = F.create_map(*[x for kind, n in total.items() for x in (F.lit(kind), n)])
     return F.map_filter(every, lambda _, n: n > 0)
 
