@@ -82,14 +82,22 @@ def year_of_mention(m: Column) -> Column:
     return F.when(plain != "", tx.fold_digits(plain).try_cast("int")).when(era == "令和", 2018 + n).when(era == "平成", 1988 + n)
 
 
+def year_of_mentions(mentions: Column) -> Column:
+    return F.array_max(F.transform(mentions, year_of_mention))
+
+
 def newest_year(c: Column) -> Column:
-    return F.array_max(F.transform(date_mentions(c), year_of_mention))
+    return year_of_mentions(date_mentions(c))
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, line, n, rank): long lines that occur more than once in a document, most frequent first, then first seen."""
-    lines = docs.select(F.col(id_col), F.posexplode(tx.split_lines(F.col(text_col))).alias("pos", "raw")).select(id_col, "pos", tx.strip(F.col("raw")).alias("line"))
-    counted = lines.where((F.length("line") >= MIN_REPEATED) & ~F.col("line").startswith("#")).groupBy(id_col, "line").agg(F.count("*").alias("n"), F.min("pos").alias("first")).where("n > 1")
+    long = lambda x: (F.length(x) >= MIN_REPEATED) & ~x.startswith("#")
+    stripped = F.transform(tx.split_lines(F.col(text_col)), tx.strip)
+    #: only documents with a line that repeats give rows, so that texts are not shuffled as lines
+    twice = lambda x: F.when(F.size(F.array_distinct(F.filter(x, long))) < F.size(F.filter(x, long)), x)
+    lines = docs.select(F.col(id_col), F.posexplode(tx.let(stripped, twice)).alias("pos", "line"))
+    counted = lines.where(long(F.col("line"))).groupBy(id_col, "line").agg(F.count("*").alias("n"), F.min("pos").alias("first")).where("n > 1")
     rank = F.row_number().over(W.partitionBy(id_col).orderBy(F.desc("n"), "first"))
     return counted.withColumn("rank", rank).where(F.col("rank") <= MOST_REPEATED).select(id_col, "line", "n", "rank")
 
@@ -122,8 +130,8 @@ def average_sentence(c: Column, stop: str = "。") -> Column:
     """Mean length of what stands between sentence ends and line ends, without heading lines; 0 for none."""
     body = F.array_join(F.filter(tx.split_lines(c), lambda x: ~x.startswith("#")), "\n")
     parts = F.filter(F.transform(F.split(body, f"[{stop}\n]"), tx.strip), lambda s: s != "")
-    total = F.aggregate(parts, F.lit(0), lambda acc, s: acc + F.length(s))
-    return F.when(F.size(parts) == 0, F.lit(0.0)).otherwise(total / F.size(parts))
+    mean = lambda p: F.when(F.size(p) == 0, F.lit(0.0)).otherwise(F.aggregate(p, F.lit(0), lambda acc, s: acc + F.length(s)) / F.size(p))
+    return tx.let(parts, mean)
 
 
 def readability(c: Column) -> Column:
@@ -140,9 +148,12 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     c = F.col(text_col)
     repeats = repeated_lines(docs, id_col, text_col).groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line", "n"))), lambda r: F.struct(r["line"].alias("line"), r["n"].alias("n"))).alias("repeated_lines"))
     rows = docs.select(
-        id_col, headings(c).alias("headings"), F.slice(date_mentions(c), 1, MOST_DATES).alias("date_mentions"), newest_year(c).alias("newest_year"), broken_references(c).alias("broken_references"),
+        id_col, headings(c).alias("headings"), date_mentions(c).alias("mentions"), broken_references(c).alias("broken_references"),
         average_sentence(c).alias("avg_sentence_length"), F.length(c).alias("char_count"), F.size(tx.split_lines(c)).alias("line_count"),
     )
+    rows = rows.select(
+        id_col, "headings", F.slice("mentions", 1, MOST_DATES).alias("date_mentions"), year_of_mentions(F.col("mentions")).alias("newest_year"), "broken_references", "avg_sentence_length", "char_count", "line_count",
+    )
     return rows.join(repeats, id_col, "left").withColumn("repeated_lines", F.coalesce("repeated_lines", F.array().cast("array<struct<line:string,n:bigint>>")))
 
 

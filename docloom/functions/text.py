@@ -27,7 +27,9 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"(?U)^{SPACE}+|{SPACE}+\\z", "")
+    """Without white space at both ends; most texts have only blanks there, which go without a pattern."""
+    ends = lambda t: F.concat(F.substring(t, 1, 1), F.substring(t, -1, 1))
+    return let(F.trim(c), lambda t: F.when(ends(t).rlike(f"(?U){SPACE}"), F.regexp_replace(t, f"(?U)^{SPACE}+|{SPACE}+\\z", "")).otherwise(t))
 
 
 def normalize_text(c: Column) -> Column:
