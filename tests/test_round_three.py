@@ -1,13 +1,17 @@
 """Queries on rows that the given tables don't hold."""
 
 import math
+import re
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from docloom import catalog
-from docloom.operators import similarity
+from docloom.functions import codec, digest, pii
+from docloom.operators import chunking, similarity
+from docloom.sources import html
 
 
 def both(spark, name, folder, **tables):
@@ -45,3 +49,47 @@ def test_sketches_at_the_threshold_share_keys_and_others_few():
             assert len(keys(one) & keys(two)) >= similarity.MEET
     strangers = [keys(rng.choice(pool, most, replace=False)) for _ in range(60)]
     assert sum(len(a & b) >= similarity.MEET for i, a in enumerate(strangers) for b in strangers[:i]) < 10
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_python_takes_texts_and_pages_in_slices(spark):
+    docs = spark.createDataFrame([(i, "line\n" * 300 + str(i)) for i in range(40)], "doc_id long, text string")
+    got = chunking.chunk(docs, "lines", 1000)
+    assert "MapInArrow" in plan_of(got) and got.count() == 40 * 2 and chunking.SLICE_CHARS < 10_000_000
+    pages = spark.createDataFrame([(i, "<p>a</p>" * 300) for i in range(30)], "page_id long, html string")
+    assert html.elements(pages).groupBy("page_id").count().where("count = 300").count() == 30 and html.SLICE_ELEMENTS < 30 * 300
+
+
+def test_lines_of_a_card_are_cut_and_read_without_expansion(spark):
+    cards = spark.createDataFrame([(1, "あ" * 95), (2, "い" * 40), (3, "")], "slot long, data string")
+    lines = codec.card_lines(cards)
+    assert sorted((r.slot, r.line, len(r.data)) for r in lines.collect()) == [(1, 0, 40), (1, 1, 40), (1, 2, 15), (2, 0, 40)]
+    back = codec.read_card(lines)
+    assert "Expand" not in plan_of(back) and "substr" not in plan_of(lines) and {(r.slot, len(r.data), r.ok) for r in back.collect()} == {(1, 95, True), (2, 40, True)}
+
+
+def test_characters_are_counted_without_a_row_each(spark):
+    got = codec.used_characters(spark.createDataFrame([("aé𠮷a",), (None,), ("",), ("é\n",)], "text string"))
+    assert "Generate" not in plan_of(got) and {(r.cp, r.n) for r in got.collect()} == {(97, 2), (233, 2), (0x20BB7, 1), (10, 1)}
+
+
+def test_masks_by_kinds_that_a_text_may_hold(spark):
+    texts = ["", "x@y.de", "a 1234-5678-9012-3456 b", "090-1234-5678 a@b.com", "1234567890123456", "123456789012", "1234-5678-9012", "1234 12-34", "01-2-3456", None]
+    c = F.col("c")
+    rows = spark.createDataFrame([(x,) for x in texts], "c string").select(pii.mask(c, ["34"]), pii.mask_counts(c, ["34"]), pii.scan(c, ["34"]), pii.may_hold(c, "card")).collect()
+    for x, (masked, counts, seen, digits) in zip(texts, rows):
+        want, n, first = x, {}, {}
+        for kind, p in [*pii.BUILT_IN.items(), ("dictionary", "34")] if x is not None else []:
+            n[kind], first[kind] = len(re.findall(p, want)), len(re.findall(p, x))
+            want = re.sub(p, pii.MASK, want)
+        assert (masked, counts, seen) == (want, {k: v for k, v in n.items() if v}, {k: v for k, v in first.items() if v})
+        assert digits or not any(n.get(k) for k in ("card", "my_number", "phone"))
+
+
+def test_only_documents_with_repeats_give_lines(spark):
+    docs = spark.createDataFrame([(1, "x" * 40 + "\n" + "y" * 40), (2, " " + "x" * 40 + "\na\n" + "x" * 40 + "\u3000\n#" + "z" * 40), (3, None)], "doc_id long, text string")
+    assert [tuple(r) for r in digest.repeated_lines(docs).collect()] == [(2, "x" * 40, 2, 1)]
+    assert "array_distinct" in plan_of(digest.repeated_lines(docs))
