@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 from pyspark.sql.window import Window as W
 
-from ..plans.staging import staged
+from ..plans.staging import release, staged
 from .components import components
 
 # How members are named, the height of a reading row, from what distance boxes stand in different columns, which kinds pair boxes.
@@ -15,6 +16,17 @@ ROW, COLUMN = 20, 4
 PAIRED, TWO = ("kpi", "timeline", "compare"), "compare"
 #: The width of the finest cells, in points, and the levels of cells above them, each twice as wide.
 CELL, LEVELS = 16.0, 40
+#: Where more boxes than these have equal keys, they are compared on the grid, else in one row.
+FEW = 32
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows, those with equal keys in one task, in all of the session's shuffle partitions.
+
+    Adaptive execution merges partitions up to a size as shuffled; sorted or
+    hashed rows take twenty times as much, which is too much for a task.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 # -- by name ---------------------------------------------------------------------------
@@ -128,9 +140,50 @@ def touching(boxes: DataFrame, keys: list[str], gap: float = 0.0) -> DataFrame:
 def groups_of_boxes(boxes: DataFrame, keys: list[str], gap: float = 0.0) -> DataFrame:
     """(keys, node, grp, x, y, w, h): boxes reachable over others at most ``gap`` apart have the same group, named by its least node.
 
-    Boxes that are equal are linked to one of them and compared once.  A box
-    with a null place or size is a group of its own.
+    Boxes whose keys are shared by few are gathered and compared in one row;
+    only the others, and those whose node stands under several keys, go over
+    the grid and its links.  Boxes with the same node belong together.  A box
+    with a null place or size is linked with no other node.
     """
+    inside = [F.col(k).alias(f"in_{k}") for k in keys]
+    of = F.xxhash64(*keys)
+    astray = dealt(boxes.select("node", of.alias("of")), "node").groupBy("node").agg(F.min("of").alias("one"), F.max("of").alias("other")).where("one <> other").select(F.col("node").alias("in_node"))
+    astray = boxes.join(astray, F.col("node") == F.col("in_node"), "left_semi").select(*inside)
+    crowded = staged(boxes.groupBy(*keys).count().where(F.col("count") > FEW).select(*inside).union(astray).distinct())
+    if crowded.isEmpty():
+        release(crowded)
+        return _grouped_in_rows(boxes, keys, gap)
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"in_{k}"))
+    few, many = boxes.join(crowded, same, "left_anti"), boxes.join(crowded, same, "left_semi")
+    return _grouped_in_rows(few, keys, gap).unionByName(_grouped_by_links(many, keys, gap))
+
+
+def _grouped_in_rows(boxes: DataFrame, keys: list[str], gap: float) -> DataFrame:
+    """Groups of boxes that are few for each key: taken by node, each box joins the groups of those before it that it touches."""
+    place, by = ["x", "y", "w", "h"], gap / 2
+    near = lambda p, q, at, size: (p[at] - by <= q[at] + q[size] + by) & (q[at] - by <= p[at] + p[size] + by)
+    equal = lambda p, q: (p["x"] == q["x"]) & (p["y"] == q["y"]) & (p["w"] == q["w"]) & (p["h"] == q["h"])
+    meet = lambda p, q: (p["node"] == q["node"]) | (near(p, q, "x", "w") & near(p, q, "y", "h")) | equal(p, q)
+
+    def joined(groups: Column, box: Column, met: Column) -> Column:
+        least = F.array_min(met)
+        return F.concat(F.transform(groups, lambda g: F.when(F.array_contains(met, g), least).otherwise(g)), F.array(F.coalesce(least, box["node"])))
+
+    def added(groups: Column, box: Column) -> Column:
+        met = F.filter(groups, lambda _, i: meet(F.get("boxes", i), box))
+        return F.get(F.transform(F.array(met), lambda m: joined(groups, box, m)), F.lit(0))
+
+    rows = dealt(boxes.select(*keys, "node", *place), *keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("node", *place))).alias("boxes"))
+    none = F.array().cast(ArrayType(boxes.schema["node"].dataType))
+    rows = rows.withColumn("groups", F.aggregate("boxes", none, added))
+    rows = rows.select(*keys, F.explode(F.arrays_zip("boxes", "groups")).alias("of"))
+    return rows.select(*keys, "of.boxes.node", F.col("of.groups").alias("grp"), *[f"of.boxes.{c}" for c in place])
+
+
+def _grouped_by_links(boxes: DataFrame, keys: list[str], gap: float) -> DataFrame:
+    """Groups of boxes, however many have equal keys; those that are equal are linked to one of them and compared once."""
     place = ["x", "y", "w", "h"]
     first = staged(boxes.groupBy(*keys, *place).agg(F.min("node").alias("node")))
     same = first.withColumnRenamed("node", "b").select(*keys, *place, "b")

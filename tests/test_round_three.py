@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as driver
 from docloom import catalog
 from docloom.functions import codec, digest, pii
-from docloom.operators import chunking, similarity
+from docloom.operators import chunking, diagrams, similarity
 from docloom.sources import html
 
 
@@ -93,3 +93,33 @@ def test_only_documents_with_repeats_give_lines(spark):
     docs = spark.createDataFrame([(1, "x" * 40 + "\n" + "y" * 40), (2, " " + "x" * 40 + "\na\n" + "x" * 40 + "\u3000\n#" + "z" * 40), (3, None)], "doc_id long, text string")
     assert [tuple(r) for r in digest.repeated_lines(docs).collect()] == [(2, "x" * 40, 2, 1)]
     assert "array_distinct" in plan_of(digest.repeated_lines(docs))
+
+
+def test_boxes_of_small_slides_are_grouped_in_one_row(spark, monkeypatch):
+    def grid(*_):
+        raise AssertionError("no slide is crowded")
+
+    monkeypatch.setattr(diagrams, "touching", grid)
+    boxes = [(i // 5 if i < 90 else None, i, float(i % 5 * 30), float(i % 3), 10.0 + i % 13, 5.0) for i in range(100)]
+    got = diagrams.groups_of_boxes(spark.createDataFrame(boxes, "slide int, node long, x double, y double, w double, h double"), ["slide"], 12.0)
+    assert plan_of(got).count("Exchange hashpartitioning") == 1 and "Join" not in plan_of(got)
+    assert len({r.grp for r in got.collect()}) > 20
+
+
+def test_boxes_in_one_row_and_on_the_grid_give_the_same_groups(spark):
+    rng, boxes = np.random.default_rng(3), []
+    for slide in (None, *range(30)):
+        for _ in range(diagrams.FEW + 1 - rng.integers(0, 2) if slide and slide % 9 == 0 else rng.integers(1, 14)):
+            x, y, w, h = (float(v) for v in rng.integers(0, [400, 300, 60, 60]) / 4 * rng.choice([1, 4]))
+            boxes.append((slide, len(boxes), x, y, w, h))
+    boxes += [(1, 0, 5.0, 5.0, 1.0, 1.0), (2, 900, 1.0, 1.0, 1.0, 1.0), (3, 900, 390.0, 290.0, 1.0, 1.0), (4, 901, 1.0, 1.0, 1.0, 1.0), (4, 901, 399.0, 299.0, 1.0, 1.0), (5, 902, 1.0, None, 1.0, 1.0), (5, 903, 1.0, 1.0, None, 1.0), (6, 904, 0.0, 0.0, -90.0, 1.0), (6, 905, 0.0, 0.0, -90.0, 1.0)]
+    near = lambda a, b: None not in (*a[2:], *b[2:]) and (a[2:] == b[2:] or all(p[k] - 1.5 <= q[k] + q[k + 2] + 1.5 for k in (2, 3) for p, q in ((a, b), (b, a))))
+    links = [(a[1], b[1]) for a in boxes for b in boxes if a[1] != b[1] and a[0] == b[0] and near(a, b)]
+    root = {b[1]: b[1] for b in boxes}
+    while any(root[a] != root[b] for a, b in links):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    table = spark.createDataFrame(boxes, "slide int, node long, x double, y double, w double, h double").repartition(5)
+    got = diagrams.groups_of_boxes(table, ["slide"], 3.0).collect()
+    assert sorted((tuple(r)[:2], *tuple(r)[3:]) for r in got if None not in tuple(r)) == sorted(((b[0], b[1]), *b[2:]) for b in boxes if None not in b)
+    assert {(r.node, r.grp) for r in got} == set(root.items()) and len(got) == len(boxes) and 20 < len({*root.values()}) < len(root)
