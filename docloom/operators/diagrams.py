@@ -50,20 +50,20 @@ def items(parts: DataFrame, id_col: str = "page_id") -> DataFrame:
     keys = [id_col, "slide_no", "kind", "diagram"]
     lines = F.filter(F.transform("lines", lambda t: F.trim(t)), lambda t: t != "")
     x, y = F.coalesce("x", F.lit(0.0)), F.coalesce("y", F.lit(0.0))
-    read = [F.floor(F.col("y") / ROW), F.col("x"), F.col("el_no")]
+    read = ["row", "x", "el_no"]
+    paired, kpi = F.col("kind").isin(*PAIRED), F.col("kind") == "kpi"
+    rest = F.when(F.size("lines") > 1, F.array_join(F.slice("lines", F.lit(2), F.size("lines")), " "))
     rows = parts.select(*keys, "el_no", lines.alias("lines"), x.alias("x"), y.alias("y")).where(F.size("lines") > 0)
+    rows = rows.select(*keys, "el_no", "x", F.floor(F.col("y") / ROW).alias("row"), F.col("lines")[0].alias("head"), F.when(paired, None).otherwise(rest).alias("rest"))
+    rows = dealt(rows, id_col, "kind", "diagram")  # not by slide_no: where all have the same, Spark leaves it out of the windows and would shuffle once more
     along = W.partitionBy(*keys).orderBy("x", "el_no")
     apart = F.when(F.col("x") - F.lag("x").over(along) >= COLUMN, 1).otherwise(0)
     rows = rows.withColumn("apart", apart).withColumn("column", F.sum("apart").over(along.rowsBetween(W.unboundedPreceding, 0)))
-    paired = F.col("kind").isin(*PAIRED)
     down = W.partitionBy(*keys, "column").orderBy(*read)
-    rows = rows.withColumn("nth", F.row_number().over(down)).withColumn("below", F.lead("lines").over(down)).where(~paired | (F.col("nth") % 2 == 1))
-    label, head = F.col("below")[0], F.col("lines")[0]
-    rest = F.when(F.size("lines") > 1, F.array_join(F.slice("lines", F.lit(2), F.size("lines")), " "))
-    kpi = F.col("kind") == "kpi"
+    rows = rows.withColumns({"nth": F.row_number().over(down), "below": F.lead("head").over(down)}).where(~paired | (F.col("nth") % 2 == 1))
     rows = rows.select(
-        *keys, F.row_number().over(W.partitionBy(*keys).orderBy(*read)).alias("item_no"), F.when(kpi, F.coalesce(label, head)).otherwise(head).alias("title"),
-        F.when(kpi, head).alias("value"), F.when(paired, label).otherwise(rest).alias("text"),
+        *keys, F.row_number().over(W.partitionBy(*keys).orderBy(*read)).alias("item_no"), F.when(kpi, F.coalesce("below", "head")).otherwise(F.col("head")).alias("title"),
+        F.when(kpi, F.col("head")).alias("value"), F.when(paired, F.col("below")).otherwise(F.col("rest")).alias("text"),
     )
     return rows.where((F.col("kind") != TWO) | (F.col("item_no") <= 2))
 

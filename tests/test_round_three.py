@@ -123,3 +123,14 @@ def test_boxes_in_one_row_and_on_the_grid_give_the_same_groups(spark):
     got = diagrams.groups_of_boxes(table, ["slide"], 3.0).collect()
     assert sorted((tuple(r)[:2], *tuple(r)[3:]) for r in got if None not in tuple(r)) == sorted(((b[0], b[1]), *b[2:]) for b in boxes if None not in b)
     assert {(r.node, r.grp) for r in got} == set(root.items()) and len(got) == len(boxes) and 20 < len({*root.values()}) < len(root)
+
+
+def test_items_are_sorted_in_all_shuffle_partitions(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(i % 23, i, int(rng.integers(0, 90)), i % 7, float(rng.integers(1, 51)), "AN"[i % 2], "O") for i in range(400)]
+    table = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string")
+    got, want = both(spark, "diagram_items", tmp_path, lineitem=table)
+    assert got == want and len(got) > 100
+    rows = driver.queries()["diagram_items"](spark, str(tmp_path))
+    assert plan_of(rows).count("Exchange") == 1 and plan_of(rows).count("+- Sort ") == 3
+    assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
