@@ -45,12 +45,13 @@ def items(parts: DataFrame, id_col: str = "page_id") -> DataFrame:
     item by twos: a value and its label, or a title and its text; a
     comparison has its first two.  Other boxes give one item each: the first
     line and the rest.  A column ends where the next edge is COLUMN points
-    away.
+    away.  Boxes of one place and number come in the order of their texts, so
+    that reruns agree.
     """
     keys = [id_col, "slide_no", "kind", "diagram"]
     lines = F.filter(F.transform("lines", lambda t: F.trim(t)), lambda t: t != "")
     x, y = F.coalesce("x", F.lit(0.0)), F.coalesce("y", F.lit(0.0))
-    read = ["row", "x", "el_no"]
+    read = ["row", "x", "el_no", "head", "rest"]
     paired, kpi = F.col("kind").isin(*PAIRED), F.col("kind") == "kpi"
     rest = F.when(F.size("lines") > 1, F.array_join(F.slice("lines", F.lit(2), F.size("lines")), " "))
     rows = parts.select(*keys, "el_no", lines.alias("lines"), x.alias("x"), y.alias("y")).where(F.size("lines") > 0)

@@ -134,3 +134,10 @@ def test_items_are_sorted_in_all_shuffle_partitions(spark, tmp_path):
     rows = driver.queries()["diagram_items"](spark, str(tmp_path))
     assert plan_of(rows).count("Exchange") == 1 and plan_of(rows).count("+- Sort ") == 3
     assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_items_of_boxes_that_tie_do_not_depend_on_the_order_of_rows(spark):
+    rows = [(kind, 1, 7, f"diagram:{kind}:d:1", [head, *rest], 1.0, 2.0) for kind in ("kpi", "timeline", "compare", "flow") for head in "cabed" for rest in (["z"], ["y"], [])]
+    schema = "page_id string, slide_no int, el_no long, name string, lines array<string>, x double, y double"
+    got = [diagrams.items(diagrams.members(spark.createDataFrame(r, schema).coalesce(1))).orderBy("kind", "item_no").collect() for r in (rows, rows[::-1])]
+    assert got[0] == got[1] and [(r.title, r.text) for r in got[0] if r.kind == "flow"][:4] == [("a", None), ("a", "y"), ("a", "z"), ("b", None)]
